@@ -55,7 +55,7 @@ class Block(NamedTuple):
 
 def blocks(text: str) -> list[Block]:
     """The blocks of a text that hold inline content, in order."""
-    lines = [(i, line.removesuffix("\r")) for i, line in enumerate(text.split("\n"))]
+    lines = [(i, line.removesuffix("\r"), False) for i, line in enumerate(text.split("\n"))]
     return list(_scan(lines, top=True))
 
 
@@ -79,7 +79,7 @@ def _starts_block(line: str) -> bool:
     )
 
 
-def _scan(lines: list[tuple[int, str]], top: bool) -> Iterator[Block]:
+def _scan(lines: list[tuple[int, str, bool]], top: bool) -> Iterator[Block]:
     para: list[tuple[int, str]] = []
 
     def flush(level: int = 0) -> list[Block]:
@@ -92,10 +92,13 @@ def _scan(lines: list[tuple[int, str]], top: bool) -> Iterator[Block]:
 
     i, n = 0, len(lines)
     while i < n:
-        number, line = lines[i]
+        number, line, lazy = lines[i]
         if not line.strip():
             yield from flush()
             i += 1
+        elif lazy and para:
+            para.append((number, line))
+            i += 1
         elif _indent(line) >= 4:
             if para:
                 para.append((number, line))
@@ -143,7 +146,7 @@ def _scan(lines: list[tuple[int, str]], top: bool) -> Iterator[Block]:
             gap = len(item[3].expandtabs(4))
             rest = line[item.end():]
             width = len(item[1]) + (gap if rest.strip() and gap < 5 else 1)
-            first = (number, " " * max(0, len(item[1]) + gap - width) + rest)
+            first = (number, " " * max(0, len(item[1]) + gap - width) + rest, False)
             inner, i = _contained(lines, i + 1, lambda t: _dedented(t, width)
                                   if _indent(t) >= width else None, blanks=True, start=first)
             yield from _scan(inner, top=False)
@@ -158,12 +161,12 @@ def _contained(lines, i, strip, blanks, start=None):
     first line after it. A paragraph goes on over lines without a marker."""
     inner = [start] if start else []
     while i < len(lines):
-        number, line = lines[i]
+        number, line, lazy = lines[i]
         kept = strip(line)
         if kept is None:
             last = inner[-1][1] if inner else ""
             if not line.strip():
-                if not blanks or not any(t.strip() for _, t in inner):
+                if not blanks or not any(part[1].strip() for part in inner):
                     break
                 kept = ""
             elif not last.strip() or _starts_block(line) or _ITEM.match(line) or (
@@ -171,8 +174,8 @@ def _contained(lines, i, strip, blanks, start=None):
             ):
                 break
             else:
-                kept = line
-        inner.append((number, kept))
+                kept, lazy = line, True
+        inner.append((number, kept, lazy))
         i += 1
     return inner, i
 
