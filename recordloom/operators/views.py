@@ -24,6 +24,9 @@ from recordloom.operators.groups import (
     orderable,
 )
 
+# Marks the columns whose lists come in pieces.
+_SEGMENTED = "segmented"
+
 #: Right rows of one key above which a left join treats the key apart.
 HOT_JOIN_ROWS = 5_000_000
 
@@ -163,11 +166,28 @@ def attach(
         keyed, "__rk", column(as_), as_, segments=segments, segment_rows=segment_rows
     ).drop(ORD)
     condition = left_key == F.col("__rk") if matchable else F.lit(False)
+    if not segments:
+        out = left.join(lists, condition, "left").drop("__rk")
+        return out.withColumn(as_, F.coalesce(column(as_), empty))
+    lists = lists.withColumnRenamed(SEGMENT, "__piece")
     out = left.join(lists, condition, "left").drop("__rk")
-    out = out.withColumn(as_, F.coalesce(column(as_), empty))
-    if segments:
-        out = out.withColumn(SEGMENT, F.coalesce(F.col(SEGMENT), F.lit(0).cast("bigint")))
-    return out
+    piece = F.coalesce(F.col("__piece"), F.lit(0).cast("bigint"))
+    if SEGMENT in left.columns:
+        # Further pieces of one list carry the other lists empty, so that every
+        # piece of every list occurs once per row.
+        out = out.filter((F.col(SEGMENT) == 0) | (piece == 0))
+        for field in left.schema.fields:
+            if _SEGMENTED in field.metadata:
+                shown = F.when(piece == 0, column(field.name))
+                none = F.array().cast(field.dataType)
+                out = out.withColumn(field.name, _marked(F.coalesce(shown, none), field.name))
+        piece = F.greatest(piece, F.col(SEGMENT))
+    out = out.withColumn(as_, _marked(F.coalesce(column(as_), empty), as_))
+    return out.withColumn(SEGMENT, piece).drop("__piece")
+
+
+def _marked(items: Column, name: str) -> Column:
+    return items.alias(name, metadata={_SEGMENTED: True})
 
 
 def _join_sides(left, right, on, as_, right_where):
