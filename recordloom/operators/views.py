@@ -171,7 +171,7 @@ def attach(
         return out.withColumn(as_, F.coalesce(column(as_), empty))
     lists = lists.withColumnRenamed(SEGMENT, "__piece")
     out = left.join(lists, condition, "left").drop("__rk")
-    piece = F.coalesce(F.col("__piece"), F.lit(0).cast("bigint"))
+    items, piece = column(as_), F.coalesce(F.col("__piece"), F.lit(0).cast("bigint"))
     if SEGMENT in left.columns:
         # Further pieces of one list carry the other lists empty, so that every
         # piece of every list occurs once per row.
@@ -181,8 +181,9 @@ def attach(
                 shown = F.when(piece == 0, column(field.name))
                 none = F.array().cast(field.dataType)
                 out = out.withColumn(field.name, _marked(F.coalesce(shown, none), field.name))
+        items = F.when(F.col(SEGMENT) == 0, items)
         piece = F.greatest(piece, F.col(SEGMENT))
-    out = out.withColumn(as_, _marked(F.coalesce(column(as_), empty), as_))
+    out = out.withColumn(as_, _marked(F.coalesce(items, empty), as_))
     return out.withColumn(SEGMENT, piece).drop("__piece")
 
 
