@@ -104,16 +104,15 @@ def _origin(kind: Column, origins: Mapping[str, str]) -> Column:
 
 def _frame_nodes(name: str, frame: DataFrame, origins, single: bool) -> DataFrame:
     up, _, last = name.rpartition(".")
-    root = F.struct(F.lit("/").alias("address"), F.lit(ROOT_TYPE).alias("type"))
-    above = F.array(root)
-    top = F.lit("/")
+    above = F.array(_line(F.lit("/"), ROOT_TYPE))
+    here = _top(F.lit(last))
     if up:
-        top = _top(F.lit(up))
-        above = F.array_append(above, _line(top, up))
-    here = _step(top, iri_escape(F.lit(last)))
+        above = F.array_append(above, _line(_top(F.lit(up)), up))
+        here = F.concat(_top(F.lit(up)), here)
     kind = T.StructType([f for f in frame.schema.fields if f.name != ORD])
     if single:
-        found = _record(column, kind, top, last, here, name, above, origins)
+        parent = _top(F.lit(up)) if up else F.lit("/")
+        found = _record(column, kind, parent, F.lit(last), here, name, above, origins)
     elif "id" in kind.names:
         above = F.array_append(above, _line(here, f"{name}.item[]"))
         found = _element(column, kind, here, f"{name}.item", above, origins, None)
@@ -128,6 +127,16 @@ def _line(address: Column, kind: str) -> Column:
     return F.struct(address.alias("address"), F.lit(kind).alias("type"))
 
 
+def _below(address: Column, segment: Column) -> Column:
+    return F.concat(address, F.lit("/"), segment)
+
+
+def _bound(value: Column, nodes) -> Column:
+    """``nodes(value)`` with ``value`` worked out once, however often it is
+    used: expressions stay as small as the schema."""
+    return F.flatten(F.transform(F.array(value), nodes))
+
+
 def _element(
     read, kind: T.StructType, parent: Column, type_: str, above: Column, origins, owner
 ) -> Column:
@@ -136,53 +145,64 @@ def _element(
     segment = read("id").cast("string")
     if origin == HEADING and owner is not None:
         # A heading folds onto its document: renderers give it this very id.
-        address, fragment = F.concat(owner, F.lit("#"), segment), segment
+        address = F.concat(owner, F.lit("#"), segment)
     else:
-        kept = "/" if origin in (PROSE, BLOB) else ""
-        address = _step(parent, iri_escape(segment, kept))
-        fragment = F.lit("") if origin == BLOB else address
-    return _record(read, kind, parent, segment, address, type_, above, origins, fragment)
+        address = _below(parent, iri_escape(segment, "/" if origin in (PROSE, BLOB) else ""))
+    return _record(read, kind, parent, segment, address, type_, above, origins)
 
 
-def _record(
-    read, kind, parent, segment, address, type_: str, above, origins, fragment=None
-) -> Column:
-    segment = F.lit(segment) if isinstance(segment, str) else segment
-    fragment = address if fragment is None else fragment
+def _record(read, kind, parent, segment, address, type_: str, above, origins) -> Column:
+    origin = origins.get(type_, type_)
     names = [read(n).cast("string") for n in ("title", "name", "id") if n in kind.names]
-    line = F.array_append(above, _line(address, type_))
-    own = _node(address, parent, segment, type_, origins, F.coalesce(*names, address),
-                fragment, line)
-    parts = [F.array(own)]
-    for field in kind.fields:
-        value, data_type = read(field.name), field.dataType
-        path = f"{type_}.{field.name}"
-        below = _step(address, iri_escape(F.lit(field.name)))
-        if isinstance(data_type, T.StructType):
-            found = _record(value.getField, data_type, address, field.name, below, path, line,
-                            origins)
-        elif isinstance(data_type, T.ArrayType):
-            found = _array(value, data_type, address, field.name, below, path, line, origins)
-        else:
-            continue
-        parts.append(F.when(value.isNotNull(), found).otherwise(F.array().cast(_NODES)))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    def nodes(here: Column) -> Column:
+        fragment = {BLOB: F.lit(""), HEADING: segment}.get(origin, here)
+        own = lambda line: _node(
+            here, parent, segment, type_, origins, F.coalesce(*names, here), fragment, line
+        )
+        return _bound(
+            F.array_append(above, _line(here, type_)),
+            lambda line: F.concat(F.array(own(line)), *inner(here, line)),
+        )
+
+    def inner(here: Column, line: Column) -> list[Column]:
+        parts = []
+        for field in kind.fields:
+            value, data_type = read(field.name), field.dataType
+            path = f"{type_}.{field.name}"
+            below = _below(here, iri_escape(F.lit(field.name)))
+            if isinstance(data_type, T.StructType):
+                found = _record(value.getField, data_type, here, F.lit(field.name), below, path,
+                                line, origins)
+            elif isinstance(data_type, T.ArrayType):
+                found = _array(value, data_type, here, field.name, below, path, line, origins)
+            else:
+                continue
+            parts.append(F.when(value.isNotNull(), found).otherwise(F.array().cast(_NODES)))
+        return parts
+
+    return _bound(address, nodes)
 
 
 def _array(value, data_type, parent, segment: str, address, path: str, above, origins) -> Column:
     type_ = f"{path}.item"
-    line = F.array_append(above, _line(address, f"{type_}[]"))
-    own = F.array(_node(address, parent, F.lit(segment), f"{type_}[]", origins, address,
-                        address, line))
     kind = data_type.elementType
-    if not isinstance(kind, T.StructType) or "id" not in kind.names:
-        return own
-    items = F.filter(value, lambda item: item["id"].isNotNull())
-    below = F.transform(
-        items,
-        lambda item: _element(item.getField, kind, address, type_, line, origins, parent),
-    )
-    return F.concat(own, F.flatten(below))
+    has_rows = isinstance(kind, T.StructType) and "id" in kind.names
+
+    def nodes(here: Column) -> Column:
+        line = F.array_append(above, _line(here, f"{type_}[]"))
+        own = lambda bound: F.array(_node(
+            here, parent, F.lit(segment), f"{type_}[]", origins, here, here, bound
+        ))
+        if not has_rows:
+            return own(line)
+        items = F.filter(value, lambda item: item["id"].isNotNull())
+        return _bound(line, lambda bound: F.concat(own(bound), F.flatten(F.transform(
+            items,
+            lambda item: _element(item.getField, kind, here, type_, bound, origins, parent),
+        ))))
+
+    return _bound(address, nodes)
 
 
 def _node(address, parent, segment, type_: str, origins, label, fragment, line) -> Column:

@@ -1 +1,150 @@
-"""Queries."""
+"""Files, exports, change detection and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordloom.operators import views as V
+from recordloom.queries.checks import INTEGER, NUMBER, STRING, record
+from recordloom.queries.registry import Tables, query
+from recordloom.queries.views import PIECE, _PIECES, _list_ends, keep
+from recordloom.sources import sinks
+from recordloom.sources.tree import read_entities, record_files
+from recordloom.streaming import incremental as I
+
+#: Customers per written file.
+FILE_ROWS = 500
+
+CUSTOMERS = record(customers={"type": "object", "additionalProperties": record(
+    name=STRING, nation=INTEGER, balance=NUMBER)})
+
+
+def _customer_files(t: Tables) -> str:
+    """The customers as JSON record files, a bounded number in each."""
+    entry = F.struct(
+        F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
+        F.col("c_acctbal").alias("balance"))
+    rows = t.customer.select(
+        F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"),
+        F.struct(F.col("c_custkey").cast("string").alias("k"), entry.alias("v")).alias("e"))
+    body = F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("customers")))
+    files = rows.groupBy("file").agg(body.alias("body"))
+    root = t.scratch()
+    sinks.write_page_files(files.select(
+        F.lit("tree").alias("edition"), F.lit(0).alias("segment"), "body",
+        F.concat(F.lit("people/c"), F.col("file").cast("string"), F.lit(".json")).alias("page_path"),
+    ), root)
+    return root
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation,
+  c_acctbal AS balance FROM customer""")
+def file_round_trip(t: Tables) -> DataFrame:
+    """Written as record files, scanned and read back by schema."""
+    files = record_files(t.spark, _customer_files(t))
+    return V.finish(read_entities(files, CUSTOMERS)["customers"])
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation,
+  c_acctbal AS balance FROM customer""")
+def file_stream(t: Tables) -> DataFrame:
+    """The same files taken in as a stream of new files."""
+    root, out = _customer_files(t), t.scratch()
+    I.ingest(I.stream_record_files(t.spark, root), CUSTOMERS, {"customers": f"{out}/table"},
+             f"{out}/state").awaitTermination()
+    return t.spark.read.parquet(f"{out}/table").select("id", "name", "nation", "balance")
+
+
+@query("""SELECT 'nation' AS name, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name
+  || '","n_regionkey":' || n_regionkey || '}' AS row FROM nation
+UNION ALL SELECT 'priority', '{"o_orderkey":' || o_orderkey
+  || CASE WHEN o_orderstatus <> 'O' THEN ',"status":"' || o_orderstatus || '"' ELSE '' END || '}' FROM orders""")
+def namespace_rows(t: Tables) -> DataFrame:
+    """Every frame as (name, JSON row); absent fields are left out."""
+    status = F.nullif("o_orderstatus", F.lit("O")).alias("status")
+    return sinks.namespace_rows(
+        {"nation": t.nation, "priority": t.orders.select("o_orderkey", status)})
+
+
+@query("""SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status FROM orders WHERE o_totalprice > 100000""")
+def export_and_read(t: Tables) -> DataFrame:
+    """A namespace exported all or nothing, then read back."""
+    rows = t.orders.filter("o_totalprice > 100000").select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"))
+    out = f"{t.scratch()}/export"
+    sinks.export_namespace({"orders": V.source(rows, ["o_orderkey"])}, out)
+    return t.spark.read.schema("o_orderkey bigint, status string").json(f"{out}/orders")
+
+
+@query("""SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added'
+  WHEN a.doc_id IS NULL THEN 'deleted' WHEN b.size = a.size AND b.source = a.source THEN 'unchanged'
+  ELSE 'modified' END AS change
+FROM (SELECT doc_id, n_chars AS size, source FROM documents WHERE lang <> 'de') b
+FULL JOIN (SELECT d.doc_id, n_chars + coalesce(toxic, 0) AS size, source FROM documents d
+  LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang <> 'fr') a ON b.doc_id = a.doc_id""")
+def change_manifest(t: Tables) -> DataFrame:
+    before = t.documents.filter("lang <> 'de'").select("doc_id", F.col("n_chars").alias("size"), "source")
+    after = t.documents.join(t.labels, "doc_id", "left").filter("lang <> 'fr'").select(
+        "doc_id", (F.col("n_chars") + F.coalesce("toxic", F.lit(0))).alias("size"), "source")
+    return I.changes(before, after, "doc_id", ["size", "source"])
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = t.spark.read.parquet(f"{t.folder}/{name}.parquet").schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+
+
+def _drain(frame: DataFrame, out: str) -> DataFrame:
+    frame.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True).start(f"{out}/rows").awaitTermination()
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema.fields])
+    return frame.sparkSession.read.schema(schema).parquet(f"{out}/rows")
+
+
+@query("""SELECT event_id, event_type, c_name AS customer FROM events
+LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey
+WHERE event_type IS DISTINCT FROM 'error' AND value > 3""")
+def stream_view(t: Tables) -> DataFrame:
+    """A view with a filter and a left join over a stream of events."""
+    live = I.stream_view({"events": _stream(t, "events"), "customer": t.customer}, {
+        "from": "events",
+        "join": [{"to": "customer", "on": {"left": "user_id", "right": "c_custkey"},
+                  "where": {"c_acctbal": {"gt": 0}}, "as": "c",
+                  "flatten": {"preserve_empty": True}}],
+        "where": {"not": {"event_type": "error"}, "value": {"gt": 3}},
+        "select": keep("event_id", "event_type", "c.c_name=customer"),
+    })
+    return _drain(live, t.scratch())
+
+
+@query(_PIECES.format(key="o_orderstatus", size=PIECE, rows="SELECT o_orderstatus, o_orderkey AS id FROM orders"))
+def stream_grouped(t: Tables) -> DataFrame:
+    """Ordered lists over a stream, computed again from the rows so far."""
+    out = t.scratch()
+    write = lambda view: view.write.mode("overwrite").parquet(f"{out}/view")
+    orders = V.source(_stream(t, "orders"), ["o_orderkey"])
+    I.recompute_view(
+        orders, f"{out}/table", {}, {"from": "orders", "grouped": {"by": "o_orderstatus"}}, write,
+        f"{out}/state", segments=True, segment_rows=PIECE,
+    ).awaitTermination()
+    return _list_ends(t.spark.read.parquet(f"{out}/view"), "o_orderstatus", "orders", "o_orderkey")
+
+
+@query("""SELECT 'rich' AS view, count(*) AS n FROM customer WHERE c_acctbal > 5000
+UNION ALL SELECT 'rich_orders', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000""")
+def incremental_refresh(t: Tables) -> DataFrame:
+    """Customers changed: only the views downstream of them are rebuilt."""
+    out = t.scratch()
+    specs = {
+        "rich_orders": {"from": "orders", "join": {
+            "to": "rich", "on": {"left": "o_custkey", "right": "c_custkey"}, "as": "c", "flatten": True}},
+        "rich": {"from": "customer", "where": {"c_acctbal": {"gt": 5000}}},
+        "urgent": {"from": "orders", "where": {"o_orderpriority": {"startswith": "1"}}},
+    }
+    write = lambda name, frame: frame.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("view"), "n").write.mode("append").parquet(out)
+    I.refresh({"orders": t.orders, "customer": t.customer}, specs, ["customer"], write)
+    return t.spark.read.parquet(out)
