@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 # CommonMark block starts.
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _QUOTE = re.compile(r" {0,3}> ?")
@@ -40,9 +40,17 @@ _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[^\s<>@]+@[^\
 _PUNCT = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _ESCAPED = re.compile(rf"\\([{_PUNCT}])")
 _TITLE = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)", re.S)
+_BACKTICKS = re.compile("`+")
+# Where hidden spans start, and with the brackets where the link scan stops.
+_HIDING = re.compile(r"[`\\<]")
+_BRACKETS = re.compile(r"[`\\<\[\]]|!\[")
 _UNDERSCORES = re.compile(r"(?<![\w])(_{1,3})(?=[^\s_])(.*?[^\s_])\1(?![\w])", re.S)
 
 
+#: Fixed value: containers nested deeper than this hold no blocks.
+_MAX_NESTING = 20
+
+
 class Block(NamedTuple):
     """A heading (``level`` 1-6) or other inline text (``level`` 0)."""
 
@@ -56,7 +64,7 @@ class Block(NamedTuple):
 def blocks(text: str) -> list[Block]:
     """The blocks of a text that hold inline content, in order."""
     lines = [(i, line.removesuffix("\r"), False) for i, line in enumerate(text.split("\n"))]
-    return list(_scan(lines, top=True))
+    return list(_scan(lines, 0))
 
 
 def _indent(line: str) -> int:
@@ -79,7 +87,18 @@ def _starts_block(line: str) -> bool:
     )
 
 
-def _scan(lines: list[tuple[int, str, bool]], top: bool) -> Iterator[Block]:
+def _heading_text(rest: str) -> str:
+    """What follows the marks of an ATX heading, without closing marks."""
+    body = rest.strip(" \t")
+    cut = body.rstrip("#")
+    if cut != body and (not cut or cut[-1] in " \t"):
+        return cut.rstrip(" \t")
+    return body
+
+
+def _scan(lines: list[tuple[int, str, bool]], level: int) -> Iterator[Block]:
+    if level >= _MAX_NESTING:
+        return
     para: list[tuple[int, str]] = []
 
     def flush(level: int = 0) -> list[Block]:
@@ -112,7 +131,8 @@ def _scan(lines: list[tuple[int, str, bool]], top: bool) -> Iterator[Block]:
             i += 1
         elif atx := _ATX.match(line):
             yield from flush()
-            yield Block(len(atx[1]), (atx[2] or "").strip(" \t"), number, number + 1, top)
+            title = _heading_text(line[atx.end():])
+            yield Block(len(atx[1]), title, number, number + 1, level == 0)
             i += 1
         elif para and (under := _SETEXT.match(line)):
             para.append((number, ""))
@@ -138,7 +158,7 @@ def _scan(lines: list[tuple[int, str, bool]], top: bool) -> Iterator[Block]:
             yield from flush()
             inner, i = _contained(lines, i, lambda t: _QUOTE.sub("", t, count=1)
                                   if _QUOTE.match(t) else None, blanks=False)
-            yield from _scan(inner, top=False)
+            yield from _scan(inner, level + 1)
         elif (item := _ITEM.match(line)) and (
             not para or (line[item.end():].strip() and item[2] in (None, "1"))
         ):
@@ -149,7 +169,7 @@ def _scan(lines: list[tuple[int, str, bool]], top: bool) -> Iterator[Block]:
             first = (number, " " * max(0, len(item[1]) + gap - width) + rest, False)
             inner, i = _contained(lines, i + 1, lambda t: _dedented(t, width)
                                   if _indent(t) >= width else None, blanks=True, start=first)
-            yield from _scan(inner, top=False)
+            yield from _scan(inner, level + 2)
         else:
             para.append((number, line))
             i += 1
@@ -185,25 +205,25 @@ def _contained(lines, i, strip, blanks, start=None):
 
 def _spans(text: str) -> Iterator[tuple[int, int, str]]:
     """Code spans, escapes, autolinks and tags, which hide link syntax."""
-    i = 0
-    while i < len(text):
-        found = None
+    at = 0
+    while mark := _HIDING.search(text, at):
+        i = mark.start()
+        at = i + 1
         if text[i] == "`":
-            run = re.compile("`+").match(text, i)[0]
-            close = re.compile(rf"(?<!`)`{{{len(run)}}}(?!`)").search(text, i + len(run))
-            found = (i, close.end(), "code") if close else (i, i + len(run), "text")
-        elif text[i] == "\\" and _ESCAPED.match(text, i):
-            found = (i, i + 2, "escape")
-        elif text[i] == "<":
-            if auto := _AUTOLINK.match(text, i):
-                found = (i, auto.end(), "auto")
-            elif tag := _TAG.match(text, i):
-                found = (i, tag.end(), "tag")
-        if found:
-            yield found
-            i = found[1]
-        else:
-            i += 1
+            run = len(_BACKTICKS.match(text, i)[0])
+            close = next((c for c in _BACKTICKS.finditer(text, i + run) if len(c[0]) == run), None)
+            at = close.end() if close else i + run
+            yield i, at, "code" if close else "text"
+        elif text[i] == "\\":
+            if _ESCAPED.match(text, i):
+                at = i + 2
+                yield i, at, "escape"
+        elif auto := _AUTOLINK.match(text, i):
+            at = auto.end()
+            yield i, at, "auto"
+        elif tag := _TAG.match(text, i):
+            at = tag.end()
+            yield i, at, "tag"
 
 
 def _target(text: str, i: int) -> tuple[str, int] | None:
@@ -250,20 +270,23 @@ class Link(NamedTuple):
 def inline_links(text: str) -> list[Link]:
     """Inline links and images in order of their opening bracket; those inside
     an image's text are not links."""
+    if "](" not in text:
+        return []
     hidden = {s: e for s, e, _ in _spans(text)}
     openers: list[tuple[int, bool, bool]] = []
     found: list[Link] = []
-    i = 0
-    while i < len(text):
+    at = 0
+    while mark := _BRACKETS.search(text, at):
+        i = mark.start()
+        at = i + 1
         if i in hidden:
-            i = hidden[i]
-            continue
-        if text[i] == "[" or text.startswith("![", i):
-            image = text[i] == "!"
-            openers.append((i, image, True))
-            i += 2 if image else 1
-            continue
-        if text[i] == "]" and openers:
+            at = hidden[i]
+        elif text[i] == "[":
+            openers.append((i, False, True))
+        elif text[i] == "!":
+            openers.append((i, True, True))
+            at = i + 2
+        elif text[i] == "]" and openers:
             start, image, active = openers.pop()
             target = _target(text, i + 1) if active and text[i + 1 : i + 2] == "(" else None
             if target:
@@ -272,9 +295,7 @@ def inline_links(text: str) -> list[Link]:
                 else:
                     openers = [(s, im, a and im) for s, im, a in openers]
                 found.append(Link(start, i, target[1], target[0], image))
-                i = target[1]
-                continue
-        i += 1
+                at = target[1]
     return sorted(found)
 
 

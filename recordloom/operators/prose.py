@@ -18,7 +18,7 @@ from recordloom.functions import markdown
 from recordloom.functions.paths import ORD, column, visible
 from recordloom.functions.text import folder, normal_path
 from recordloom.operators.groups import SEGMENT, nested_lists
-from recordloom.operators.nodes import BLOB, href
+from recordloom.operators.nodes import BLOB, PROSE, href
 
 _S, _L = T.StringType(), T.LongType()
 _HEADINGS = T.ArrayType(
@@ -135,22 +135,32 @@ def node_links(links: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolve_links(
+    links: DataFrame, nodes: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
     """Links of :func:`node_links` plus ``found``, the address they land on,
-    NULL for a broken link. Only a blob may carry a fragment of its own, so a
-    link to one also matches by its base."""
-    known = nodes.select(F.col("address").alias("__a"), F.col("origin").alias("__o"))
-    # One row per address: a link on a hot target then meets one row.
-    known = known.groupBy("__a").agg(F.max(F.col("__o") == BLOB).alias("__blob"))
-    exact = links.join(known.drop("__blob"), F.col("address") == F.col("__a"), "left")
-    exact = exact.withColumnRenamed("__a", "__hit")
-    blobs = known.filter("__blob").select(F.col("__a").alias("__b"))
-    retry = F.col("__hit").isNull() & (F.col("fragment") != "")
-    wanted = F.when(retry, F.col("base"))
-    joined = exact.withColumn("__want", wanted).join(
-        blobs, F.col("__want") == F.col("__b"), "left"
+    NULL for a broken link, and the ``carry`` columns of that node. Only a blob
+    may carry a fragment of its own, so a link to one also matches by its base.
+
+    ``nodes`` is read twice; give a stored table, not a plan that parses the
+    documents again.
+    """
+    # One row per address, whatever the number of links that meet it.
+    known = nodes.groupBy(F.col("address").alias("found")).agg(
+        F.max(F.col("origin") == BLOB).alias("__blob"),
+        *[F.min(name).alias(name) for name in carry],
+    )
+    tags = ("found", *carry)
+    exact = known.select(*[F.col(n).alias(f"__x_{n}") for n in tags])
+    blobs = known.filter("__blob").select(*[F.col(n).alias(f"__b_{n}") for n in tags])
+    joined = links.join(exact, F.col("address") == F.col("__x_found"), "left")
+    retry = F.col("__x_found").isNull() & (F.col("fragment") != "")
+    joined = joined.withColumn("__want", F.when(retry, F.col("base"))).join(
+        blobs, F.col("__want") == F.col("__b_found"), "left"
+    )
+    return joined.select(
+        *links.columns, *[F.coalesce(f"__x_{n}", f"__b_{n}").alias(n) for n in tags]
     )
-    return joined.withColumn("found", F.coalesce("__hit", "__b")).drop("__hit", "__b", "__want")
 
 
 def broken_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -214,28 +224,26 @@ def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
     each link as a path from the document's page to the target's, broken ones
     cut to a bare ``[text]``. ``pages`` is the output of
     :func:`.nodes.assign_pages`."""
-    mine = pages.filter(F.col("edition") == edition)
+    mine = pages.filter(F.col("edition") == edition).select(
+        "address", "origin", "segment", "page_path", F.col("fragment").alias("landing")
+    )
     some = docs.filter(may_have_links(column("content")))
     spans = some.select("id", F.posexplode(_links(column("content"))).alias("ord", "l"))
-    spans = spans.select("id", "ord", "l.*")
-    node = F.col("dest").startswith("node:")
     address = F.regexp_extract("dest", "^node:(.*)$", 1)
-    inner = spans.filter(node).select(
-        "id", "ord", "start", "end", "dest", address.alias("address"),
+    inner = spans.select("id", "ord", "l.*").filter(F.col("dest").startswith("node:")).select(
+        "id", "ord", "start", "end", address.alias("address"),
         F.regexp_extract(address, "^[^#]*", 0).alias("base"),
         F.regexp_extract(address, "#(.*)$", 1).alias("fragment"),
     )
-    place = mine.groupBy(F.col("address").alias("__at")).agg(
-        F.min("page_path").alias("__page"), F.min("fragment").alias("__fragment"),
-        F.max(F.col("origin") == BLOB).alias("__blob"),
-    )
-    found = resolve_links(inner, mine).join(place, F.col("found") == F.col("__at"), "left")
-    source = mine.filter(F.col("origin") == "prose.item").groupBy(
+    found = resolve_links(inner, mine, carry=("page_path", "landing"))
+    source = mine.filter(F.col("origin") == PROSE).groupBy(
         F.col("segment").alias("__doc")
     ).agg(F.min("page_path").alias("__from"))
     found = found.join(source, F.col("id") == F.col("__doc"), "left")
-    landing = F.when(F.col("__blob") & (F.col("found") == F.col("base")), F.col("fragment"))
-    url = href(F.col("__from"), F.col("__page"), F.coalesce(landing, F.col("__fragment")))
+    # A blob found by its base keeps the fragment the author wrote.
+    own = (F.col("found") != F.col("address")) & (F.col("landing") == "")
+    landing = F.when(own, F.col("fragment")).otherwise(F.col("landing"))
+    url = href(F.col("__from"), F.col("page_path"), landing)
     # Other links keep their text, so only node links are spliced.
     spans = found.select(
         "id", F.struct("ord", "start", "end", url.alias("to")).alias("s")

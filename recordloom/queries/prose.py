@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import nodes as N
 from recordloom.operators import prose as P
 from recordloom.queries.registry import Tables, query
+from recordloom.sources.sinks import stored
 
 
 
@@ -87,8 +88,10 @@ def link_targets(t: Tables) -> DataFrame:
 
 
 def _nodes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    prose = P.interpret_prose(corpus(t))
-    return prose, N.node_index({"prose": prose, "blob": pictures(t)})
+    """The interpreted documents and the address table, each worked out once."""
+    out = t.scratch()
+    prose = stored(P.interpret_prose(corpus(t)), f"{out}/prose")
+    return prose, stored(N.node_index({"prose": prose, "blob": pictures(t)}), f"{out}/nodes")
 
 
 @query(f"""SELECT id, address FROM (

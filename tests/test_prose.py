@@ -39,6 +39,8 @@ def dests(text):
         ("# crlf\r\ntext\r\n", [(1, "crlf", "crlf")]),
         ("para\n# head\nlazy\n> quote\nlazy\n===\n", [(1, "head", "head")]),
         ("- a\n- b\n---\n", []),
+        (">" * 5000 + " # deep\n\n# x #\n# y#\n# z \\##\n", [
+            (1, "x", "x"), (1, "y#", "y"), (1, "z \\##", "z-")]),
         ("", []),
     ],
 )
