@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ _UCSCHAR = (
 _URL_KEPT = r":/?#\[\]@!$&'*+,;="
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, however often
+    ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def iri_escape(value: Column, kept: str = "") -> Column:
     """Percent-encode all but unreserved ASCII, ``kept`` (the inside of a regex
     character class) and the non-ASCII characters an IRI may carry."""
@@ -114,14 +122,21 @@ def folder(path: Column) -> Column:
 
 def relative_path(target: Column, source: Column) -> Column:
     """The path of file ``target`` as seen from file ``source``."""
-    start, steps = folder(source), F.split(target, "/")
+    steps = F.struct(folder(source).alias("start"), F.split(target, "/").alias("steps"))
+    return bind(steps, lambda p: _climb(p["start"], p["steps"]))
+
+
+def _climb(start: Column, steps: Column) -> Column:
     same = F.zip_with(start, steps, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    differ = F.array_position(same, False).cast("int")
-    shared = F.when(differ == 0, F.size(same)).otherwise(differ - 1)
-    up = F.array_repeat(F.lit(".."), F.size(start) - shared)
-    down = F.slice(steps, shared + 1, F.greatest(F.size(steps) - shared, F.lit(0)))
-    joined = F.array_join(F.concat(up, down), "/")
-    return F.when(joined == "", ".").otherwise(joined)
+
+    def path(shared: Column) -> Column:
+        up = F.array_repeat(F.lit(".."), F.size(start) - shared)
+        down = F.slice(steps, shared + 1, F.greatest(F.size(steps) - shared, F.lit(0)))
+        return F.array_join(F.concat(up, down), "/")
+
+    differ = F.array_position(F.array_append(same, F.lit(False)), False).cast("int")
+    joined = bind(differ - 1, path)
+    return F.when(F.array_join(start, "/") == F.array_join(steps, "/"), ".").otherwise(joined)
 
 
 def normal_path(steps: Column) -> Column:

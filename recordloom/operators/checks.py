@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.paths import ORD, column, resolve, visible
 from recordloom.functions.predicates import domain
+from recordloom.functions.text import bind
 from recordloom.sources.schema import (
     Reference,
     Schema,
@@ -44,7 +45,7 @@ def schema_violations(frame: DataFrame, entity: str, schema: Schema, key: Column
     """Diagnostics of the declared rules on a typed frame, found in one pass
     over its rows. ``key`` names a row in the result."""
     found = _typed_fields(column, frame.schema, _item_schema(schema), F.lit(""))
-    return _exploded(frame.select(key.alias("__key"), found.alias("__found")), F.lit(entity))
+    return _exploded(frame, key, found, F.lit(entity))
 
 
 def text_violations(files: DataFrame, schema: Schema) -> DataFrame:
@@ -52,24 +53,30 @@ def text_violations(files: DataFrame, schema: Schema) -> DataFrame:
     ``problem`` for unreadable files), types and unknown keys included. A typed
     read cannot see those: it turns ``1`` into ``'1'`` and drops unknown keys."""
     entities(schema)
-    value = F.try_parse_json("text")
-    kind = F.schema_of_variant(value)
-    unreadable = F.coalesce(
-        F.col("problem"),
-        F.when(value.isNull(), F.lit("not valid JSON, or a key occurs twice")),
-        F.when(~kind.startswith("OBJECT"), F.lit("expected a mapping at the root")),
-    )
-    found = F.when(
-        unreadable.isNotNull(), F.array(_violation(F.lit(""), "syntax", unreadable))
-    ).otherwise(_variant(value, {**schema, "additionalProperties": False}, F.lit("")))
-    frame = files.select(F.col("path").alias("__key"), found.alias("__found"))
+    root = {**schema, "additionalProperties": False}
+
+    def found(value: Column) -> Column:
+        unreadable = F.coalesce(
+            F.col("problem"),
+            F.when(value.isNull(), F.lit("not valid JSON, or a key occurs twice")),
+        )
+        syntax = lambda message: F.array(_violation(F.lit(""), "syntax", message))
+        no_mapping = syntax(F.lit("expected a mapping at the root"))
+        return F.when(unreadable.isNotNull(), syntax(unreadable)).otherwise(
+            _variant_node(value, root, F.lit(""), no_mapping)
+        )
+
+    # The text is parsed once per file, not once per rule.
+    checked = bind(F.try_parse_json("text"), found)
     # The entity is the first step of the path inside the file.
     entity = F.nullif(F.regexp_extract(F.col("__v.path"), "^/([^/]*)", 1), F.lit(""))
-    return _exploded(frame, entity)
+    return _exploded(files, F.col("path"), checked, entity)
 
 
-def _exploded(frame: DataFrame, entity: Column) -> DataFrame:
-    rows = frame.select("__key", F.explode("__found").alias("__v"))
+def _exploded(frame: DataFrame, key: Column, found: Column, entity: Column) -> DataFrame:
+    # The array is built inside the explode. As a column of its own it would be
+    # worked out again by the filter Spark infers for exploded columns.
+    rows = frame.select(key.alias("__key"), F.explode(found).alias("__v"))
     return _diagnostics(
         rows,
         severity=F.lit("error"),
@@ -177,60 +184,81 @@ def _typed(value: Column, kind: T.DataType, schema: Schema, path: Column) -> Col
 
 
 def _variant(value: Column, schema: Schema, path: Column) -> Column:
-    kind = F.schema_of_variant(value)
+    return bind(value, lambda v: _variant_node(v, schema, path))
+
+
+def _variant_node(
+    value: Column, schema: Schema, path: Column, wrong: Column | None = None
+) -> Column:
     declared = schema["type"]
+    if wrong is None:
+        message = F.concat(F.to_json(value), F.lit(f" is not of type '{declared}'"))
+        wrong = F.array(_violation(path, "type", message))
+    # Reading a value as a map or array tells its kind at one level's cost;
+    # schema_of_variant would visit everything below it.
     if declared == "object":
-        keyed = F.try_variant_get(value, "$", "map<string,variant>")
-        fits = kind.startswith("OBJECT")
         if is_single(schema):
-            found = _variant_fields(keyed, schema, path)
+            fields = lambda m: _variant_fields(m, schema, path)
         else:
             child = schema["additionalProperties"]
-            found = _each(F.map_entries(keyed),
-                          lambda e, i: _variant(e["value"], child, _below(path, e["key"])))
-    elif declared == "array":
-        items = F.try_variant_get(value, "$", "array<variant>")
-        fits = kind.startswith("ARRAY")
-        inner = _each(items, lambda v, i: _variant(v, schema["items"], _below(path, i)))
-        found = _all([*_array_rules(schema, F.transform(items, lambda v: F.to_json(v)), path),
-                      inner])
-    else:
-        number = F.try_variant_get(value, "$", "double")
-        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        fits = {
-            "string": kind == "STRING",
-            "boolean": kind == "BOOLEAN",
-            "number": numeric,
-            "integer": numeric & (number == F.floor(number)),
-        }[declared]
-        found = _all(_scalar_rules(
-            schema, path,
-            number=number if declared in ("number", "integer") else None,
-            text=F.try_variant_get(value, "$", "string") if declared == "string" else None,
-            flag=F.try_variant_get(value, "$", "boolean") if declared == "boolean" else None,
-        ))
-    wrong = F.array(_violation(path, "type", F.concat(F.to_json(value),
-                                                      F.lit(f" is not of type '{declared}'"))))
+            fields = lambda m: _each(
+                F.map_entries(m),
+                lambda e, i: _variant(e["value"], child, _below(path, e["key"])),
+            )
+        return bind(
+            F.try_variant_get(value, "$", "map<string,variant>"),
+            lambda m: F.when(m.isNotNull(), fields(m)).otherwise(wrong),
+        )
+    if declared == "array":
+        inside = lambda items: _all([
+            *_array_rules(schema, F.transform(items, lambda v: F.to_json(v)), path),
+            _each(items, lambda v, i: _variant(v, schema["items"], _below(path, i))),
+        ])
+        return bind(
+            F.try_variant_get(value, "$", "array<variant>"),
+            lambda items: F.when(items.isNotNull(), inside(items)).otherwise(wrong),
+        )
     # A JSON null is the variant type VOID, never of a declared type.
+    kind = F.schema_of_variant(value)
+    read = {"string": "string", "boolean": "boolean"}.get(declared, "double")
+    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    fits = {"string": kind == "STRING", "boolean": kind == "BOOLEAN"}.get(declared, numeric)
+    inner = F.try_variant_get(value, "$", read)
+    if declared == "integer":
+        fits = fits & (inner == F.floor(inner))
+    rules = lambda v: _scalar_rules(
+        schema, path,
+        number=v if read == "double" else None,
+        text=v if read == "string" else None,
+        flag=v if read == "boolean" else None,
+    )
+    has_rules = bool(rules(inner))
+    found = bind(inner, lambda v: _all(rules(v))) if has_rules else F.array().cast(_FOUND)
     return F.when(fits, found).otherwise(wrong)
 
 
 def _variant_fields(keyed: Column, schema: Schema, path: Column) -> Column:
-    declared = schema["properties"]
+    declared, required = schema["properties"], schema.get("required", ())
+    none = F.array().cast(_FOUND)
     known = F.array(*[F.lit(n) for n in declared]).cast("array<string>")
     extra = F.array_except(F.map_keys(keyed), known)
     parts = [F.transform(extra, lambda k: _violation(
         path, "additionalProperties", F.concat(F.lit("unexpected key '"), k, F.lit("'"))))]
-    for name in schema.get("required", ()):
-        parts.append(_when(~F.map_contains_key(keyed, name), path, "required",
-                           F.lit(f"'{name}' is missing")))
-    none = F.array().cast(_FOUND)
     for name, child in declared.items():
-        inner = _variant(F.element_at(keyed, name), child, _below(path, name))
-        parts.append(F.when(F.map_contains_key(keyed, name), inner).otherwise(none))
+        missing = none
+        if name in required:
+            missing = F.array(_violation(path, "required", F.lit(f"'{name}' is missing")))
+        parts.append(_variant_child(F.try_element_at(keyed, F.lit(name)), child,
+                                    _below(path, name), missing))
     return _all(parts)
 
 
+def _variant_child(value: Column, schema: Schema, path: Column, missing: Column) -> Column:
+    return bind(
+        value, lambda v: F.when(v.isNull(), missing).otherwise(_variant_node(v, schema, path))
+    )
+
+
 def _array_rules(schema: Schema, items: Column, path: Column) -> list[Column]:
     size = F.size(items)
     out = []

@@ -104,25 +104,45 @@ def _origin(kind: Column, origins: Mapping[str, str]) -> Column:
 
 def _frame_nodes(name: str, frame: DataFrame, origins, single: bool) -> DataFrame:
     up, _, last = name.rpartition(".")
-    above = F.array(_line(F.lit("/"), ROOT_TYPE))
+    lines = [_line(F.lit("/"), ROOT_TYPE)]
     here = _top(F.lit(last))
     if up:
-        above = F.array_append(above, _line(_top(F.lit(up)), up))
+        lines.append(_line(_top(F.lit(up)), up))
         here = F.concat(_top(F.lit(up)), here)
     kind = T.StructType([f for f in frame.schema.fields if f.name != ORD])
     if single:
         parent = _top(F.lit(up)) if up else F.lit("/")
-        found = _record(column, kind, parent, F.lit(last), here, name, above, origins)
+        found = _record(column, kind, parent, F.lit(last), here, name, F.array(*lines), origins)
     elif "id" in kind.names:
-        above = F.array_append(above, _line(here, f"{name}.item[]"))
-        found = _element(column, kind, here, f"{name}.item", above, origins, None)
+        lines.append(_line(here, f"{name}.item[]"))
         frame = frame.filter(column("id").isNotNull())
+        if not any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in kind.fields):
+            return _flat_nodes(frame, kind, here, f"{name}.item", lines, origins)
+        found = _element(column, kind, here, f"{name}.item", F.array(*lines), origins, None)
     else:
         # A row without an id, and all below it, has no address.
         found = F.array().cast(_NODES)
     return frame.select(F.explode(found).alias("n")).select("n.*")
 
 
+def _flat_nodes(frame, kind, parent: Column, type_: str, above: list, origins) -> DataFrame:
+    """Nodes of rows with nothing below them: plain columns, one node a row."""
+    origin, names = origins.get(type_, type_), _label_names(kind)
+    segment = column("id").cast("string")
+    address = _below(parent, iri_escape(segment, "/" if origin in (PROSE, BLOB) else ""))
+    labels = [column(n).cast("string").alias(f"__l{i}") for i, n in enumerate(names)]
+    rows = frame.select(address.alias("__a"), segment.alias("__s"), *labels)
+    here = F.col("__a")
+    label = F.coalesce(*[F.col(f"__l{i}") for i in range(len(names))], here)
+    node = _node(here, parent, F.col("__s"), type_, origins, label,
+                 F.lit("") if origin == BLOB else here, F.array(*above, _line(here, type_)))
+    return rows.select(node.alias("n")).select("n.*")
+
+
+def _label_names(kind: T.StructType) -> list[str]:
+    return [n for n in ("title", "name", "id") if n in kind.names]
+
+
 def _line(address: Column, kind: str) -> Column:
     return F.struct(address.alias("address"), F.lit(kind).alias("type"))
 
@@ -153,7 +173,7 @@ def _element(
 
 def _record(read, kind, parent, segment, address, type_: str, above, origins) -> Column:
     origin = origins.get(type_, type_)
-    names = [read(n).cast("string") for n in ("title", "name", "id") if n in kind.names]
+    names = [read(n).cast("string") for n in _label_names(kind)]
 
     def nodes(here: Column) -> Column:
         fragment = {BLOB: F.lit(""), HEADING: segment}.get(origin, here)
@@ -345,11 +365,8 @@ def assign_pages(nodes: DataFrame, editions: Mapping[str, Sequence[str]]) -> Dat
         F.col("ancestors"), lambda a: F.array_contains(F.col("__edition.types"), a["type"])
     )
     owner = F.try_element_at(split, F.lit(-1))["address"]
-    path = F.regexp_replace(owner, "^/", "")
-    page = (
-        F.when(F.col("origin") == BLOB, F.regexp_replace("address", "^/", ""))
-        .when(owner.isNull(), "index.md")
-        .otherwise(F.concat(path, F.lit(".md")))
+    page = F.when(F.col("origin") == BLOB, F.regexp_replace("address", "^/", "")).otherwise(
+        F.coalesce(F.concat(F.regexp_replace(owner, "^/", ""), F.lit(".md")), F.lit("index.md"))
     )
     return spread.select(
         F.col("__edition.name").alias("edition"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions import markdown
 from recordloom.functions.paths import ORD, column, visible
-from recordloom.functions.text import folder, normal_path
+from recordloom.functions.text import bind, folder, normal_path
 from recordloom.operators.groups import SEGMENT, nested_lists
 from recordloom.operators.nodes import BLOB, PROSE, href
 
@@ -107,18 +107,24 @@ def link_target(doc_id: Column, dest: Column) -> Column:
     ``node:/blob/<path>`` with its fragment for a relative path inside the
     tree, else ``dest`` as it is."""
     path = F.regexp_extract(dest, r"^[^?#]*", 0)
-    fragment = F.regexp_extract(dest, r"#(.*)$", 1)
     inside = (
         ~dest.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (path != "") & ~path.startswith("/")
     )
     steps = normal_path(F.concat(folder(doc_id), F.split(path, "/")))
-    resolved = F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/"))
+    resolved = bind(F.array_join(steps, "/"), lambda p: F.when(p == "", ".").otherwise(p))
+    return F.when(
+        inside, bind(resolved, lambda place: _node_address(place, dest))
+    ).otherwise(dest)
+
+
+def _node_address(resolved: Column, dest: Column) -> Column:
     node = F.when(
         F.lower(resolved).endswith(".md"),
         F.concat(F.lit("node:/prose/"), F.regexp_replace(resolved, r"...\z", "")),
     ).otherwise(F.concat(F.lit("node:/blob/"), resolved))
-    whole = F.when(fragment == "", node).otherwise(F.concat(node, F.lit("#"), fragment))
-    return F.when(inside & ~resolved.startswith("../"), whole).otherwise(dest)
+    # "#" alone is no fragment.
+    whole = F.concat(node, F.regexp_extract(dest, r"#.+$", 0))
+    return F.when(resolved.startswith("../"), dest).otherwise(whole)
 
 
 def node_links(links: DataFrame, key: str = "id") -> DataFrame:
