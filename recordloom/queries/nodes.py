@@ -9,6 +9,7 @@ from recordloom.functions import text as X
 from recordloom.operators import nodes as N
 from recordloom.operators import views as V
 from recordloom.queries.registry import Tables, query
+from recordloom.sources.tree import mime_type
 
 
 def places(t: Tables) -> dict[str, DataFrame]:
@@ -161,3 +162,14 @@ def markdown_escapes(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id", F.md5(X.md_escape(F.col("text"))).alias("escaped"),
         F.md5(X.md_cell(F.col("text"))).alias("cell"), link.alias("link"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html'
+  WHEN 2 THEN 'application/x-tar' WHEN 3 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type
+FROM pages""")
+def media_types(t: Tables) -> DataFrame:
+    """The media type of a file by its name."""
+    endings = F.array(*[F.lit(e) for e in (".png", ".HTML", ".tar.gz", ".pdf", ".unknown")])
+    ending = F.get(endings, (F.col("page_id") % 5).cast("int"))
+    path = F.concat(F.lit("files/"), F.col("page_id").cast("string"), ending)
+    return t.pages.select("page_id", mime_type(path).alias("mime_type"))

@@ -8,7 +8,7 @@ from recordloom.operators.checks import GateClosed, check_handwritten_blobs
 from recordloom.sources import sinks, yaml12
 from recordloom.sources.tree import mime_type, read_tree, record_files, scan_tree
 from tests.conftest import rows
-from tests.test_checks import SCHEMA, STRING, keyed, obj
+from tests.test_checks import SCHEMA
 
 
 def put(root, **files):
@@ -140,9 +140,9 @@ def test_page_files(spark, tmp_path):
     sinks.write_page_files(pages, out)
     assert open(f"{out}/web/index.md", encoding="utf-8").read() == "één\ntwo\n"
     assert open(f"{out}/web/a/b.md").read() == "x\n"
+    sinks.write_page_files(pages, str(tmp_path / "cut"), pieces_per_file=1)
+    cut = tmp_path / "cut" / "web"
+    assert cut.joinpath("index.md").read_text(encoding="utf-8") == "één\n"
+    assert cut.joinpath("index.1.md").read_text() == "two\n"
     sinks.write_page_table(pages, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).filter("edition = 'pdf'").count() == 1
-
-
-def test_schema_helpers_are_shared():
-    assert keyed(STRING)["additionalProperties"] is STRING and obj(a=STRING)["required"] == []
