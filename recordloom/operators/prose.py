@@ -152,13 +152,13 @@ def resolve_links(
     documents again.
     """
     # One row per address, whatever the number of links that meet it.
-    known = nodes.groupBy(F.col("address").alias("found")).agg(
-        F.max(F.col("origin") == BLOB).alias("__blob"),
-        *[F.min(name).alias(name) for name in carry],
-    )
+    def known(part: DataFrame, prefix: str) -> DataFrame:
+        values = [F.min(name).alias(prefix + name) for name in carry]
+        address = F.col("address").alias(prefix + "found")
+        return part.groupBy(address).agg(*values) if values else part.select(address).distinct()
+
     tags = ("found", *carry)
-    exact = known.select(*[F.col(n).alias(f"__x_{n}") for n in tags])
-    blobs = known.filter("__blob").select(*[F.col(n).alias(f"__b_{n}") for n in tags])
+    exact, blobs = known(nodes, "__x_"), known(nodes.filter(F.col("origin") == BLOB), "__b_")
     joined = links.join(exact, F.col("address") == F.col("__x_found"), "left")
     retry = F.col("__x_found").isNull() & (F.col("fragment") != "")
     joined = joined.withColumn("__want", F.when(retry, F.col("base"))).join(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.checks import GateClosed, check_handwritten_blobs
 from recordloom.sources import sinks, yaml12
+from recordloom.sources import tree as tree_module
 from recordloom.sources.tree import mime_type, read_tree, record_files, scan_tree
 from tests.conftest import rows
 from tests.test_checks import SCHEMA
@@ -54,6 +55,12 @@ def test_scan(spark, tree):
     assert "content" not in scan_tree(spark, tree).columns
 
 
+def test_a_large_walk_is_handed_on(spark, tree, monkeypatch):
+    whole = sorted(r["path"] for r in rows(scan_tree(spark, tree)))
+    monkeypatch.setattr(tree_module, "WALK_ENTRIES", 1)
+    assert sorted(r["path"] for r in rows(scan_tree(spark, tree))) == whole
+
+
 def test_read_tree(spark, tree):
     frames = read_tree(spark, tree, SCHEMA)
     got = lambda n: rows(frames[n].orderBy("__ord").drop("__ord"))
