@@ -199,16 +199,21 @@ def spliced(content: Column, links: Column, targets: Column) -> Column:
 
 def interpret_prose(docs: DataFrame) -> DataFrame:
     """Documents with ``title``, ``headings``, ``order_key`` and ``depth``, and
-    relative links in ``node:`` form."""
-    content = column("content")
-    wanted = F.when(may_have_headings(content) | may_have_links(content), content)
+    relative links in ``node:`` form. Content that is not Markdown gets its
+    place in the reading order only."""
+    content, markdown_row = column("content"), column("mime_type") == "text/markdown"
+    wanted = F.when(
+        markdown_row & (may_have_headings(content) | may_have_links(content)), content
+    )
     parsed = docs.withColumn("__p", _parsed(wanted))
     links = F.col("__p.links")
-    # Bound here: inside the lambda a column named like a link field would do.
     targets = F.transform(links, lambda link: link_target(column("id"), link["dest"]))
     title = first_title(F.col("__p.headings"))
     if "title" in docs.columns:
         title = F.coalesce(column("title"), title)
+    headings = F.when(markdown_row & content.isNotNull(), F.col("__p.headings"))
+    if "headings" in docs.columns:
+        headings = F.coalesce(headings, column("headings"))
     hidden = [column(ORD)] if ORD in docs.columns else []
     rest = [n for n in visible(docs.schema)
             if n not in ("id", "title", "order_key", "depth", "headings", "mime_type", "content")]
@@ -217,7 +222,7 @@ def interpret_prose(docs: DataFrame) -> DataFrame:
         title.alias("title"),
         order_key(column("id")).alias("order_key"),
         depth(column("id")).alias("depth"),
-        F.col("__p.headings").alias("headings"),
+        headings.alias("headings"),
         "mime_type",
         spliced(content, links, targets).alias("content"),
         *[column(n) for n in rest],

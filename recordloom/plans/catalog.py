@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from recordloom.functions.paths import ORD
 from recordloom.operators import views as V
 from recordloom.operators.nodes import origin_types
-from recordloom.plans.bundle import ViewSpec, source_names
+from recordloom.plans.bundle import ViewSpec, build_view, source_names
 from recordloom.sources.schema import CONTENT_SCHEMA, Schema, entities, is_single, row_type
 
 ENTITIES, VIEWS = "__definition.entities", "__definition.views"
@@ -86,6 +86,14 @@ def catalog(
             ((ENTITIES, table), (VIEWS, definitions))}
 
 
+def builtin_views(definitions: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The built-in views over the catalog frames."""
+    frames = dict(definitions)
+    for name, spec in CATALOG_VIEWS.items():
+        frames[name] = build_view(frames, spec)
+    return {n: frames[n] for n in CATALOG_VIEWS}
+
+
 def schema_types(schema: Schema, with_builtin: bool = True) -> dict[str, T.StructType]:
     """Row types of the collections a schema declares, the built-in ones last."""
     out = {n: row_type(e) for n, e in entities(schema).items() if not is_single(e)}

@@ -199,11 +199,7 @@ def test_catalog(spark):
     assert origin("by_tag.items.words") == "tasks.item.words.item"
     assert origin("tagged.tasks") == "tasks.item"
 
-    from recordloom.plans.bundle import build_view
-
-    built = dict(frames)
-    for name, spec in K.CATALOG_VIEWS.items():
-        built[name] = build_view(built, spec)
+    built = K.builtin_views(frames)
     ids = lambda n: [r["id"] for r in rows(built[n].orderBy("__ord"))]
     assert ids("__entity_tree")[:3] == ["tags", "tasks", "tasks.meta.steps"]
     assert [r["id"] for r in rows(built["__entity_defs"])] == [
