@@ -91,6 +91,22 @@ def hot_keys(frame: DataFrame, key: str, rows: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def likely_hot_keys(frame: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """As :func:`hot_keys`, from a sample large enough to hold about a thousand
+    rows of each such key, so hardly anything is shuffled. For choosing a plan
+    that gives the same rows whichever keys are found. The keys found are
+    checkpointed: every use of the result must see the same ones."""
+    fraction = min(1.0, 1_000 / max(rows, 1))
+    if fraction == 1.0:
+        return hot_keys(frame, key, rows)
+    sampled = frame.select(column(key)).sample(fraction, seed=7)
+    hot = hot_keys(sampled, key, int(rows * fraction))
+    if hot is None:
+        return None
+    ensure_checkpoint_dir(frame.sparkSession)
+    return hot.checkpoint()
+
+
 def ranked_positions(frame: DataFrame, key: str) -> DataFrame:
     """``frame`` plus ``__pos``, each row's 0-based place among the rows of its
     key, without sending a key to one task.

@@ -239,7 +239,7 @@ def origin_types(
     sorts are still rows of its source, and so are the rows nested by
     ``grouped``, by a ``join`` without ``flatten``, and in kept lists.
     ``types`` holds the row types of the sources and of the views."""
-    from recordloom.plans.bundle import _listed, evaluation_order
+    from recordloom.plans.bundle import listed, evaluation_order
 
     out: dict[str, str] = {}
 
@@ -260,7 +260,7 @@ def origin_types(
     for name in evaluation_order(dict(specs)):
         spec = specs[name]
         source, target = f"{spec['from']}.item", f"{name}.item"
-        joins = _listed(spec.get("join", ()))
+        joins = listed(spec.get("join", ()))
         lists = {j.get("as", j["to"]): f"{j['to']}.item" for j in joins if not j.get("flatten")}
         if "grouped" in spec:
             as_ = spec["grouped"].get("as", spec["from"].rsplit(".", 1)[-1])

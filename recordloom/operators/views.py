@@ -19,7 +19,7 @@ from recordloom.functions.predicates import domain, predicate
 from recordloom.operators.groups import (
     SEGMENT,
     SEGMENT_ROWS,
-    hot_keys,
+    likely_hot_keys,
     nested_lists,
     orderable,
 )
@@ -129,7 +129,9 @@ def join(
     """
     left_key, keyed, matchable = _join_sides(left, right, on, as_, right_where)
     condition = left_key == F.col("__rk") if matchable else F.lit(False)
-    hot = hot_keys(keyed, "__rk", hot_rows) if preserve_empty and matchable else None
+    # A stream's static side is looked at once, when the query is built.
+    split = preserve_empty and matchable
+    hot = likely_hot_keys(keyed, "__rk", hot_rows) if split else None
     if hot is None:
         joined = left.join(keyed, condition, "left" if preserve_empty else "inner")
     else:

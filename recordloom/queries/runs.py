@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from recordloom.operators import views as V
 from recordloom.queries.checks import INTEGER, NUMBER, STRING, record
 from recordloom.queries.registry import Tables, query
-from recordloom.queries.views import PIECE, _PIECES, _list_ends, keep
+from recordloom.queries.views import PIECE, PIECES_SQL, list_ends, keep
 from recordloom.sources import sinks
 from recordloom.sources.tree import read_entities, record_files
 from recordloom.streaming import incremental as I
@@ -120,7 +120,7 @@ def stream_view(t: Tables) -> DataFrame:
     return _drain(live, t.scratch())
 
 
-@query(_PIECES.format(key="o_orderstatus", size=PIECE, rows="SELECT o_orderstatus, o_orderkey AS id FROM orders"))
+@query(PIECES_SQL.format(key="o_orderstatus", size=PIECE, rows="SELECT o_orderstatus, o_orderkey AS id FROM orders"))
 def stream_grouped(t: Tables) -> DataFrame:
     """Ordered lists over a stream, computed again from the rows so far."""
     out = t.scratch()
@@ -130,7 +130,7 @@ def stream_grouped(t: Tables) -> DataFrame:
         orders, f"{out}/table", {}, {"from": "orders", "grouped": {"by": "o_orderstatus"}}, write,
         f"{out}/state", segments=True, segment_rows=PIECE,
     ).awaitTermination()
-    return _list_ends(t.spark.read.parquet(f"{out}/view"), "o_orderstatus", "orders", "o_orderkey")
+    return list_ends(t.spark.read.parquet(f"{out}/view"), "o_orderstatus", "orders", "o_orderkey")
 
 
 @query("""SELECT 'rich' AS view, count(*) AS n FROM customer WHERE c_acctbal > 5000

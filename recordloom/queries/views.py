@@ -254,7 +254,7 @@ def multi_join(t: Tables) -> DataFrame:
     })
 
 
-def _list_ends(frame: DataFrame, key: str, items: str, item: str) -> DataFrame:
+def list_ends(frame: DataFrame, key: str, items: str, item: str) -> DataFrame:
     """A nested list in a flat form two engines can compare."""
     ids = F.transform(items, lambda x: x[item])
     return frame.select(
@@ -265,7 +265,7 @@ def _list_ends(frame: DataFrame, key: str, items: str, item: str) -> DataFrame:
 
 
 # A list in pieces of {size}, numbered in the order of the item id.
-_PIECES = """SELECT {key}, segment, count(id) AS n, min(id) AS first_id, max(id) AS last_id,
+PIECES_SQL = """SELECT {key}, segment, count(id) AS n, min(id) AS first_id, max(id) AS last_id,
   coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids
 FROM (SELECT {key}, id, CASE WHEN id IS NULL THEN 0
         ELSE CAST(floor((row_number() OVER (PARTITION BY {key} ORDER BY id) - 1) / {size}) AS BIGINT) END
@@ -273,7 +273,7 @@ FROM (SELECT {key}, id, CASE WHEN id IS NULL THEN 0
 GROUP BY {key}, segment"""
 
 
-@query(_PIECES.format(key="n_nationkey", size=100_000, rows="""
+@query(PIECES_SQL.format(key="n_nationkey", size=100_000, rows="""
   SELECT n_nationkey, s_suppkey AS id FROM nation
   LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey"""))
 def nest_attach(t: Tables) -> DataFrame:
@@ -282,15 +282,15 @@ def nest_attach(t: Tables) -> DataFrame:
         "join": [{"to": "supplier", "on": {"left": "n_nationkey", "right": "s_nationkey"},
                   "where": {"s_acctbal": {"gt": 5000}}, "as": "suppliers"}],
     }, segments=True)
-    return _list_ends(out, "n_nationkey", "suppliers", "s_suppkey")
+    return list_ends(out, "n_nationkey", "suppliers", "s_suppkey")
 
 
-@query(_PIECES.format(key="c_custkey", size=100_000, rows="""
+@query(PIECES_SQL.format(key="c_custkey", size=100_000, rows="""
   SELECT c_custkey, o_orderkey AS id FROM customer LEFT JOIN orders ON c_custkey = o_custkey"""))
 def nest_attach_orders(t: Tables) -> DataFrame:
     sources = {"customer": t.customer, "orders": V.source(t.orders, ["o_orderkey"])}
     out = view(sources, {"from": "customer", "join": [ORDERS_OF]}, segments=True)
-    return _list_ends(out, "c_custkey", "orders", "o_orderkey")
+    return list_ends(out, "c_custkey", "orders", "o_orderkey")
 
 
 # ── grouped ──────────────────────────────────────────────────────────
@@ -305,14 +305,14 @@ def grouped_turns(t: Tables) -> DataFrame:
                       F.array_join(F.transform("turns", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query(_PIECES.format(key="event_type", size=PIECE,
+@query(PIECES_SQL.format(key="event_type", size=PIECE,
                       rows="SELECT event_type, event_id AS id FROM events"))
 def grouped_hot_keys(t: Tables) -> DataFrame:
     """A handful of values hold all rows: each list comes in pieces."""
     out = view({"events": V.source(t.events, ["event_id"])},
                {"from": "events", "grouped": {"by": "event_type"}},
                segments=True, segment_rows=PIECE)
-    return _list_ends(out, "event_type", "events", "event_id")
+    return list_ends(out, "event_type", "events", "event_id")
 
 
 @query("""SELECT kind, count(*) AS n FROM (SELECT {'kind': event_type} AS e FROM events

@@ -87,6 +87,17 @@ def test_left_join_with_a_hot_right_key(artists, albums):
     assert out(hot) == out(plain)
 
 
+def test_left_join_with_a_sampled_hot_key(spark):
+    left = spark.range(0, 40).selectExpr("id", "if(id % 4 = 0, 'hot', concat('k', id)) as k")
+    right = spark.range(0, 60_000).selectExpr(
+        "id as n", "if(id % 3 = 0, 'hot', concat('k', id % 20000)) as k")
+    plain = V.join(left, right, ("k", "k"), "r", preserve_empty=True)
+    hot = V.join(left, right, ("k", "k"), "r", preserve_empty=True, hot_rows=4_000)
+    assert hot.exceptAll(plain).isEmpty() and plain.exceptAll(hot).isEmpty()
+    assert "Union" in hot._jdf.queryExecution().toString()
+    assert "Union" not in plain._jdf.queryExecution().toString()
+
+
 def test_attach(artists, albums):
     got = out(V.attach(artists, albums, ("id", "artist"), "albums"))
     assert [[a["id"] for a in r["albums"]] for r in got] == [["q", "r", "t"], ["p"], []]
