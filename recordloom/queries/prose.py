@@ -43,7 +43,7 @@ def pictures(t: Tables) -> DataFrame:
 # ── Headings ─────────────────────────────────────────────────────────
 
 
-@query(f"""SELECT id, 0 AS ord, 1 AS level, 'Doc ' || doc_id AS title, 'doc-' || doc_id AS slug FROM {_DOCS}
+@query(f"""SELECT id, 0 AS ord, CAST(1 AS BIGINT) AS level, 'Doc ' || doc_id AS title, 'doc-' || doc_id AS slug FROM {_DOCS}
 UNION ALL SELECT id, 1, 2, 'Links *in* `' || lang || '`', 'links-in-' || lang FROM {_DOCS}""")
 def headings(t: Tables) -> DataFrame:
     return P.heading_table(corpus(t))
@@ -112,7 +112,7 @@ def broken_links(t: Tables) -> DataFrame:
 
 @query(f"""SELECT id, md5(opening || chr(10) || chr(10) || '[next](node:/prose/docs/' || lang || '/d' || (doc_id + 1)
   || '#doc) ![pic](node:/blob/img/' || (doc_id % 7) || '.png) [own](#doc) [web](http://example.org/' || doc_id
-  || ')' || chr(10)) AS content, 'Doc ' || doc_id AS title, id AS order_key, 4 AS depth FROM {_DOCS}""")
+  || ')' || chr(10)) AS content, 'Doc ' || doc_id AS title, id AS order_key, CAST(4 AS BIGINT) AS depth FROM {_DOCS}""")
 def interpreted_prose(t: Tables) -> DataFrame:
     return P.interpret_prose(corpus(t)).select(
         "id", F.md5("content").alias("content"), "title", "order_key", "depth")

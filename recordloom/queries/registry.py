@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.session import ensure_checkpoint_dir
+from recordloom.session import ensure_checkpoint_dir, ship_package
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,12 @@ def query(sql: str | None = None):
     """Register a function of :class:`Tables` under its own name."""
 
     def add(build: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(Tables(spark, folder))
+
         name = build.__name__
-        BUILDERS[name] = lambda spark, folder: build(Tables(spark, folder))
+        BUILDERS[name] = run
         if sql is not None:
             SQL[name] = sql
         return build

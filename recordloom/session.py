@@ -6,7 +6,9 @@ is needed for correctness.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(named)
     return named
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it. Not
+    needed where it is installed on every machine or passed by ``--py-files``."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "recordloom.zip")
+    with zipfile.ZipFile(path, "w") as bundle:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    bundle.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
