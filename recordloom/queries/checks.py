@@ -177,7 +177,7 @@ def schema_rules(t: Tables) -> DataFrame:
     {'s': 'schema-required', 'path': ''},
     {'s': 'schema-additionalProperties', 'path': ''}]) AS v),
   LATERAL (SELECT v.s AS source, CAST(doc_id AS VARCHAR) AS record, v.path AS path, 'documents' AS entity)
-WHERE v IS NOT NULL""".replace("\\\\", "\\"))
+WHERE v IS NOT NULL""")
 def schema_rules_text_fields(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "text", "lang", "source")
     schema = rows_of(record(

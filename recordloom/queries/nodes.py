@@ -74,13 +74,11 @@ def page_collision(t: Tables) -> DataFrame:
     return N.page_collisions(pages)
 
 
-@query("""SELECT l.doc_id, '/documents/' || l.doc_id AS address,
+@query("""SELECT l.doc_id, CASE WHEN l.toxic <> 1 THEN '/documents/' || l.doc_id END AS address,
   CASE WHEN l.toxic = 1 THEN 'none' WHEN d.doc_id IS NULL THEN 'missing' ELSE 'ok' END AS state,
   CASE WHEN l.toxic = 1 THEN NULL ELSE coalesce(d.source, '/documents/' || l.doc_id) END AS label
 FROM (SELECT * FROM labels) l
-LEFT JOIN (SELECT * FROM documents WHERE lang <> 'fr') d ON l.doc_id = d.doc_id AND l.toxic <> 1"""
-       .replace("'/documents/' || l.doc_id AS address",
-                "CASE WHEN l.toxic <> 1 THEN '/documents/' || l.doc_id END AS address"))
+LEFT JOIN (SELECT * FROM documents WHERE lang <> 'fr') d ON l.doc_id = d.doc_id AND l.toxic <> 1""")
 def missing_refs(t: Tables) -> DataFrame:
     """References looked up by address: found, missing, or never stated."""
     documents = t.documents.filter("lang <> 'fr'").select(

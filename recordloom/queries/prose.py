@@ -15,7 +15,6 @@ from recordloom.queries.registry import Tables, query
 from recordloom.sources.sinks import stored
 
 
-
 def corpus(t: Tables) -> DataFrame:
     number, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     picture = (F.col("doc_id") % 7).cast("string")
