@@ -71,3 +71,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         star.select("v", "v").distinct())
+
+
+def blocked_pairs(
+    left: DataFrame, right: DataFrame, keys: list[str], member: list[str], block_rows: int, by: str,
+) -> DataFrame:
+    """Pairs of blocks that cover every left-right pair within a key.
+
+    Each key's rows are dealt by a hash of ``by`` into blocks of about
+    ``block_rows``, and every left block meets every right block in a row of its
+    own with the array columns ``left`` and ``right`` (structs of ``member``). A
+    key that very many rows share thus becomes many rows, on many tasks; no row
+    holds more than two blocks.
+    """
+    tally = lambda frame, name: frame.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = stage(tally(left, "lefts").join(tally(right, "rights"), keys), "blocks")
+
+    def side(frame: DataFrame, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(by, F.lit("block")), F.col(f"{own}s")).cast("int")
+        return frame.join(sizes, keys).withColumn(f"{own}_block", block).groupBy(
+            *keys, f"{own}_block", f"{other}s").agg(F.collect_list(F.struct(*member)).alias(own)).withColumn(
+            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop(f"{other}s")
+
+    at = [*keys, "left_block", "right_block"]
+    return side(left, "left", "right").join(side(right, "right", "left"), at).select("left", "right")

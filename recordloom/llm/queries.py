@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, packing
+from recordloom.llm import bpe, credentials, exact_dedup, html_text, language, near_dedup, packing, pii, vectors, warc
 from recordloom.llm.common import shared_folder, stage
 from recordloom.llm.tokens import tokenizer_path
 from recordloom.session import ship_package
@@ -54,3 +54,46 @@ def op3_bpe_round_trip(spark, read):
 def op4_best_fit_packing(spark, read):
     cut = packing.pieces(read("documents"), tokenizer_path("word_bpe_49k.json"))
     return packing.pack(stage(cut.drop("ids"), "pieces"))
+
+
+@query()
+def op7_ppm_language(spark, read):
+    documents = read("documents")
+    model = language.learn(documents.filter(~language.held_out("doc_id")))
+    return language.predict(documents, model).select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query()
+def op6_warc_dictionary(spark, read):
+    return warc.read_archives(warc.write_archives(read("pages"))).drop("url")
+
+
+@query()
+def op5_html_text(spark, read):
+    return html_text.extract_pages(read("pages"))
+
+
+@query()
+def op9_vector_near_dup(spark, read):
+    return vectors.link_vectors(read("embeddings"))
+
+
+@query()
+def op2_minhash_near_dup(spark, read):
+    return near_dedup.near_duplicates(read("documents"), near_dedup.Settings(words=3, percent=85))
+
+
+@query()
+def op8_linked_secrets(spark, read):
+    return credentials.find_secrets(read("documents"))
+
+
+@query()
+def op10_personal_data(spark, read):
+    found = pii.find_personal_data(read("documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.span_text(F.col("spans")), 256).alias("base_sha256"),
+        pii.span_text(F.concat("spans", F.coalesce("extra", F.array()))).alias("spans"))
