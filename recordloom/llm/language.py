@@ -21,9 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import picked, stage, whole_text
@@ -226,6 +227,25 @@ def _lettered(text: str) -> bool:
     return any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
+def judgement(spark: SparkSession, model: Model, text: Column) -> Column:
+    """``lang_pred, score, bits_per_byte`` of a text column, as a struct; see :func:`predict`."""
+    frozen: Broadcast[Model] = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        parts, at, texts = [], 0, texts.tolist()
+        while at < len(texts):  # about a million characters at once, a long text alone
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
+                size += len(texts[end])
+                end += 1
+            parts.append(_judged(frozen.value, texts[at:end]))
+            at = end
+        return pd.concat(parts, ignore_index=True) if parts else _judged(frozen.value, [])
+
+    return judge(whole_text(text))
+
+
 def predict(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, bits_per_byte`` of every whole text.
 
@@ -235,41 +255,26 @@ def predict(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     no bits, and so is everything if nothing was learned. Repeated rows are
     scored row by row; other columns are not looked at.
     """
-    frozen: Broadcast[Model] = documents.sparkSession.sparkContext.broadcast(model)
+    rows = picked(documents, doc_id=doc_id, text=text)
+    return rows.withColumn("j", judgement(rows.sparkSession, model, F.col("text"))).select("doc_id", "j.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            at = 0
-            while at < len(texts):  # about a million bytes at once, a long text alone
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
-                    size += len(texts[end])
-                    end += 1
-                yield _judged(frozen.value, names[at:end], texts[at:end])
-                at = end
-
-    rows = picked(documents, doc_id=doc_id, text=text).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), whole_text("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, bits_per_byte double")
-
-
-def _judged(model: Model, names: list, texts: list[str]) -> pa.RecordBatch:
+
+def _judged(model: Model, texts: list[str]) -> pd.DataFrame:
     lettered = [bool(model.languages) and _lettered(t) for t in texts]
     coded = [t.encode() for t, good in zip(texts, lettered, strict=True) if good]
-    pred, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+    pred, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
     if coded:
         sizes = np.array([len(c) for c in coded])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         bits = np.add.reduceat(model.costs(np.frombuffer(b"".join(coded), np.uint8), starts), starts, axis=0)
         best = bits.argmin(1)
         least = bits[np.arange(len(bits)), best]
-        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-        for k, row in enumerate(np.flatnonzero(lettered)):
-            pred[row], score[row], rate[row] = model.languages[best[k]], share[k], float(least[k] / sizes[k])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.int64()), pa.array(pred), pa.array(score), pa.array(rate, pa.float64())],
-        names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+        rows = np.flatnonzero(lettered)
+        score[rows] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        rate[rows] = least / sizes
+        for k, row in enumerate(rows):
+            pred[row] = model.languages[best[k]]
+    return pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
 
 
 def held_out(doc_id: Column | str) -> Column:

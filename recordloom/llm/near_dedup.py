@@ -88,7 +88,7 @@ def shingles(text: str, words: int, known: Words) -> np.ndarray:
         known.clear()
     each = np.fromiter(map(known.__getitem__, parts), U64, len(parts))
     width = min(words, len(parts))
-    out = np.full(len(parts) - width + 1, U64(width) * U64(0x9E3779B97F4A7C15))
+    out = np.full(len(parts) - width + 1, width * 0x9E3779B97F4A7C15 % 2**64, U64)
     for k in range(width):
         out = (out ^ each[k: len(out) + k]) * U64(0xD6E8FEB86659FD93)
         out ^= out >> U64(32)
