@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import exact_dedup, language, near_dedup, packing, pii
-from recordloom.llm.common import shared_folder, stage
+from recordloom.llm.common import shared_folder, spare, stage
 from recordloom.llm.tokens import tokenizer_path
 from recordloom.session import ship_package
 
@@ -23,27 +23,28 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is in a learned language; no letters, or no language, goes."""
     ship_package(spark)
     model = language.learn(docs.filter(~language.held_out("doc_id")))
-    judged = docs.withColumn("__judged", language.judgement(spark, model, F.col("text")))
-    known = (F.col("__judged.lang_pred") != language.UNDETERMINED) & (F.col("__judged.bits_per_byte") < FOREIGN_BITS)
-    return judged.filter(known).drop("__judged")
+    name = spare(docs, "judged")
+    judged = docs.withColumn(name, language.judgement(spark, model, F.col("text")))
+    known = (F.col(f"{name}.lang_pred") != language.UNDETERMINED) & (F.col(f"{name}.bits_per_byte") < FOREIGN_BITS)
+    return judged.filter(known).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each text."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "index"), buckets)
-    copies = index.add(docs).filter("not kept").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (exact_dedup.text_digest("text") == F.col("__digest"))
-    return docs.join(stage(copies, "copies"), same, "left_anti")
+    copies = stage(index.add(docs).filter("not kept").select(
+        F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")), "copies")
+    same = docs["doc_id"].eqNullSafe(copies["id"]) & (exact_dedup.text_digest(docs["text"]) == copies["digest"])
+    return docs.join(copies, same, "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, that of the smallest id."""
     ship_package(spark)
-    copies = near_dedup.near_duplicates(docs, near_dedup.Settings()).filter("not kept").select(
-        F.col("doc_id").alias("__id"))
-    return docs.join(stage(copies, "near_copies"), F.col("doc_id") == F.col("__id"), "left_anti")
+    copies = stage(near_dedup.near_duplicates(docs, near_dedup.Settings()).filter("not kept").select(
+        F.col("doc_id").alias("id")), "near_copies")
+    return docs.join(copies, docs["doc_id"] == copies["id"], "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

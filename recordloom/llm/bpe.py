@@ -60,7 +60,9 @@ def join_encoded(
     encode: Callable[[bytes], np.ndarray], sizes: np.ndarray,
     left: bytes, left_ids: np.ndarray, right: bytes, right_ids: np.ndarray, window: int = 64,
 ) -> np.ndarray:
-    """Ids of ``left + right`` from those of both. ``sizes``: bytes of each id."""
+    """Ids of ``left + right`` from those of both. ``sizes``: bytes of each id. The
+    first window must be longer than any special token, which may lie across the
+    join."""
     if not left or not right:
         return left_ids if not right else right_ids
     left_ends, right_ends = np.cumsum(sizes[left_ids]), np.cumsum(sizes[right_ids])

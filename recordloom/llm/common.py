@@ -32,6 +32,14 @@ def picked(frame: DataFrame, **columns: str) -> DataFrame:
     return frame.select(*[frame[old].alias(new) for new, old in columns.items()])
 
 
+def spare(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any letter case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(column: Column | str) -> Column:
     """Text with null counting as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked, stage, whole_text
+from recordloom.llm.common import picked, spare, stage, whole_text
 
 #: In the order in which kinds are listed at equal starts.
 KINDS = ("email", "ip", "card", "phone")
@@ -277,12 +277,13 @@ def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
         rows = zip(texts, starts, ranks, ends, strict=True)
         return pd.Series([t if s is None else _covered(t, zip(s, r, e, strict=True)) for t, s, r, e in rows], dtype=object)
 
-    key = text_key(F.col(doc_id).cast("bigint"), whole_text(text))
+    own, spans = spare(documents, "key_of_row"), spare(documents, "spans_of_row")
     every = F.array_sort(F.concat("spans", F.coalesce("extra", F.array())))
-    marks = stage(found.select(F.col("key").alias("__key"), every.alias("__spans")).filter(
-        F.size("__spans") > 0).dropDuplicates(["__key"]), "marks")
-    return documents.withColumn("__key", key).join(marks, "__key", "left").withColumn(
-        text, cover(text, "__spans.start", "__spans.rank", "__spans.end")).select(*documents.columns)
+    marks = stage(found.select(F.col("key").alias(own), every.alias(spans)).filter(
+        F.size(spans) > 0).dropDuplicates([own]), "marks")
+    keyed = documents.withColumn(own, text_key(documents[doc_id].cast("bigint"), whole_text(documents[text])))
+    parts = [F.col(f"{spans}.{part}") for part in ("start", "rank", "end")]
+    return keyed.join(marks, own, "left").withColumn(text, cover(F.col(text), *parts)).select(*documents.columns)
 
 
 def _covered(text: str, spans) -> str:

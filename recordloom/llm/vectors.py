@@ -56,14 +56,14 @@ def fit_cells(unit: DataFrame, cell_rows: int, most_cells: int, sample_rows: int
     label drawn by a hash. There are at most ``most_cells`` centroids altogether,
     the bound of what is sent to all tasks; beyond it cells grow, not their number.
     """
-    sizes = unit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = unit.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell_rows)
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
     if not total:
         return {}
     room = max(cell_rows, total / most_cells)
-    sizes = sizes.withColumn("cells", F.ceil(F.col("n") / room).cast("int")).filter("cells > 1")
+    sizes = sizes.withColumn("cells", F.ceil(F.col("rows") / room).cast("int")).filter("cells > 1")
     draw = F.pmod(F.xxhash64("class_id", F.lit("cells")), F.lit(1 << 30))
-    share = (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.3 * sample_rows) / F.col("n"))).cast("bigint")
+    share = (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.3 * sample_rows) / F.col("rows"))).cast("bigint")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", "class_id"]).head(sample_rows)
