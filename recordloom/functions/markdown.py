@@ -1,403 +1,165 @@
-"""Finding headings and inline links in one Markdown text.
-
-A small helper for use inside tasks: it reads the block structure line by line
-(fences, quotes, lists, indented code, HTML) and knows no other Markdown.
+"""Headings and inline links of Markdown texts, as column expressions.
+
+A text is cut at its marks by one pattern; what stands between two marks is the
+gap before the second. Code fences, code spans, comments, tags and escapes are
+marks too, so nothing inside them is taken for a heading or a link. Putting gaps
+and marks together again gives the text back, so a rewrite touches each
+character once.
+
+Covered: ATX headings, also inside quotes and list items; a heading of one line
+underlined by ``=`` or ``-``; backtick and tilde fences; indented code after a
+blank line; comments and tags; inline links and images ``[text](target)``
+without title. An image inside a link's text belongs to that text. Not covered:
+reference links, titles, targets in angle brackets or with escapes or entities,
+underlined headings of several lines.
 """
 
 from __future__ import annotations
 
-import html
-import re
-import unicodedata
-from collections.abc import Iterator
-from typing import NamedTuple
-
-# CommonMark block starts.
-_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
-_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-_QUOTE = re.compile(r" {0,3}> ?")
-_ITEM = re.compile(r"( {0,3}(?:[-+*]|(\d{1,9})[.)]))([ \t]+|$)")
-_HTML = (
-    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I),
-     re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
-    (re.compile(r" {0,3}<!--"), re.compile("-->")),
-    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
-    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
-    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">")),
-    (re.compile(
-        r" {0,3}</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col"
-        r"|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame"
-        r"|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav"
-        r"|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th"
-        r"|thead|title|tr|track|ul)(?:\s|/?>|$)", re.I), None),
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from recordloom.functions.text import bind
+
+# Loops over groups are possessive: Java then runs them without recursion, so
+# long texts do not use up the stack.
+_INSIDE = r"(?: {0,3}(?:>|[-+*](?=[ \t])|[0-9]{1,9}[.)](?=[ \t]))[ \t]?+)*+"
+_CLOSE = r" {0,3}\1[`~]*+[ \t\r]*+$"
+_FENCE = rf"(?md:^{_INSIDE} {{0,3}}(`{{3,}}+(?![^\n]*`)|~{{3,}}+)[^\n]*+(?:\n(?!{_INSIDE}{_CLOSE})[^\n]*+)*+(?:\n[^\n]*+)?+)"
+_COMMENT = r"<!--(?s:.*?)(?:-->|\z)"
+_BLOCK_TAG = r"(?md:^ {0,3}</?+[A-Za-z][A-Za-z0-9-]*+(?:[\s/>]|$)[^\n]*+(?:\n(?![ \t]*+$)[^\n]*+)*+)"
+_ATX = rf"(?md:^{_INSIDE} {{0,3}}#{{1,6}}+(?:[ \t\r][^\n]*+)?+$)"
+_UNDERLINED = (
+    r"(?md:^(?! {0,3}(?:#{1,6}+(?:[ \t]|$)|>|<|[-+*](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|[-*_][-*_ \t]*+$|=)| {4}|[ \t]*+$)"
+    r"[^\n]++\n {0,3}(?:=++|-++)[ \t\r]*+$)"
+)
+_HEADINGS = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|{_ATX}|{_UNDERLINED}"
+_OUTLINE = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|(?md:^ {{0,3}}#{{1,6}}+(?=[ \\t\\r]|$))"
+
+_INDENTED = r"(?md:(?<=\n[ \t]{0,9}\n|\A)(?: {4}|\t)[^\n]*+(?:\n(?: {4}|\t)[^\n]*+)*+)"
+_CODE = r"(`++)(?:[^`\n]++|\n(?![ \t]*+\n)|(?!{0}(?!`))`++)*+{0}(?!`)"
+_ESCAPE = r"\\[!-/:-@\[-`{-~]"
+_TAG = r"</?[A-Za-z][^<>\n]*+>"
+_TEXT = (
+    r"(?:[^\[\]\\`!\n]++|\n(?![ \t]*+\n)|\\[^\n]|" + _CODE.replace("{0}", r"\3") + r"|`++"
+    r"|!\[[^\[\]\n]*+\]\([^()\n]*+\)|!|\[[^\[\]\n]*+\](?!\())*+"
+)
+_LINK = rf"!?\[{_TEXT}\]\((?:[^\s()\\<>&]++|&(?![#A-Za-z0-9]++;)|\([^\s()\\<>]*+\))*+\)"
+_LINKS = (
+    f"{_FENCE}|{_INDENTED}|{_COMMENT}|{_ESCAPE}|" + _CODE.replace("{0}", r"\2") + f"|`++|{_TAG}|{_LINK}"
 )
-_TAG = re.compile(r"<(?:/[A-Za-z][\w-]*\s*|[A-Za-z][\w-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'"
-                  r"|[^\s\"'=<>`]+))?)*\s*/?|!--.*?--)>", re.S)
-_LONE_TAG = re.compile(r" {0,3}" + _TAG.pattern + r"\s*$")
-_AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[^\s<>@]+@[^\s<>@]+)>")
-_PUNCT = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-_ESCAPED = re.compile(rf"\\([{_PUNCT}])")
-_TITLE = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)", re.S)
-_BACKTICKS = re.compile("`+")
-# Where hidden spans start, and with the brackets where the link scan stops.
-_HIDING = re.compile(r"[`\\<]")
-_BRACKETS = re.compile(r"[`\\<\[\]]|!\[")
-_UNDERSCORES = re.compile(r"(?<![\w])(_{1,3})(?=[^\s_])(.*?[^\s_])\1(?![\w])", re.S)
-
-
-#: Fixed value: containers nested deeper than this hold no blocks.
-_MAX_NESTING = 20
-
-
-class Block(NamedTuple):
-    """A heading (``level`` 1-6) or other inline text (``level`` 0)."""
-
-    level: int
-    text: str
-    first: int
-    last: int
-    outline: bool  # an ATX heading outside quotes and lists
-
-
-def blocks(text: str) -> list[Block]:
-    """The blocks of a text that hold inline content, in order."""
-    lines = [(i, line.removesuffix("\r"), False) for i, line in enumerate(text.split("\n"))]
-    return list(_scan(lines, 0))
-
-
-def _indent(line: str) -> int:
-    lead = line[: len(line) - len(line.lstrip(" \t"))]
-    return len(lead.expandtabs(4))
-
-
-def _dedented(line: str, width: int) -> str:
-    lead = line[: len(line) - len(line.lstrip(" \t"))].expandtabs(4)
-    return lead[width:] + line.lstrip(" \t")
-
-
-def _starts_block(line: str) -> bool:
-    """Whether a line ends a paragraph it follows."""
-    item = _ITEM.match(line)
-    return bool(
-        _FENCE.match(line) or _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line)
-        or (item and line[item.end():].strip() and item[2] in (None, "1"))
-        or any(start.match(line) for start, _ in _HTML)
-    )
-
-
-def _heading_text(rest: str) -> str:
-    """What follows the marks of an ATX heading, without closing marks."""
-    body = rest.strip(" \t")
-    cut = body.rstrip("#")
-    if cut != body and (not cut or cut[-1] in " \t"):
-        return cut.rstrip(" \t")
-    return body
-
-
-def _scan(lines: list[tuple[int, str, bool]], level: int) -> Iterator[Block]:
-    if level >= _MAX_NESTING:
-        return
-    para: list[tuple[int, str]] = []
-
-    def flush(level: int = 0) -> list[Block]:
-        if not para:
-            return []
-        body = "\n".join(t.strip(" \t") for _, t in para)
-        block = Block(level, body, para[0][0], para[-1][0] + 1, False)
-        para.clear()
-        return [block]
-
-    i, n = 0, len(lines)
-    while i < n:
-        number, line, lazy = lines[i]
-        if not line.strip():
-            yield from flush()
-            i += 1
-        elif lazy and para:
-            para.append((number, line))
-            i += 1
-        elif _indent(line) >= 4:
-            if para:
-                para.append((number, line))
-            i += 1
-        elif fence := _FENCE.match(line):
-            yield from flush()
-            close = re.compile(rf" {{0,3}}{re.escape(fence[1][0])}{{{len(fence[1])},}}[ \t]*$")
-            i += 1
-            while i < n and not close.match(lines[i][1]):
-                i += 1
-            i += 1
-        elif atx := _ATX.match(line):
-            yield from flush()
-            title = _heading_text(line[atx.end():])
-            yield Block(len(atx[1]), title, number, number + 1, level == 0)
-            i += 1
-        elif para and (under := _SETEXT.match(line)):
-            para.append((number, ""))
-            for block in flush(1 if under[1][0] == "=" else 2):
-                yield block._replace(text=block.text.removesuffix("\n"))
-            i += 1
-        elif _RULE.match(line):
-            yield from flush()
-            i += 1
-        elif (kind := next((k for k in _HTML if k[0].match(line)), None)) or (
-            not para and _LONE_TAG.match(line)
-        ):
-            yield from flush()
-            end = kind[1] if kind else None
-            while i < n:
-                text = lines[i][1]
-                if end is None and not text.strip():
-                    break
-                i += 1
-                if end is not None and end.search(text):
-                    break
-        elif _QUOTE.match(line):
-            yield from flush()
-            inner, i = _contained(lines, i, lambda t: _QUOTE.sub("", t, count=1)
-                                  if _QUOTE.match(t) else None, blanks=False)
-            yield from _scan(inner, level + 1)
-        elif (item := _ITEM.match(line)) and (
-            not para or (line[item.end():].strip() and item[2] in (None, "1"))
-        ):
-            yield from flush()
-            gap = len(item[3].expandtabs(4))
-            rest = line[item.end():]
-            width = len(item[1]) + (gap if rest.strip() and gap < 5 else 1)
-            first = (number, " " * max(0, len(item[1]) + gap - width) + rest, False)
-            inner, i = _contained(lines, i + 1, lambda t: _dedented(t, width)
-                                  if _indent(t) >= width else None, blanks=True, start=first)
-            yield from _scan(inner, level + 2)
-        else:
-            para.append((number, line))
-            i += 1
-    yield from flush()
-
-
-def _contained(lines, i, strip, blanks, start=None):
-    """The lines of a container from ``i`` on, without its markers, and the
-    first line after it. A paragraph goes on over lines without a marker."""
-    inner = [start] if start else []
-    while i < len(lines):
-        number, line, lazy = lines[i]
-        kept = strip(line)
-        if kept is None:
-            last = inner[-1][1] if inner else ""
-            if not line.strip():
-                if not blanks or not any(part[1].strip() for part in inner):
-                    break
-                kept = ""
-            elif not last.strip() or _starts_block(line) or _ITEM.match(line) or (
-                _starts_block(last) and not _QUOTE.match(last)
-            ):
-                break
-            else:
-                kept, lazy = line, True
-        inner.append((number, kept, lazy))
-        i += 1
-    return inner, i
-
-
-# ── Inline ───────────────────────────────────────────────────────────
-
-
-def _spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """Code spans, escapes, autolinks and tags, which hide link syntax."""
-    at = 0
-    while mark := _HIDING.search(text, at):
-        i = mark.start()
-        at = i + 1
-        if text[i] == "`":
-            run = len(_BACKTICKS.match(text, i)[0])
-            close = next((c for c in _BACKTICKS.finditer(text, i + run) if len(c[0]) == run), None)
-            at = close.end() if close else i + run
-            yield i, at, "code" if close else "text"
-        elif text[i] == "\\":
-            if _ESCAPED.match(text, i):
-                at = i + 2
-                yield i, at, "escape"
-        elif auto := _AUTOLINK.match(text, i):
-            at = auto.end()
-            yield i, at, "auto"
-        elif tag := _TAG.match(text, i):
-            at = tag.end()
-            yield i, at, "tag"
-
-
-def _target(text: str, i: int) -> tuple[str, int] | None:
-    """``(dest ...)`` at ``i``: the destination and the end, or None."""
-    i += 1
-    skip = re.compile(r"\s*")
-    i = skip.match(text, i).end()
-    if text[i : i + 1] == "<":
-        match = re.compile(r"<((?:\\.|[^<>\\\n])*)>").match(text, i)
-        if not match:
-            return None
-        dest, i = match[1], match.end()
-    else:
-        start, depth = i, 0
-        while i < len(text) and not text[i].isspace() and text[i] > "\x1f":
-            if text[i] == "\\" and i + 1 < len(text):
-                i += 1
-            elif text[i] == "(":
-                depth += 1
-            elif text[i] == ")":
-                if depth == 0:
-                    break
-                depth -= 1
-            i += 1
-        if depth:
-            return None
-        dest = text[start:i]
-    after = skip.match(text, i).end()
-    if after > i and (title := _TITLE.match(text, after)):
-        after = skip.match(text, title.end()).end()
-    if text[after : after + 1] != ")":
-        return None
-    return html.unescape(_ESCAPED.sub(r"\1", dest)), after + 1
-
-
-class Link(NamedTuple):
-    start: int  # of the opening bracket
-    close: int  # of the closing bracket
-    end: int
-    dest: str
-    image: bool
-
-
-def inline_links(text: str) -> list[Link]:
-    """Inline links and images in order of their opening bracket; those inside
-    an image's text are not links."""
-    if "](" not in text:
-        return []
-    hidden = {s: e for s, e, _ in _spans(text)}
-    openers: list[tuple[int, bool, bool]] = []
-    found: list[Link] = []
-    at = 0
-    while mark := _BRACKETS.search(text, at):
-        i = mark.start()
-        at = i + 1
-        if i in hidden:
-            at = hidden[i]
-        elif text[i] == "[":
-            openers.append((i, False, True))
-        elif text[i] == "!":
-            openers.append((i, True, True))
-            at = i + 2
-        elif text[i] == "]" and openers:
-            start, image, active = openers.pop()
-            target = _target(text, i + 1) if active and text[i + 1 : i + 2] == "(" else None
-            if target:
-                if image:
-                    found = [link for link in found if link.start < start]
-                else:
-                    openers = [(s, im, a and im) for s, im, a in openers]
-                found.append(Link(start, i, target[1], target[0], image))
-                at = target[1]
-    return sorted(found)
-
-
-def visible_text(text: str) -> str:
-    """What a reader sees of inline text, without line breaks."""
-    out, at = [], 0
-    links = inline_links(text)
-    drops = {link.start: link.start + (2 if link.image else 1) for link in links}
-    drops.update({link.close: link.end for link in links})
-    spans = {s: (e, kind) for s, e, kind in _spans(text)}
-    plain: list[str] = []
-
-    def settle() -> None:
-        body = "".join(plain)
-        while (fresh := _UNDERSCORES.sub(r"\2", body)) != body:
-            body = fresh
-        out.append(html.unescape(body))
-        plain.clear()
-
-    while at < len(text):
-        if at in drops:
-            at = drops[at]
-        elif at in spans:
-            end, kind = spans[at]
-            part = text[at:end]
-            if kind == "code":
-                settle()
-                body = part.strip("`").replace("\n", " ")
-                padded = body.startswith(" ") and body.endswith(" ") and body.strip(" ")
-                out.append(body[1:-1] if padded else body)
-            elif kind == "escape":
-                settle()
-                out.append(part[1])
-            elif kind == "auto":
-                plain.append(part[1:-1])
-            elif kind == "text":
-                plain.append(part)
-            at = end
-        else:
-            if text[at] != "\n":
-                plain.append(text[at])
-            at += 1
-    settle()
-    return "".join(out)
-
-
-# ── What the jobs use ────────────────────────────────────────────────
-
-
-def slug(text: str) -> str:
-    """The heading id renderers give: lower case per character, blanks and
-    hyphens as hyphens, letters, marks, digits and connectors kept."""
-    keep = lambda c: unicodedata.category(c)[0] in "LM" or unicodedata.category(c) in (
-        "Nd", "Nl", "Pc",
-    )
-    return "".join("-" if c in " -" else c.lower() if keep(c) else "" for c in text)
-
-
-def headings(found: list[Block]) -> list[tuple[str, str, int]]:
-    """``(id, title, level)`` of each heading; a repeated id gets the lowest
-    free number."""
-    used: set[str] = set()
-    tried: dict[str, int] = {}
-    out = []
-    for block in found:
-        if block.level:
-            base = slug(visible_text(block.text))
-            name, count = base, tried.get(base, 0)
-            while name in used:
-                count += 1
-                name = f"{base}-{count}"
-            tried[base] = count
-            used.add(name)
-            out.append((name, block.text, block.level))
-    return out
-
-
-def links(text: str, found: list[Block]) -> list[tuple[int, int, str, str]]:
-    """``(start, end, dest, kind)`` of each bare ``](dest)``, the span covering
-    ``(dest)``; titled, bracketed and reference links are left out."""
-    starts = [0]
-    for line in text.split("\n"):
-        starts.append(starts[-1] + len(line) + 1)
-    out = []
-    for block in found:
-        at, stop = starts[block.first], min(starts[block.last], len(text))
-        for link in inline_links(block.text):
-            needle = f"]({link.dest})"
-            hit = text.find(needle, at, stop)
-            if hit >= 0:
-                at = hit + len(needle)
-                out.append((hit + 1, at, link.dest, "image" if link.image else "link"))
-    return out
-
-
-def shift_headings(text: str, levels: int) -> str:
-    """``text`` with its own ATX headings ``levels`` deeper, at most six."""
-    lines = text.split("\n")
-    for block in blocks(text):
-        if block.outline:
-            line = lines[block.first]
-            at = line.index("#")
-            deeper = "#" * min(6, block.level + levels)
-            lines[block.first] = line[:at] + deeper + line[at + block.level :]
-    return "\n".join(lines)
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """Array of ``(gap, mark)``; the last one has the rest of the text as its gap
+    and no mark."""
+    marks = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.split(text, pattern, -1), marks, lambda g, m: F.struct(g.alias("gap"), m.alias("mark")))
+
+
+def joined(cuts: Column, new: Callable[[Column, Column], Column]) -> Column:
+    """The text of the cuts with each mark replaced by ``new(mark, its number)``."""
+    return F.array_join(
+        F.transform(cuts, lambda c, i: F.concat(c["gap"], F.coalesce(new(c["mark"], i), F.lit("")))), "")
+
+
+# ── Headings ─────────────────────────────────────────────────────────
+
+
+def visible(title: Column) -> Column:
+    """A title without link targets, emphasis by underscores, and entities."""
+    flat = F.regexp_replace(title, r"!?\[([^\[\]]*+)\]\([^()]*+\)", "$1")
+    flat = F.regexp_replace(flat, r"(?<![\p{L}\p{N}_])(_++)([^_\s](?:[^_]*+[^_\s])?)\1(?![\p{L}\p{N}_])", "$2")
+    return F.regexp_replace(flat, r"&[#A-Za-z0-9]++;", "")
+
+
+def slug(text: Column) -> Column:
+    """An anchor: letters, marks, digits and connectors in lower case, blanks as
+    hyphens. A capital sigma is lowered as if it stood inside a word."""
+    kept = F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\- ]", "")
+    return F.translate(F.lower(F.translate(kept, "Σ", "σ")), " ", "-")
+
+
+def _heading(mark: Column) -> Column:
+    hashes = F.regexp_extract(mark, rf"^{_INSIDE} {{0,3}}(#{{1,6}}+)(?:[ \t]|\r?\z)", 1)
+    line = F.regexp_replace(mark, rf"^{_INSIDE} {{0,3}}#++[ \t]*+", "")
+    atx = F.regexp_replace(line, r"(?:^|[ \t]++)#++[ \t\r]*+\z|[ \t\r]++\z", "")
+    under = F.trim(F.regexp_extract(mark, r"^([^\n]++)\n {0,3}(?:=++|-++)[ \t\r]*+\z", 1))
+    level = F.when(hashes != "", F.length(hashes)).when(
+        under != "", F.when(F.substring_index(mark, "\n", -1).contains("="), 1).otherwise(2))
+    title = F.when(hashes != "", F.regexp_replace(atx, r"[ \t]++\z", "")).otherwise(under)
+    return F.struct(title.alias("title"), level.cast("bigint").alias("level"))
+
+
+def _numbered(names: Column) -> Column:
+    """Each name, or with the lowest number that makes it a new one."""
+
+    def add(done: Column, name: Column) -> Column:
+        tries = F.transform(
+            F.sequence(F.lit(0), F.size(done)),
+            lambda k: F.when(k == 0, name).otherwise(F.concat(name, F.lit("-"), k.cast("string"))))
+        return F.array_append(done, F.get(F.filter(tries, lambda t: ~F.array_contains(done, t)), F.lit(0)))
+
+    apart = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(apart, names).otherwise(F.aggregate(names, F.array().cast("array<string>"), add))
+
+
+def headings(text: Column) -> Column:
+    """Array of ``(id, title, level)``; a repeated id is numbered."""
+    marks = F.regexp_extract_all(text, F.lit(_HEADINGS), F.lit(0))
+    found = F.filter(F.transform(marks, _heading), lambda h: h["level"].isNotNull())
+
+    def named(all_: Column) -> Column:
+        ids = _numbered(F.transform(all_, lambda h: slug(visible(h["title"]))))
+        return F.zip_with(ids, all_, lambda i, h: F.struct(
+            i.alias("id"), h["title"].alias("title"), h["level"].alias("level")))
+
+    return bind(found, named)
+
+
+def shifted(text: Column, levels: int) -> Column:
+    """The text with its own ATX headings, outside quotes and lists, ``levels``
+    deeper, six at most."""
+
+    def deeper(mark: Column, _: Column) -> Column:
+        run = F.regexp_extract(mark, r"^ {0,3}(#{1,6}+)\z", 1)
+        more = F.repeat(F.lit("#"), F.least(F.lit(levels), 6 - F.length(run)))
+        return F.when(run != "", F.concat(mark, more)).otherwise(mark)
+
+    return joined(cut(text, _OUTLINE), deeper)
+
+
+# ── Links ────────────────────────────────────────────────────────────
+
+_TARGET = r"\(((?:[^\s()]++|\([^\s()]*+\))*+)\)\z"
+
+
+def link_cuts(text: Column) -> Column:
+    """The text cut at its links, and at what hides them."""
+    return cut(text, _LINKS)
+
+
+def is_link(mark: Column) -> Column:
+    return mark.startswith("[") | mark.startswith("![")
+
+
+def target(mark: Column) -> Column:
+    """Where a link mark points; null for another mark."""
+    return F.when(is_link(mark), F.regexp_extract(mark, r"(?s)\A.*\]" + _TARGET, 1))
+
+
+def with_target(mark: Column, new: Column) -> Column:
+    """A link mark with another target; without one, its text in brackets."""
+    head = F.regexp_replace(mark, _TARGET, "")
+    return F.concat(head, F.coalesce(F.concat(F.lit("("), new, F.lit(")")), F.lit("")))
+
+
+def links(text: Column) -> Column:
+    """Array of ``(at, dest, kind)``: the number of the mark, its target, and
+    whether it is a link or an image."""
+    each = F.transform(link_cuts(text), lambda c, i: F.struct(
+        i.alias("at"), target(c["mark"]).alias("dest"),
+        F.when(c["mark"].startswith("!"), "image").otherwise("link").alias("kind")))
+    return F.filter(each, lambda x: x["dest"].isNotNull())

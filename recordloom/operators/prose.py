@@ -1,58 +1,21 @@
-"""Jobs over a table of Markdown documents (``id``, ``content``).
-
-Python reads each document once, for its headings and links, and only documents
-that can hold any. Everything else - titles, targets, rewrites, reports - are
-column expressions and joins.
+"""Jobs over a table of Markdown documents (``id``, ``content``), all of them
+column expressions and joins; see :mod:`..functions.markdown` for the Markdown
+that is covered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordloom.functions import markdown
 from recordloom.functions.paths import ORD, column, visible
 from recordloom.functions.text import bind, folder, normal_path
-from recordloom.operators.groups import SEGMENT, nested_lists
+from recordloom.operators.groups import nested_lists
 from recordloom.operators.nodes import BLOB, PROSE, href
 
-_S, _L = T.StringType(), T.LongType()
-_HEADINGS = T.ArrayType(
-    T.StructType([T.StructField("id", _S), T.StructField("title", _S), T.StructField("level", _L)])
-)
-_LINKS = T.ArrayType(
-    T.StructType(
-        [T.StructField("start", _L), T.StructField("end", _L), T.StructField("dest", _S),
-         T.StructField("kind", _S)]
-    )
-)
-#: Documents in one piece of an assembled page.
-PIECE_ROWS = 1_000
-
-
-@F.pandas_udf(T.StructType([T.StructField("headings", _HEADINGS), T.StructField("links", _LINKS)]))
-def _parsed(content: pd.Series) -> pd.DataFrame:
-    found, hits = [], []
-    for text in content:
-        blocks = [] if text is None else markdown.blocks(text)
-        found.append(markdown.headings(blocks))
-        hits.append([] if text is None else markdown.links(text, blocks))
-    return pd.DataFrame({"headings": found, "links": hits})
-
-
-@F.pandas_udf(_HEADINGS)
-def _headings(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: markdown.headings(markdown.blocks(t)))
-
-
-@F.pandas_udf(_LINKS)
-def _links(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: markdown.links(t, markdown.blocks(t)))
-
 
 def may_have_headings(content: Column) -> Column:
     """False only for texts without any heading mark."""
@@ -69,13 +32,19 @@ def may_have_links(content: Column) -> Column:
 def heading_table(docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``(key, ord, level, title, slug)``, one row per heading."""
     some = docs.filter(may_have_headings(column(content)))
-    rows = some.select(column(key), F.posexplode(_headings(column(content))).alias("ord", "h"))
+    rows = some.select(column(key), F.posexplode(markdown.headings(column(content))).alias("ord", "h"))
     return rows.select(
         key, "ord", F.col("h.level").alias("level"), F.col("h.title").alias("title"),
         F.col("h.id").alias("slug"),
     )
 
 
+def heading_array(content: Column) -> Column:
+    """Array of ``(id, title, level)`` of a document."""
+    none = F.array().cast("array<struct<id: string, title: string, level: bigint>>")
+    return F.when(may_have_headings(content), markdown.headings(content)).otherwise(none)
+
+
 def first_title(headings: Column) -> Column:
     """The title of the first level-1 heading in a heading array."""
     return F.get(F.filter(headings, lambda h: h["level"] == 1), F.lit(0))["title"]
@@ -98,7 +67,7 @@ def depth(doc_id: Column) -> Column:
 def link_table(docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``(key, ord, dest, kind)``, one row per inline link or image."""
     some = docs.filter(may_have_links(column(content)))
-    rows = some.select(column(key), F.posexplode(_links(column(content))).alias("ord", "l"))
+    rows = some.select(column(key), F.posexplode(markdown.links(column(content))).alias("ord", "l"))
     return rows.select(key, "ord", F.col("l.dest").alias("dest"), F.col("l.kind").alias("kind"))
 
 
@@ -152,21 +121,18 @@ def resolve_links(
     documents again.
     """
     # One row per address, whatever the number of links that meet it.
-    def known(part: DataFrame, prefix: str) -> DataFrame:
-        values = [F.min(name).alias(prefix + name) for name in carry]
-        address = F.col("address").alias(prefix + "found")
+    def known(part: DataFrame) -> DataFrame:
+        values = [F.min(name).alias("__x_" + name) for name in carry]
+        address = F.col("address").alias("__x_found")
         return part.groupBy(address).agg(*values) if values else part.select(address).distinct()
 
-    tags = ("found", *carry)
-    exact, blobs = known(nodes, "__x_"), known(nodes.filter(F.col("origin") == BLOB), "__b_")
-    joined = links.join(exact, F.col("address") == F.col("__x_found"), "left")
+    tags = [F.col(f"__x_{name}").alias(name) for name in ("found", *carry)]
+    joined = links.join(known(nodes), F.col("address") == F.col("__x_found"), "left")
+    # Few links have a second try; only they are looked up again.
     retry = F.col("__x_found").isNull() & (F.col("fragment") != "")
-    joined = joined.withColumn("__want", F.when(retry, F.col("base"))).join(
-        blobs, F.col("__want") == F.col("__b_found"), "left"
-    )
-    return joined.select(
-        *links.columns, *[F.coalesce(f"__x_{n}", f"__b_{n}").alias(n) for n in tags]
-    )
+    again = joined.filter(retry).select(*links.columns).join(
+        known(nodes.filter(F.col("origin") == BLOB)), F.col("base") == F.col("__x_found"), "left")
+    return joined.filter(~retry).select(*links.columns, *tags).unionByName(again.select(*links.columns, *tags))
 
 
 def broken_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,41 +143,21 @@ def broken_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 # ── Rewriting (T7) ───────────────────────────────────────────────────
 
 
-def spliced(content: Column, links: Column, targets: Column) -> Column:
-    """``content`` with the span of each link replaced by ``(target)``; a NULL
-    target drops the span, which leaves a bare ``[text]``."""
-    piece = F.transform(
-        links,
-        lambda link, i: F.concat(
-            F.substring(
-                content,
-                F.coalesce(F.get(links, i - 1)["end"], F.lit(0)) + 1,
-                link["start"] - F.coalesce(F.get(links, i - 1)["end"], F.lit(0)),
-            ),
-            F.coalesce(F.concat(F.lit("("), F.get(targets, i), F.lit(")")), F.lit("")),
-        ),
-    )
-    tail = F.substring(content, F.element_at(links, -1)["end"] + 1, F.length(content))
-    return F.when(
-        F.coalesce(F.size(links), F.lit(0)) > 0, F.concat(F.array_join(piece, ""), tail)
-    ).otherwise(content)
-
-
 def interpret_prose(docs: DataFrame) -> DataFrame:
     """Documents with ``title``, ``headings``, ``order_key`` and ``depth``, and
     relative links in ``node:`` form. Content that is not Markdown gets its
     place in the reading order only."""
     content, markdown_row = column("content"), column("mime_type") == "text/markdown"
-    wanted = F.when(
-        markdown_row & (may_have_headings(content) | may_have_links(content)), content
-    )
-    parsed = docs.withColumn("__p", _parsed(wanted))
-    links = F.col("__p.links")
-    targets = F.transform(links, lambda link: link_target(column("id"), link["dest"]))
-    title = first_title(F.col("__p.headings"))
+    found = F.when(markdown_row, heading_array(content)).otherwise(heading_array(F.lit("")))
+    parsed = docs.withColumn("__h", found)
+    rewritten = markdown.joined(
+        markdown.link_cuts(content),
+        lambda mark, _: F.when(markdown.is_link(mark), markdown.with_target(
+            mark, link_target(column("id"), markdown.target(mark)))).otherwise(mark))
+    title = first_title(F.col("__h"))
     if "title" in docs.columns:
         title = F.coalesce(column("title"), title)
-    headings = F.when(markdown_row & content.isNotNull(), F.col("__p.headings"))
+    headings = F.when(markdown_row & content.isNotNull(), F.col("__h"))
     if "headings" in docs.columns:
         headings = F.coalesce(headings, column("headings"))
     hidden = [column(ORD)] if ORD in docs.columns else []
@@ -224,7 +170,7 @@ def interpret_prose(docs: DataFrame) -> DataFrame:
         depth(column("id")).alias("depth"),
         headings.alias("headings"),
         "mime_type",
-        spliced(content, links, targets).alias("content"),
+        F.when(markdown_row & may_have_links(content), rewritten).otherwise(content).alias("content"),
         *[column(n) for n in rest],
         *hidden,
     )
@@ -239,10 +185,10 @@ def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
         "address", "origin", "segment", "page_path", F.col("fragment").alias("landing")
     )
     some = docs.filter(may_have_links(column("content")))
-    spans = some.select("id", F.posexplode(_links(column("content"))).alias("ord", "l"))
-    address = F.regexp_extract("dest", "^node:(.*)$", 1)
-    inner = spans.select("id", "ord", "l.*").filter(F.col("dest").startswith("node:")).select(
-        "id", "ord", "start", "end", address.alias("address"),
+    marks = some.select("id", F.explode(markdown.links(column("content"))).alias("l"))
+    address = F.regexp_extract("l.dest", "^node:(.*)$", 1)
+    inner = marks.filter(F.col("l.dest").startswith("node:")).select(
+        "id", F.col("l.at").alias("at"), address.alias("address"),
         F.regexp_extract(address, "^[^#]*", 0).alias("base"),
         F.regexp_extract(address, "#(.*)$", 1).alias("fragment"),
     )
@@ -255,15 +201,17 @@ def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
     own = (F.col("found") != F.col("address")) & (F.col("landing") == "")
     landing = F.when(own, F.col("fragment")).otherwise(F.col("landing"))
     url = href(F.col("__from"), F.col("page_path"), landing)
-    # Other links keep their text, so only node links are spliced.
-    spans = found.select(
-        "id", F.struct("ord", "start", "end", url.alias("to")).alias("s")
-    ).groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
-    body = spliced(
-        column("content"), F.col("__spans"), F.transform("__spans", lambda s: s["to"])
-    )
-    return joined.withColumn("content", body).drop("__spans", "__id")
+    targets = found.select("id", F.struct("at", url.alias("to")).alias("s")).groupBy(
+        F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("s")).alias("__to"))
+    joined = docs.join(targets, F.col("id") == F.col("__id"), "left")
+    # Other links keep their text, so only node links are rewritten.
+    place = lambda i: F.array_position(F.col("__to.at"), i).cast("int") - 1
+    body = markdown.joined(
+        markdown.link_cuts(column("content")),
+        lambda mark, i: F.when(place(i) >= 0, markdown.with_target(
+            mark, F.get(F.col("__to.to"), place(i)))).otherwise(mark))
+    content = F.when(F.col("__to").isNotNull(), body).otherwise(column("content"))
+    return joined.withColumn("content", content).drop("__to", "__id")
 
 
 # ── Nesting and assembly (T8, T9) ────────────────────────────────────
@@ -272,43 +220,35 @@ def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
 def shift_headings(content: Column, marker: str) -> Column:
     """``content`` with its top-level ATX headings as much deeper as ``marker``
     (such as ``##``) is long, at most level 6."""
-    if not marker or set(marker) != {"#"}:
-        raise ValueError(f"expected a run of '#', got {marker!r}")
-    levels = len(marker)
-
-    @F.pandas_udf(T.StringType())
-    def shift(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else markdown.shift_headings(t, levels))
+    levels = marker.count("#")
+    if not levels or levels != len(marker):
+        raise ValueError(f"a heading marker has only '#', not {marker!r}")
+    return F.when(content.contains("#"), markdown.shifted(content, levels)).otherwise(content)
 
-    # Texts without a mark are not sent to Python.
-    return F.coalesce(shift(F.when(content.contains("#"), content)), content)
 
+def assemble(bodies: DataFrame, by: Sequence[str] = ("edition", "page_path")) -> DataFrame:
+    """Pages from their parts: a row per part, in no order of its own, with the
+    ``by`` columns, ``part`` (what a page's parts are ordered by) and ``body``,
+    opened by the part's anchor. ``bodies`` has the ``by`` columns, ``order_key``,
+    ``address``, ``body`` and optionally ``stamps`` (false: no anchor).
 
-def assemble(
-    bodies: DataFrame, by: Sequence[str] = ("edition", "page_path"), piece_rows: int = PIECE_ROWS
-) -> DataFrame:
-    """Pages from their parts, in reading order, each part opened by its
-    anchor. ``bodies`` has the ``by`` columns, ``order_key``, ``address``,
-    ``body`` and optionally ``stamps`` (false: no anchor). The result has a row
-    per ``segment`` of a page, so a page of any size is written in pieces."""
+    A page of any size stays many rows; :func:`whole_pages` makes one row of each,
+    and the page writer streams the parts."""
     stamp = F.concat(F.lit('<a id="'), F.col("address"), F.lit('"></a>\n'))
     if "stamps" in bodies.columns:
         stamp = F.when(F.col("stamps"), stamp).otherwise("")
-    parts = bodies.select(
-        F.struct(*by).alias("__page"),
-        F.concat(stamp, F.col("body")).alias("__text"),
-        F.struct("order_key", "address").alias(ORD),
-    )
-    lists = nested_lists(
-        parts, "__page", F.struct(F.col("__text").alias("text")), "__parts",
-        segments=True, segment_rows=piece_rows,
-    )
-    texts = F.transform("__parts", lambda p: p["text"])
+    return bodies.select(
+        *by, F.struct("order_key", "address").alias("part"),
+        F.concat(stamp, F.col("body"), F.lit("\n")).alias("body"))
+
+
+def whole_pages(parts: DataFrame, by: Sequence[str] = ("edition", "page_path")) -> DataFrame:
+    """One row per page of :func:`assemble` with its whole ``body``, however long."""
+    rows = parts.select(F.struct(*by).alias("__page"), "body", F.col("part").alias(ORD))
+    lists = nested_lists(rows, "__page", F.struct("body"), "__parts")
     return lists.select(
         *[F.col("__page").getField(n).alias(n) for n in by],
-        F.col(SEGMENT).alias("segment"),
-        F.concat(F.array_join(texts, "\n"), F.lit("\n")).alias("body"),
-    )
+        F.array_join(F.transform("__parts", lambda p: p["body"]), "").alias("body"))
 
 
 def title_table(headings: DataFrame, key: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import nodes as N
 from recordloom.operators import prose as P
 from recordloom.queries.registry import Tables, query
-from recordloom.sources.sinks import stored
+from recordloom.sources.sinks import stored, write_page_files
 
 
 def corpus(t: Tables) -> DataFrame:
@@ -86,11 +86,10 @@ def link_targets(t: Tables) -> DataFrame:
     return links.select("id", "ord", P.link_target(F.col("id"), F.col("dest")).alias("target"))
 
 
-def _nodes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The interpreted documents and the address table, each worked out once."""
-    out = t.scratch()
-    prose = stored(P.interpret_prose(corpus(t)), f"{out}/prose")
-    return prose, stored(N.node_index({"prose": prose, "blob": pictures(t)}), f"{out}/nodes")
+def _nodes(t: Tables, docs: DataFrame) -> DataFrame:
+    """The address table, from ids and headings alone, worked out once."""
+    heads = docs.select("id", "mime_type", P.heading_array(F.col("content")).alias("headings"))
+    return stored(N.node_index({"prose": heads, "blob": pictures(t)}), f"{t.scratch()}/nodes")
 
 
 @query(f"""SELECT id, address FROM (
@@ -102,7 +101,7 @@ def broken_links(t: Tables) -> DataFrame:
     """Links to documents of another language, or to pictures that are not
     there, land nowhere."""
     docs = corpus(t)
-    _, nodes = _nodes(t)
+    nodes = _nodes(t, docs)
     # The heading of the next document is '#doc-<number>'.
     links = P.link_table(docs).withColumn(
         "dest", F.regexp_replace("dest", r"^d(\d+)\.md#doc$", r"d$1.md#doc-$1"))
@@ -124,8 +123,9 @@ def interpreted_prose(t: Tables) -> DataFrame:
   || ' [own](#doc) [web](http://example.org/' || doc_id || ')' || chr(10)) AS content FROM {_DOCS} d""")
 def relinked_prose(t: Tables) -> DataFrame:
     """Links rewritten to paths between pages; broken ones cut."""
-    prose, nodes = _nodes(t)
-    prose = prose.withColumn("content", F.regexp_replace(
+    docs = corpus(t)
+    nodes = _nodes(t, docs)
+    prose = P.interpret_prose(docs).withColumn("content", F.regexp_replace(
         "content", r"(\]\(node:/prose/docs/[a-z]*/d)(\d+)#doc\)", r"$1$2#doc-$2)"))
     pages = N.assign_pages(nodes, {"web": ["prose.item"]})
     return P.relink(prose, pages, "web").select("id", F.md5("content").alias("content"))
@@ -135,28 +135,43 @@ def relinked_prose(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT id, md5(regexp_replace(regexp_replace(opening, '^# ', '#### '), '## (Links [*]in[*] `[a-z]*`)$',
-  '##### \\1')) AS content FROM {_DOCS}""")
+  '##### \\1') || chr(10) || chr(10) || '[next](d' || (doc_id + 1) || '.md#doc) ![pic](../../img/' || (doc_id % 7)
+  || '.png) [own](#doc) [web](http://example.org/' || doc_id || ')' || chr(10)) AS content FROM {_DOCS}""")
 def shifted_headings(t: Tables) -> DataFrame:
-    docs = corpus(t).withColumn("content", F.regexp_replace("content", r"\n\n\[next\][^\n]*\n\z", ""))
     shifted = P.shift_headings(F.col("content"), "###")
-    return docs.select("id", F.md5(shifted).alias("content"))
+    return corpus(t).select("id", F.md5(shifted).alias("content"))
 
 
-#: Documents per piece of a page.
-PIECE = 100
+def _parts(t: Tables) -> DataFrame:
+    docs = t.documents.select(
+        F.lit("web").alias("edition"),
+        F.concat("lang", F.lit("/x."), (F.col("doc_id") % 50).cast("string"), F.lit(".md")).alias("page_path"),
+        F.concat(F.lit("docs/"), "lang", F.lit("/d"), F.col("doc_id").cast("string")).alias("id"),
+        F.col("text").alias("body"))
+    return P.assemble(docs.withColumn("order_key", P.order_key(F.col("id"))).withColumn(
+        "address", F.concat(F.lit("/prose/"), "id")))
 
 
-@query(f"""SELECT 'web' AS edition, lang || '.md' AS page_path, segment, md5(string_agg(
+_PAGES = f"""SELECT {{columns}}, md5(string_agg(
     '<a id="/prose/' || id || '"></a>' || chr(10) || text || chr(10), '' ORDER BY id)) AS body
-FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY id) - 1) / {PIECE}) AS BIGINT) AS segment
-  FROM {_DOCS}) GROUP BY lang, segment""")
+FROM {_DOCS} GROUP BY lang, doc_id % 50"""
+
+
+@query(_PAGES.format(columns="'web' AS edition, lang || '/x.' || (doc_id % 50) || '.md' AS page_path"))
 def assembled_pages(t: Tables) -> DataFrame:
-    """All documents of a language on one page, in reading order, in pieces:
-    one language holds most of the texts."""
-    docs = t.documents.select(
-        F.lit("web").alias("edition"), F.concat("lang", F.lit(".md")).alias("page_path"),
-        F.concat(F.lit("docs/"), "lang", F.lit("/d"), F.col("doc_id").cast("string")).alias("id"),
-        F.col("text").alias("body"))
-    bodies = docs.withColumn("order_key", P.order_key(F.col("id"))).withColumn(
-        "address", F.concat(F.lit("/prose/"), "id"))
-    return P.assemble(bodies, piece_rows=PIECE).withColumn("body", F.md5("body"))
+    """Documents put together to pages, in reading order."""
+    return P.whole_pages(_parts(t)).withColumn("body", F.md5("body"))
+
+
+@query(_PAGES.format(columns="'web/' || lang || '/x.' || (doc_id % 50) || '.md' AS path"))
+def page_files(t: Tables) -> DataFrame:
+    """The same pages as files, also those with names like ``x.1.md``, written
+    over an earlier run that had other pages, and read back."""
+    out = f"{t.scratch()}/site"
+    earlier = t.region.select(F.lit("web").alias("edition"), F.concat("r_name", F.lit(".md")).alias("page_path"),
+                              F.lit(0).alias("part"), F.col("r_name").alias("body"))
+    write_page_files(earlier, out)
+    write_page_files(_parts(t), out)
+    files = t.spark.read.text(out, wholetext=True, recursiveFileLookup=True)
+    place = F.substring_index(F.col("_metadata.file_path"), "/site/", -1)
+    return files.select(place.alias("path"), F.md5("value").alias("body"))

@@ -10,87 +10,84 @@ from recordloom.operators import prose as P
 from tests.conftest import rows
 
 
-def heads(text):
-    return [(level, title, name) for name, title, level in M.headings(M.blocks(text))]
-
-
-def dests(text):
-    found = M.links(text, M.blocks(text))
-    assert all(text[s:e] == f"({d})" for s, e, d, _ in found)
-    return [d for _, _, d, _ in found]
-
-
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [
-        ("# A\n\ntext\n## B ##\n", [(1, "A", "a"), (2, "B", "b")]),
-        ("#no\n####### no\n#\n", [(1, "", "")]),
-        ("T\n==\nmore\nlines\n---\n", [(1, "T", "t"), (2, "more\nlines", "morelines")]),
-        ("```\n# no\n```\n~~~\n# no\n````\n~~~\n# yes", [(1, "yes", "yes")]),
-        ("    # no\n\npara\n    # no\n", []),
-        ("> # q\n> text\n\n- # l\n  ## m\n\n1. x\n\n   # n\n", [
-            (1, "q", "q"), (1, "l", "l"), (2, "m", "m"), (1, "n", "n")]),
-        ("<div>\n# no\n</div>\n\n# yes\n", [(1, "yes", "yes")]),
-        ("<!--\n\n# no\n-->\n# yes\n", [(1, "yes", "yes")]),
-        ("***\n---\n# a\n# a\n# a-1\n# a\n", [
-            (1, "a", "a"), (1, "a", "a-1"), (1, "a-1", "a-1-1"), (1, "a", "a-2")]),
-        ("# `node:` and [docs](x.md) *em* _u_ s_c &amp; \\#", [
-            (1, "`node:` and [docs](x.md) *em* _u_ s_c &amp; \\#", "node-and-docs-em-u-s_c--")]),
-        ("# crlf\r\ntext\r\n", [(1, "crlf", "crlf")]),
-        ("para\n# head\nlazy\n> quote\nlazy\n===\n", [(1, "head", "head")]),
-        ("- a\n- b\n---\n", []),
-        (">" * 5000 + " # deep\n\n# x #\n# y#\n# z \\##\n", [
-            (1, "x", "x"), (1, "y#", "y"), (1, "z \\##", "z-")]),
-        ("", []),
-    ],
-)
-def test_headings(text, expected):
-    assert heads(text) == expected
-
-
-@pytest.mark.parametrize(
-    ("text", "slug"),
-    [("ID 体系", "id-体系"), ("snake_case 記法", "snake_case-記法"), ("藤岡弘、", "藤岡弘"),
-     ("Version 1.0", "version-10"), ("第①章Ⅷ巻", "第章ⅷ巻"), ("a  b", "a--b"),
-     ("foo & bar", "foo--bar"), ("ΑΣ", "ασ"), ("tab\tx", "tabx")],
-)
-def test_slugs(text, slug):
-    assert M.slug(text) == slug
-
-
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [
-        ("[a](b.md) ![i](c.png)", ["b.md", "c.png"]),
-        ("`[x](y)` \\[x](y) [a](<b c>) [t](u 'v') [r][ref] <http://e.org>", []),
-        ("```\n[x](y)\n```\n    [x](y)\n\n[z](w)", ["w"]),
-        ("[a [b](c) d](e)", ["c"]),
-        ("[![alt](img.png)](to.md)", ["to.md"]),
-        ("![a [b](c)](d)", ["d"]),
-        ("[p](a(b)c) [q](a\\)b)", ["a(b)c"]),
-        ("> [a](x)\n> [b](x)\n\n- [c](y)\n  [d](z)", ["x", "x", "y", "z"]),
-        ("[a](b&amp;c) [d]() [e](#f)", ["", "#f"]),
-        ("# [h](x.md)\n\n[s](y.md)\n===", ["x.md", "y.md"]),
-        ("[two\nlines](x.md)", ["x.md"]),
-    ],
-)
-def test_links(text, expected):
-    assert dests(text) == expected
+HEADINGS = [
+    ("# A\n\ntext\n## B ##\n", [(1, "A", "a"), (2, "B", "b")]),
+    ("#no\n####### no\n#\n", [(1, "", "")]),
+    ("T\n==\nmore\n---\n", [(1, "T", "t"), (2, "more", "more")]),
+    ("```\n# no\n```\n~~~\n# no\n````\n~~~\n# yes", [(1, "yes", "yes")]),
+    ("```\nunclosed\n# no", []),
+    ("    # no\n\npara\n    # no\n", []),
+    ("> # q\n> text\n\n- # l\n  ## m\n\n1. x\n\n   # n\n", [
+        (1, "q", "q"), (1, "l", "l"), (2, "m", "m"), (1, "n", "n")]),
+    ("<div>\n# no\n</div>\n\n# yes\n", [(1, "yes", "yes")]),
+    ("<!--\n\n# no\n-->\n# yes\n", [(1, "yes", "yes")]),
+    ("***\n---\n# a\n# a\n# a-1\n# a\n", [
+        (1, "a", "a"), (1, "a", "a-1"), (1, "a-1", "a-1-1"), (1, "a", "a-2")]),
+    ("# `set:` and [docs](x.md) *em* _u_ s_c &amp; \\#", [
+        (1, "`set:` and [docs](x.md) *em* _u_ s_c &amp; \\#", "set-and-docs-em-u-s_c--")]),
+    ("# crlf\r\ntext\r\n", [(1, "crlf", "crlf")]),
+    ("- a\n- b\n---\n", []),
+    ("# x #\n# y#\n# z \\##\n", [(1, "x", "x"), (1, "y#", "y"), (1, "z \\##", "z-")]),
+    ("", []),
+    ("x " * 200_000 + "\n# h\n" + "`a " * 50_000 + "[" * 50_000, [(1, "h", "h")]),
+]
+
+
+def test_headings(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADINGS)], "i int, t string")
+    for r in frame.select("i", M.headings(F.col("t")).alias("h")).collect():
+        assert [(h.level, h.title, h.id) for h in r.h] == HEADINGS[r.i][1], HEADINGS[r.i][0][:80]
+
+
+def test_slugs(spark):
+    cases = [("Größe in cm", "größe-in-cm"), ("my_table 2", "my_table-2"), ("終わり。", "終わり"), ("Rev. 3.2", "rev-32"),
+             ("④つ目Ⅳ号", "つ目ⅳ号"), ("one  two", "one--two"), ("this / that", "this--that"), ("ΝΕΟΣ", "νεοσ"), ("tab\there", "tabhere")]
+    got = spark.createDataFrame(cases, "t string, s string").select("t", "s", M.slug(F.col("t")).alias("g")).collect()
+    assert all(r.s == r.g for r in got), got
+
+
+LINKS = [
+    ("[a](b.md) ![i](c.png)", ["b.md", "c.png"]),
+    ("`[x](y)` \\[x](y) [a](<b c>) [t](u 'v') [r][ref] <http://e.org>", []),
+    ("```\n[x](y)\n```\n\n    [x](y)\n\n[z](w)", ["w"]),
+    ("[a [b](c) d](e)", ["c"]),
+    ("[![alt](img.png)](to.md)", ["to.md"]),
+    ("[p](a(b)c) [q](a\\)b)", ["a(b)c"]),
+    ("> [a](x)\n> [b](x)\n\n- [c](y)\n  [d](z)", ["x", "x", "y", "z"]),
+    ("[a](b&amp;c) [d]() [e](#f)", ["", "#f"]),
+    ("# [h](x.md)\n\n[s](y.md)\n===", ["x.md", "y.md"]),
+    ("[two\nlines](x.md)", ["x.md"]),
+    ("`a [b](c)", ["c"]), ("``a ` [b](c)`` [d](e)", ["e"]), ("[a `]` b](c)", ["c"]),
+    ("<a href='[x](y)'> [z](w)", ["w"]),
+    ("[ " * 60_000 + "[a](b)", ["b"]), ("[x] " * 50_000 + "[a](b)", ["b"]),
+]
+
+
+def test_links(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LINKS)], "i int, t string")
+    same = M.joined(M.link_cuts(F.col("t")), lambda mark, _: mark)
+    for r in frame.select("i", M.links(F.col("t")).alias("l"), (same == F.col("t")).alias("same")).collect():
+        assert [x.dest for x in r.l] == LINKS[r.i][1] and r.same, LINKS[r.i][0][:80]
 
 
 def test_shift(spark):
     text = "# A\n## B ##\n> # q\n- # l\n\nS\n==\n```\n# c\n```\n##### E\n  # I"
-    assert M.shift_headings(text, 2) == (
-        "### A\n#### B ##\n> # q\n- # l\n\nS\n==\n```\n# c\n```\n###### E\n  ### I"
-    )
-    frame = spark.createDataFrame([("# A",), ("plain",), (None,)], "t string")
+    frame = spark.createDataFrame([(text,), ("plain",), (None,)], "t string")
     got = [r[0] for r in frame.select(P.shift_headings(F.col("t"), "##")).collect()]
-    assert got == ["### A", "plain", None]
+    assert got == [
+        "### A\n#### B ##\n> # q\n- # l\n\nS\n==\n```\n# c\n```\n###### E\n  ### I", "plain", None]
     for bad in ("", "h2"):
         with pytest.raises(ValueError):
             P.shift_headings(F.col("t"), bad)
 
 
+def test_no_python_in_the_plans(spark):
+    docs = spark.createDataFrame([("a", "# x [y](z.md)", "text/markdown")], "id string, content string, mime_type string")
+    for frame in (P.heading_table(docs), P.link_table(docs), P.interpret_prose(docs),
+                  docs.select(P.shift_headings(F.col("content"), "#"))):
+        assert "Python" not in frame._jdf.queryExecution().toString()
+
+
 def test_targets(spark):
     cases = [
         ("a/b", "c.md", "node:/prose/a/c"), ("a/b", "./c.md#x", "node:/prose/a/c#x"),
@@ -190,31 +187,22 @@ def test_assemble(spark):
         "edition string, page_path string, order_key string, address string, body string,"
         " stamps boolean",
     )
-    got = rows(P.assemble(frame, piece_rows=3).orderBy("page_path", "segment"))
-    assert [(r["page_path"], r["segment"]) for r in got] == [
-        ("b.md", 0), ("index.md", 0), ("index.md", 1), ("index.md", 2),
-    ]
-    whole = "".join(r["body"] for r in got[1:])
-    assert whole == "".join(
-        ("" if i == 3 else f'<a id="/p/{i}"></a>\n') + f"body {i}\n" for i in range(7)
-    )
-    assert got[0]["body"] == '<a id="/b"></a>\nb\n'
+    parts = P.assemble(frame)
+    assert parts.count() == 8
+    got = {r["page_path"]: r["body"] for r in rows(P.whole_pages(parts))}
+    assert got == {
+        "b.md": '<a id="/b"></a>\nb\n',
+        "index.md": "".join(("" if i == 3 else f'<a id="/p/{i}"></a>\n') + f"body {i}\n" for i in range(7)),
+    }
 
 
-def test_splice_is_exact(spark):
+def test_rewritten_links_are_exact(spark):
     rng = random.Random(9)
-    texts = []
-    for _ in range(40):
-        parts = [rng.choice(["é", "😀 ", "[x](a.md)", "![y](b.png)", "\n\n", "`[c](d)`", "word "])
-                 for _ in range(12)]
-        texts.append("".join(parts))
-    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)],
-                                 "id string, content string")
-    got = {r["id"]: r["content"] for r in rows(
-        P.interpret_prose(docs.withColumn("mime_type", F.lit("text/markdown"))))}
-    for i, text in enumerate(texts):
-        expected = text
-        for start, end, dest, _ in reversed(M.links(text, M.blocks(text))):
-            to = "node:/prose/a" if dest == "a.md" else "node:/blob/b.png"
-            expected = expected[:start] + f"({to})" + expected[end:]
-        assert got[f"d{i}"] == expected
+    new = {"[x](a.md)": "[x](node:/prose/a)", "![y](b.png)": "![y](node:/blob/b.png)"}
+    rows_in, expected = [], {}
+    for i in range(40):
+        parts = [rng.choice(["é", "😀 ", *new, "\n\n", "`[c](d)`", "word "]) for _ in range(12)]
+        rows_in.append((f"d{i}", "".join(parts), "text/markdown"))
+        expected[f"d{i}"] = "".join(new.get(p, p) for p in parts)
+    docs = spark.createDataFrame(rows_in, "id string, content string, mime_type string")
+    assert {r["id"]: r["content"] for r in rows(P.interpret_prose(docs))} == expected
