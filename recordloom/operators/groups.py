@@ -1,11 +1,9 @@
-"""Nested lists per key, at any group size.
+"""Nested lists per key.
 
-A list lives in one row, so it cannot grow without bound. Every list is built
-behind a count of its group: the count reads only the key and is combined before
-the shuffle, so a key that holds a third of all rows costs no more than any
-other. Groups up to ``segment_rows`` become one list. A larger ("hot") group is
-numbered in source order by a range-partitioned sort, which spreads one key over
-many tasks, and comes out as several lists of ``segment_rows`` each.
+A list is one value of one row, so it has to fit a task; there is one per key
+whatever its size. What reads a list only to take it apart again should keep the
+flat form instead (``flat`` of :func:`.views.grouped` and :func:`.views.attach`),
+which is a row per item and has no such bound.
 """
 
 from __future__ import annotations
@@ -13,24 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from recordloom.functions.paths import ORD, column
-from recordloom.session import ensure_checkpoint_dir
-
-#: Rows in one nested list.
-SEGMENT_ROWS = 100_000
-
-#: Number of the list inside its group, 0 for a group that fits one list.
-SEGMENT = "_segment"
 
 _ITEM = "__item"
-_MONO = "__mono"
-_LOCAL_BITS = 33
-
-
-class GroupTooLarge(ValueError):
-    """A group that does not fit one list."""
 
 
 def orderable(data_type: T.DataType) -> bool:
@@ -42,133 +26,18 @@ def orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.MapType, T.VariantType))
 
 
-def nested_lists(
-    frame: DataFrame,
-    key: str,
-    item: Column,
-    as_: str,
-    *,
-    segments: bool = False,
-    segment_rows: int = SEGMENT_ROWS,
-) -> DataFrame:
+def nested_lists(frame: DataFrame, key: str, item: Column, as_: str) -> DataFrame:
     """One row per value of ``key`` with its items, in source order, under
-    ``as_``; the hidden ordinal becomes that of the group's first row.
-
-    Without ``segments`` a group above ``segment_rows`` is an error. With it the
-    result has a ``_segment`` column and large groups have several rows.
-    """
+    ``as_``; the hidden ordinal becomes that of the group's first row."""
     ordered = ORD in frame.columns
     columns = [column(key).alias(key), item.alias(_ITEM)]
     frame = frame.select(*columns, *([column(ORD)] if ordered else []))
-    hot = hot_keys(frame, key, segment_rows)
-    if hot is None:
-        whole = _lists(frame, [key], as_, ordered)
-        return whole.withColumn(SEGMENT, F.lit(0).cast("bigint")) if segments else whole
-    if not segments:
-        raise GroupTooLarge(
-            f"a value of '{key}' has more than {segment_rows} rows; "
-            "ask for segments to get its list in pieces"
-        )
-    same = column(key).eqNullSafe(F.col("__hot"))
-    cold = _lists(frame.join(hot, same, "left_anti"), [key], as_, ordered)
-    ranked = ranked_positions(frame.join(hot, same, "left_semi"), key)
-    ranked = ranked.withColumn(
-        SEGMENT, F.floor(F.col("__pos") / F.lit(segment_rows)).cast("bigint")
-    )
-    pieces = _lists(ranked, [key, SEGMENT], as_, ordered, position="__pos")
-    return cold.withColumn(SEGMENT, F.lit(0).cast("bigint")).unionByName(pieces)
-
-
-def hot_keys(frame: DataFrame, key: str, rows: int) -> DataFrame | None:
-    """The values of ``key`` on more than ``rows`` rows as a one-column frame
-    ``__hot``, or None when there are none. Runs one job over the key alone."""
-    hot = (
-        frame.groupBy(column(key).alias("__hot"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > rows)
-        .select("__hot")
-    )
-    return None if hot.isEmpty() else hot
-
-
-def likely_hot_keys(frame: DataFrame, key: str, rows: int) -> DataFrame | None:
-    """As :func:`hot_keys`, from a sample large enough to hold about a thousand
-    rows of each such key, so hardly anything is shuffled. For choosing a plan
-    that gives the same rows whichever keys are found. The keys found are
-    checkpointed: every use of the result must see the same ones."""
-    fraction = min(1.0, 1_000 / max(rows, 1))
-    if fraction == 1.0:
-        return hot_keys(frame, key, rows)
-    sampled = frame.select(column(key)).sample(fraction, seed=7)
-    hot = hot_keys(sampled, key, int(rows * fraction))
-    if hot is None:
-        return None
-    ensure_checkpoint_dir(frame.sparkSession)
-    return hot.checkpoint()
-
-
-def ranked_positions(frame: DataFrame, key: str) -> DataFrame:
-    """``frame`` plus ``__pos``, each row's 0-based place among the rows of its
-    key, without sending a key to one task.
-
-    Rows are range-partitioned on (key, ordinal), so a large key spans many
-    partitions, and numbered inside each partition. The sorted rows are
-    checkpointed, which pins those numbers should an executor be lost; then the
-    row counts of earlier partitions (one small row per partition and key) are
-    added.
-    """
-    ensure_checkpoint_dir(frame.sparkSession)
-    order = [column(key)]
-    if ORD in frame.columns:
-        order.append(column(ORD))
-    elif orderable(frame.schema[_ITEM].dataType):
-        order.append(column(_ITEM))
-    # The last sort column splits runs of equal rows over partitions.
-    stored = (
-        frame.withColumn("__tie", F.monotonically_increasing_id())
-        .repartitionByRange(*order, "__tie")
-        .sortWithinPartitions(*order, "__tie")
-        .withColumn(_MONO, F.monotonically_increasing_id())
-        .drop("__tie")
-        .checkpoint()
-    )
-    part = F.shiftright(F.col(_MONO), _LOCAL_BITS)
-    earlier = Window.partitionBy(column(key)).orderBy("__part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        stored.groupBy(column(key).alias(key), part.alias("__part"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(_MONO).alias("__start"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .select(
-            column(key).alias("__okey"),
-            F.col("__part").alias("__opart"),
-            "__start",
-            "__before",
-        )
-    )
-    joined = stored.join(
-        offsets,
-        column(key).eqNullSafe(F.col("__okey")) & (part == F.col("__opart")),
-    )
-    position = F.col(_MONO) - F.col("__start") + F.col("__before")
-    return joined.withColumn("__pos", position).select(*frame.columns, "__pos")
-
-
-def _lists(
-    frame: DataFrame,
-    by: list[str],
-    as_: str,
-    ordered: bool,
-    position: str | None = None,
-) -> DataFrame:
-    order = position or (ORD if ordered else None)
     sortable = orderable(frame.schema[_ITEM].dataType)
-    if order is None:
+    if not ordered:
         items = F.collect_list(_ITEM)
         items = F.sort_array(items) if sortable else items
     else:
-        pairs = F.collect_list(F.struct(column(order).alias("o"), column(_ITEM).alias("i")))
+        pairs = F.collect_list(F.struct(column(ORD).alias("o"), column(_ITEM).alias("i")))
         if sortable:
             pairs = F.sort_array(pairs)
         else:
@@ -180,4 +49,4 @@ def _lists(
     aggregates = [items.alias(as_)]
     if ordered:
         aggregates.append(F.min(column(ORD)).alias(ORD))
-    return frame.groupBy(*[column(k) for k in by]).agg(*aggregates)
+    return frame.groupBy(column(key)).agg(*aggregates)

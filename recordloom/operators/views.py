@@ -16,19 +16,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.paths import ORD, Field, column, has_path, resolve, visible
 from recordloom.functions.predicates import domain, predicate
-from recordloom.operators.groups import (
-    SEGMENT,
-    SEGMENT_ROWS,
-    likely_hot_keys,
-    nested_lists,
-    orderable,
-)
-
-# Marks the columns whose lists come in pieces.
-_SEGMENTED = "segmented"
-
-#: Right rows of one key above which a left join treats the key apart.
-HOT_JOIN_ROWS = 5_000_000
+from recordloom.operators.groups import nested_lists, orderable
 
 SelectItem = str | tuple[str, str] | Mapping[str, str]
 
@@ -115,7 +103,7 @@ def join(
     *,
     right_where: Mapping[str, object] | None = None,
     preserve_empty: bool = False,
-    hot_rows: int = HOT_JOIN_ROWS,
+    many: DataFrame | None = None,
 ) -> DataFrame:
     """One row per matching pair, the right row as a struct under ``as_``; with
     ``preserve_empty`` left rows without a match stay, ``as_`` absent.
@@ -124,18 +112,17 @@ def join(
     a left row under ``preserve_empty``.
 
     AQE splits both sides of a skewed inner join but only the left side of a
-    left join. A key on more than ``hot_rows`` right rows is therefore joined
-    apart as an inner join, which gives the same rows because it has matches.
+    left join. Keys known to have very many right rows may be named in ``many``,
+    a frame of one column; they are joined apart as an inner join. The rows are
+    the same with and without it.
     """
     left_key, keyed, matchable = _join_sides(left, right, on, as_, right_where)
     condition = left_key == F.col("__rk") if matchable else F.lit(False)
-    # A stream's static side is looked at once, when the query is built.
-    split = preserve_empty and matchable
-    hot = likely_hot_keys(keyed, "__rk", hot_rows) if split else None
-    if hot is None:
+    if many is None or not preserve_empty or not matchable:
         joined = left.join(keyed, condition, "left" if preserve_empty else "inner")
     else:
-        hot = hot.filter(F.col("__hot").isNotNull())
+        hot = many.toDF("__hot").filter("__hot is not null").distinct()
+        hot = keyed.select(F.col("__rk").alias("__hot")).distinct().join(hot, "__hot", "left_semi")
         on_left, on_right = left_key == F.col("__hot"), F.col("__rk") == F.col("__hot")
         cold = left.join(hot, on_left, "left_anti").join(
             keyed.join(hot, on_right, "left_anti"), condition, "left"
@@ -153,44 +140,21 @@ def attach(
     as_: str,
     *,
     right_where: Mapping[str, object] | None = None,
-    segments: bool = False,
-    segment_rows: int = SEGMENT_ROWS,
+    flat: bool = False,
 ) -> DataFrame:
     """Every left row with the list of its matching right rows under ``as_``,
-    an empty list where none match. See :mod:`.groups` for ``segments``: with
-    it, a left row whose list is longer than ``segment_rows`` has one row per
-    piece."""
+    an empty list where none match. ``flat`` gives a row per list item instead,
+    and one with ``as_`` absent for an empty list."""
+    if flat:
+        return join(left, right, on, as_, right_where=right_where, preserve_empty=True)
     left_key, keyed, matchable = _join_sides(left, right, on, as_, right_where)
     empty = F.array().cast(T.ArrayType(keyed.schema[as_].dataType))
     keyed = keyed.filter(F.col("__rk").isNotNull() if matchable else F.lit(False))
     keyed = keyed.withColumnRenamed("__rord", ORD)
-    lists = nested_lists(
-        keyed, "__rk", column(as_), as_, segments=segments, segment_rows=segment_rows
-    ).drop(ORD)
+    lists = nested_lists(keyed, "__rk", column(as_), as_).drop(ORD)
     condition = left_key == F.col("__rk") if matchable else F.lit(False)
-    if not segments:
-        out = left.join(lists, condition, "left").drop("__rk")
-        return out.withColumn(as_, F.coalesce(column(as_), empty))
-    lists = lists.withColumnRenamed(SEGMENT, "__piece")
     out = left.join(lists, condition, "left").drop("__rk")
-    items, piece = column(as_), F.coalesce(F.col("__piece"), F.lit(0).cast("bigint"))
-    if SEGMENT in left.columns:
-        # Further pieces of one list carry the other lists empty, so that every
-        # piece of every list occurs once per row.
-        out = out.filter((F.col(SEGMENT) == 0) | (piece == 0))
-        for field in left.schema.fields:
-            if _SEGMENTED in field.metadata:
-                shown = F.when(piece == 0, column(field.name))
-                none = F.array().cast(field.dataType)
-                out = out.withColumn(field.name, _marked(F.coalesce(shown, none), field.name))
-        items = F.when(F.col(SEGMENT) == 0, items)
-        piece = F.greatest(piece, F.col(SEGMENT))
-    out = out.withColumn(as_, _marked(F.coalesce(items, empty), as_))
-    return out.withColumn(SEGMENT, piece).drop("__piece")
-
-
-def _marked(items: Column, name: str) -> Column:
-    return items.alias(name, metadata={_SEGMENTED: True})
+    return out.withColumn(as_, F.coalesce(column(as_), empty))
 
 
 def _join_sides(left, right, on, as_, right_where):
@@ -216,25 +180,18 @@ def _merge_order(left: DataFrame, joined: DataFrame) -> DataFrame:
     return joined.withColumn(ORD, both).drop("__rord")
 
 
-def grouped(
-    frame: DataFrame,
-    by: str,
-    as_: str,
-    *,
-    segments: bool = False,
-    segment_rows: int = SEGMENT_ROWS,
-) -> DataFrame:
+def grouped(frame: DataFrame, by: str, as_: str, *, flat: bool = False) -> DataFrame:
     """One row per value of ``by`` with its whole rows, in source order, under
-    ``as_``. A row without ``by`` fails the job. See :mod:`.groups` for
-    ``segments``."""
+    ``as_``. A row without ``by`` fails the job. ``flat`` gives a row per item
+    instead, which keeps its place in the order."""
     field = resolve(frame, by)
     missing = F.raise_error(F.lit(f"grouped: a row has no '{by}'"))
     key = F.coalesce(field.column, missing.cast(field.data_type))
     row = F.struct(*[column(n) for n in visible(frame.schema)])
     pair = frame.select(key.alias("__key"), row.alias("__row"), *_hidden(frame))
-    lists = nested_lists(
-        pair, "__key", F.col("__row"), as_, segments=segments, segment_rows=segment_rows
-    )
+    if flat:
+        return pair.select(F.col("__key").alias(by), F.col("__row").alias(as_), *_hidden(frame))
+    lists = nested_lists(pair, "__key", F.col("__row"), as_)
     rest = [column(n) for n in lists.columns if n != "__key"]
     return lists.select(F.col("__key").alias(by), *rest)
 
@@ -264,4 +221,4 @@ def _hidden(frame: DataFrame) -> list[Column]:
 
 def _refuse_taken(frame: DataFrame, name: str, clause: str) -> None:
     if has_path(frame, name):
-        raise ClauseError(f"{clause} alias '{name}' collides with an existing attribute")
+        raise ClauseError(f"{clause}: the rows already have a field '{name}'")

@@ -9,9 +9,6 @@ from recordloom.operators import views as V
 from recordloom.plans.bundle import run_views
 from recordloom.queries.registry import Tables, query
 
-#: Rows per nested list; small enough that the event types exceed it.
-PIECE = 500
-
 
 def view(sources, spec, **options) -> DataFrame:
     return run_views(sources, {"view": spec}, **options)["view"]
@@ -258,22 +255,18 @@ def list_ends(frame: DataFrame, key: str, items: str, item: str) -> DataFrame:
     """A nested list in a flat form two engines can compare."""
     ids = F.transform(items, lambda x: x[item])
     return frame.select(
-        key, F.col("_segment").alias("segment"), F.size(items).cast("bigint").alias("n"),
+        key, F.size(items).cast("bigint").alias("n"),
         F.get(ids, F.lit(0)).alias("first_id"), F.get(ids, F.size(ids) - 1).alias("last_id"),
         F.array_join(ids.cast("array<string>"), ",").alias("ids"),
     )
 
 
-# A list in pieces of {size}, numbered in the order of the item id.
-PIECES_SQL = """SELECT {key}, segment, count(id) AS n, min(id) AS first_id, max(id) AS last_id,
-  coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids
-FROM (SELECT {key}, id, CASE WHEN id IS NULL THEN 0
-        ELSE CAST(floor((row_number() OVER (PARTITION BY {key} ORDER BY id) - 1) / {size}) AS BIGINT) END
-        AS segment FROM ({rows}))
-GROUP BY {key}, segment"""
+# One list per key, in the order of the item id.
+LISTS_SQL = """SELECT {key}, count(id) AS n, min(id) AS first_id, max(id) AS last_id,
+  coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids FROM ({rows}) GROUP BY {key}"""
 
 
-@query(PIECES_SQL.format(key="n_nationkey", size=100_000, rows="""
+@query(LISTS_SQL.format(key="n_nationkey", rows="""
   SELECT n_nationkey, s_suppkey AS id FROM nation
   LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey"""))
 def nest_attach(t: Tables) -> DataFrame:
@@ -281,15 +274,15 @@ def nest_attach(t: Tables) -> DataFrame:
         "from": "nation",
         "join": [{"to": "supplier", "on": {"left": "n_nationkey", "right": "s_nationkey"},
                   "where": {"s_acctbal": {"gt": 5000}}, "as": "suppliers"}],
-    }, segments=True)
+    })
     return list_ends(out, "n_nationkey", "suppliers", "s_suppkey")
 
 
-@query(PIECES_SQL.format(key="c_custkey", size=100_000, rows="""
+@query(LISTS_SQL.format(key="c_custkey", rows="""
   SELECT c_custkey, o_orderkey AS id FROM customer LEFT JOIN orders ON c_custkey = o_custkey"""))
 def nest_attach_orders(t: Tables) -> DataFrame:
     sources = {"customer": t.customer, "orders": V.source(t.orders, ["o_orderkey"])}
-    out = view(sources, {"from": "customer", "join": [ORDERS_OF]}, segments=True)
+    out = view(sources, {"from": "customer", "join": [ORDERS_OF]})
     return list_ends(out, "c_custkey", "orders", "o_orderkey")
 
 
@@ -305,25 +298,23 @@ def grouped_turns(t: Tables) -> DataFrame:
                       F.array_join(F.transform("turns", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query(PIECES_SQL.format(key="event_type", size=PIECE,
+@query(LISTS_SQL.format(key="event_type",
                       rows="SELECT event_type, event_id AS id FROM events"))
 def grouped_hot_keys(t: Tables) -> DataFrame:
-    """A handful of values hold all rows: each list comes in pieces."""
+    """A handful of values hold all rows."""
     out = view({"events": V.source(t.events, ["event_id"])},
-               {"from": "events", "grouped": {"by": "event_type"}},
-               segments=True, segment_rows=PIECE)
+               {"from": "events", "grouped": {"by": "event_type"}})
     return list_ends(out, "event_type", "events", "event_id")
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT {'kind': event_type} AS e FROM events
-  WHERE value > 5), LATERAL (SELECT e.kind AS kind) GROUP BY kind""")
+@query("""SELECT kind, count(*) AS n FROM (SELECT {'kind': event_type} AS e FROM events), LATERAL (SELECT e.kind AS kind) GROUP BY kind""")
 def grouped_dotted_key(t: Tables) -> DataFrame:
     """The group column is literally named ``e.kind``."""
     rows = t.events.select("event_id", "value", F.struct(F.col("event_type").alias("kind")).alias("e"))
     out = view({"rows": V.source(rows, ["event_id"])}, {
-        "from": "rows", "where": {"value": {"gt": 5}}, "grouped": {"by": "e.kind"},
+        "from": "rows", "grouped": {"by": "e.kind"},
         "select": keep("e.kind=kind", "rows"),
-    }, segments=True)
+    })
     return out.groupBy("kind").agg(F.sum(F.size("rows")).alias("n"))
 
 
@@ -365,5 +356,25 @@ def regroup_and_flatten(t: Tables) -> DataFrame:
             "turns": {"from": "talks", "flatten": [{"of": "turns", "as": "x"}],
                       "select": keep("conv_id", "x.turn=turn", "x.role=role")},
         },
-        segments=True,
     )["turns"]
+
+
+@query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, n, orderkey FROM orders
+JOIN (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY k) ON o_orderstatus = k
+JOIN (SELECT o_orderstatus AS k2, o_orderkey AS orderkey FROM orders WHERE o_totalprice > 400000)
+  ON o_orderstatus = k2 AND o_orderkey % 1000 = orderkey % 1000""")
+def join_grouped_hot_keys(t: Tables) -> DataFrame:
+    """A view joins a grouped view whose keys hold very many rows each, and
+    another that keeps the items of its lists as rows."""
+    orders = V.source(t.orders.withColumn("slot", F.col("o_orderkey") % 1000), ["o_orderkey"])
+    out = run_views({"orders": orders}, {
+        "sizes": {"from": "orders", "grouped": {"by": "o_orderstatus", "as": "all"}},
+        "big": {"from": "orders", "where": {"o_totalprice": {"gt": 400000}},
+                "grouped": {"by": "slot", "as": "item", "flat": True}},
+        "joined": {"from": "orders", "join": [
+            {"to": "sizes", "on": {"left": "o_orderstatus", "right": "o_orderstatus"}, "as": "s", "flatten": True},
+            {"to": "big", "on": {"left": "slot", "right": "slot"}, "as": "b", "flatten": True}]},
+    })["joined"].filter("b.item.o_orderstatus = o_orderstatus")
+    return out.select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+        F.size("s.all").cast("bigint").alias("n"), F.col("b.item.o_orderkey").alias("orderkey"))

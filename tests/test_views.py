@@ -4,7 +4,6 @@ import pytest
 from pyspark.errors import PySparkException
 
 from recordloom.operators import views as V
-from recordloom.operators.groups import GroupTooLarge
 from recordloom.plans.bundle import ViewError, run_views
 from tests.conftest import rows
 
@@ -83,19 +82,19 @@ def test_joins(artists, albums):
 
 def test_left_join_with_a_hot_right_key(artists, albums):
     plain = V.join(artists, albums, ("id", "artist"), "album", preserve_empty=True)
-    hot = V.join(artists, albums, ("id", "artist"), "album", preserve_empty=True, hot_rows=2)
+    hot = V.join(artists, albums, ("id", "artist"), "album", preserve_empty=True,
+                 many=artists.select("id"))
     assert out(hot) == out(plain)
 
 
-def test_left_join_with_a_sampled_hot_key(spark):
+def test_left_join_with_keys_named_as_large(spark):
     left = spark.range(0, 40).selectExpr("id", "if(id % 4 = 0, 'hot', concat('k', id)) as k")
     right = spark.range(0, 60_000).selectExpr(
         "id as n", "if(id % 3 = 0, 'hot', concat('k', id % 20000)) as k")
+    many = spark.createDataFrame([("hot",), ("absent",), ("k4",), (None,), ("hot",)], "k string")
     plain = V.join(left, right, ("k", "k"), "r", preserve_empty=True)
-    hot = V.join(left, right, ("k", "k"), "r", preserve_empty=True, hot_rows=4_000)
+    hot = V.join(left, right, ("k", "k"), "r", preserve_empty=True, many=many)
     assert hot.exceptAll(plain).isEmpty() and plain.exceptAll(hot).isEmpty()
-    assert "Union" in hot._jdf.queryExecution().toString()
-    assert "Union" not in plain._jdf.queryExecution().toString()
 
 
 def test_attach(artists, albums):
@@ -132,56 +131,38 @@ def test_dotted_group_key(artists):
     assert out(got)[0]["m.plays"] == "gt"
 
 
-def test_large_groups_come_in_segments(spark):
+def test_one_list_per_key_at_any_size_and_the_same_rows_flat(spark):
     rng = random.Random(5)
-    data = [(i, rng.choice(["hot", "hot", f"k{i % 7}"]), i * 3) for i in range(2000)]
+    data = [(i, rng.choice(["hot", "hot", f"k{i % 7}"]), i * 3) for i in range(3000)]
     rng.shuffle(data)
     frame = V.source(spark.createDataFrame(data, "o int, k string, v int").repartition(7), ["o"])
-    with pytest.raises(GroupTooLarge):
-        V.grouped(frame, "k", "items", segment_rows=400)
-    got = rows(V.finish(V.grouped(frame, "k", "items", segments=True, segment_rows=400)))
-    lists = {}
-    for row in sorted(got, key=lambda r: (r["k"], r["_segment"])):
-        assert len(row["items"]) <= 400
-        lists.setdefault(row["k"], []).extend(r["o"] for r in row["items"])
     expected = {}
     for o, k, _ in sorted(data):
         expected.setdefault(k, []).append(o)
-    assert lists == expected
-    assert max(r["_segment"] for r in got) == (len(expected["hot"]) - 1) // 400
-    # Unordered rows: every row exactly once, equal rows included.
-    same = spark.range(1000).selectExpr("'h' as k", "1 as v")
-    got = rows(V.grouped(same, "k", "items", segments=True, segment_rows=300))
-    assert sorted(len(r["items"]) for r in got) == [100, 300, 300, 300]
-
-
-def test_attach_in_segments(spark):
-    left = V.source(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "o int, k string"), ["o"])
-    right = V.source(
-        spark.range(100).selectExpr("cast(id as int) as n", "if(id < 90, 'a', 'b') as k"), ["n"]
-    )
-    got = rows(V.finish(V.attach(left, right, ("k", "k"), "r", segments=True, segment_rows=40)))
-    got = sorted(((r["o"], r["_segment"], [x["n"] for x in r["r"]]) for r in got))
-    assert [(o, s, len(r)) for o, s, r in got] == [
-        (1, 0, 40), (1, 1, 40), (1, 2, 10), (2, 0, 10), (3, 0, 0),
+    got = rows(V.finish(V.grouped(frame, "k", "items")))
+    assert {r["k"]: [i["o"] for i in r["items"]] for r in got} == expected
+    flat = rows(V.finish(V.grouped(frame, "k", "item", flat=True)))
+    assert sorted((r["k"], r["item"]["o"]) for r in flat) == sorted((k, o) for o, k, _ in data)
+
+
+def test_attach_flat_is_a_row_per_item(artists, albums):
+    got = out(V.attach(artists, albums, ("id", "artist"), "album", flat=True))
+    assert [(r["id"], r.get("album", {}).get("id")) for r in got] == [
+        ("x", "q"), ("x", "r"), ("x", "t"), ("y", "p"), ("z", None),
     ]
-    assert sum([r for o, _, r in got if o == 1], []) == list(range(90))
 
 
-def test_two_lists_in_segments(spark):
-    left = V.source(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "o int, k string"), ["o"])
-    many = lambda n: V.source(
-        spark.range(n).selectExpr("cast(id as int) as n", "if(id % 5 < 4, 'a', 'b') as k"), ["n"]
-    )
-    size = {"segments": True, "segment_rows": 10}
-    one = V.attach(left, many(60), ("k", "k"), "x", **size)
-    got = rows(V.finish(V.attach(one, many(30), ("k", "k"), "y", **size)))
-    got = sorted(got, key=lambda r: (r["o"], r["_segment"]))
-    for name, n in (("x", 60), ("y", 30)):
-        for o, key in ((1, "a"), (2, "b"), (3, "c")):
-            ids = [i["n"] for r in got if r["o"] == o for i in r[name]]
-            assert ids == [i for i in range(n) if ("a" if i % 5 < 4 else "b") == key]
-    assert len([r for r in got if r["o"] == 1]) == 5 + 3 - 1
+def test_no_job_runs_while_views_are_built(spark, artists, albums):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "views")
+    run_views({"artists": artists, "albums": albums}, {
+        "v": {"from": "artists", "join": [
+            {"to": "albums", "on": {"left": "id", "right": "artist"}, "as": "a"},
+            {"to": "albums", "on": {"left": "id", "right": "artist"}, "as": "b",
+             "flatten": {"preserve_empty": True}}]},
+        "g": {"from": "v", "grouped": {"by": "id"}, "sort": {"by": "id"}}})
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext._jsc.clearJobGroup()
 
 
 @pytest.mark.parametrize(
@@ -255,7 +236,7 @@ def test_bundle_problems(spark, artists):
             },
         )
     assert sorted(p.view for p in caught.value.problems) == ["bad", "odd", "other"]
-    with pytest.raises(ViewError, match="cycle: "):
+    with pytest.raises(ViewError, match="waits for itself"):
         run_views(sources, {"a": {"from": "b"}, "b": {"from": "a"}})
     with pytest.raises(ViewError) as caught:
         run_views(
