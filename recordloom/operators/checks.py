@@ -366,8 +366,8 @@ def check_references(
             else dangling(rows, "__value", target, ref.attribute)
         )
         message = F.concat(
-            F.lit(f"x-ref {ref.field} = '"), F.col("__value").cast("string"),
-            F.lit(f"' has no match in {ref.target}.{ref.attribute}"),
+            F.lit(f"{ref.field} refers to '"), F.col("__value").cast("string"),
+            F.lit(f"', which no {ref.target} has as its {ref.attribute}"),
         )
         parts.append(_diagnostics(
             loose, severity=F.lit("warning"), source=F.lit("x-ref-data"),
@@ -420,8 +420,8 @@ def check_duplicate_ids(frames: Mapping[str, DataFrame], schema: Schema) -> Data
         single = is_single(entity)
         if not single and "id" in kind.names:
             twice = duplicate_rows(frame)
-            message = F.concat(F.lit("duplicate id '"), column("id").cast("string"),
-                               F.lit(f"' in {name}"))
+            message = F.concat(F.lit("'"), column("id").cast("string"),
+                               F.lit(f"' is the id of several rows of {name}"))
             parts.append(_diagnostics(
                 twice, severity=F.lit("error"), source=F.lit("duplicate-id"), entity=F.lit(name),
                 record=column("id"), path=F.lit(name), message=message,
@@ -433,7 +433,7 @@ def check_duplicate_ids(frames: Mapping[str, DataFrame], schema: Schema) -> Data
                 (F.lit(None) if single else column("id")).cast("string").alias("__record"),
                 F.explode(found).alias("__d"),
             )
-            message = F.concat(F.lit("duplicate id '"), F.col("__d.id"), F.lit("' in "),
+            message = F.concat(F.lit("'"), F.col("__d.id"), F.lit("' is the id of several rows of "),
                                F.col("__d.place"))
             parts.append(_diagnostics(
                 rows, severity=F.lit("error"), source=F.lit("duplicate-id"), entity=F.lit(name),
@@ -497,8 +497,8 @@ def _array_duplicates(items: Column, kind: T.StructType, place: Column) -> Colum
 
 def check_handwritten_blobs(records: DataFrame) -> DataFrame:
     """An error per ``blob`` row that came from a record file."""
-    message = F.concat(F.lit("blob.id = '"), column("id").cast("string"),
-                       F.lit("' is hand-written; blob records come from files only"))
+    message = F.concat(F.lit("a record file lists the blob '"), column("id").cast("string"),
+                       F.lit("'; blobs are listed from the files themselves"))
     return _diagnostics(
         records, severity=F.lit("error"), source=F.lit("blob-data"), entity=F.lit("blob"),
         record=column("id"), path=F.lit("blob.id"), message=message,

@@ -434,9 +434,14 @@ def _row_address(frame: DataFrame, base: Column, kind: str) -> Column:
     return F.concat(base, F.lit("/"), iri_escape(column("id").cast("string"), kept))
 
 
+#: Fixed value: what stands for the rows of an entity that has none.
+NO_RECORDS = "*(no records)*"
+
+
 def record_table(name: str, frame: DataFrame, steps: Sequence[str] = ()) -> DataFrame:
     """The Markdown table of an entity as ordered lines: ``entity``, ``part``
-    (0 title, 1 head, 2 rule, 3 rows), ``line``. One row per record, never one
+    (0 title, 1 head, 2 rule, 3 rows), ``line``. An entity without rows has a
+    notice instead of head and rule. One row per record, never one
     row per table; sort by ``part`` and the ordinal to print it."""
     rows = entity_rows(name, frame, steps)
     label = ".".join((name, *steps))
@@ -456,13 +461,19 @@ def record_table(name: str, frame: DataFrame, steps: Sequence[str] = ()) -> Data
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells, md_cell(shown(F.col("_address")))),
                     F.lit(" |"))
     body = rows.select(F.lit(label).alias("entity"), F.lit(3).alias("part"), line.alias("line"), *kept)
-    head = [
-        (label, 0, f"# {label}"),
+    fixed = "entity string, part int, line string"
+    spark = frame.sparkSession
+    title = spark.createDataFrame([(label, 0, f"# {label}")], fixed)
+    head = spark.createDataFrame([
         (label, 1, "| " + " | ".join([*names, "_anchor_path"]) + " |"),
         (label, 2, "|" + "---|" * (len(names) + 1)),
-    ]
-    fixed = frame.sparkSession.createDataFrame(head, "entity string, part int, line string")
-    return fixed.unionByName(body, allowMissingColumns=True)
+    ], fixed)
+    none = spark.createDataFrame([(label, 1, ""), (label, 2, NO_RECORDS)], fixed)
+    # One row at most on either side: whether there is a record at all.
+    some = rows.select(F.lit(1).alias("__some")).limit(1)
+    on = F.col("__some") == 1
+    opening = head.join(some, on, "left_semi").unionByName(none.join(some, on, "left_anti"))
+    return title.unionByName(opening).unionByName(body, allowMissingColumns=True)
 
 
 def _cell(value: Column, kind: T.DataType) -> Column:

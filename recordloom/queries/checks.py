@@ -79,14 +79,12 @@ WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')""")
 def fk_declared(t: Tables) -> DataFrame:
     """All declared references at once, a warning per occurrence."""
     found = C.check_references(star_frames(t), STAR)
-    value = F.regexp_extract("message", "= '([^']*)'", 1)
+    value = F.regexp_extract("message", "refers to '([^']*)'", 1)
     return found.select("path", value.alias("value"), "severity")
 
 
-@query("""SELECT 'composition' AS kind, 'x' AS source, 'x' AS target, 'x' AS attribute,
-  CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS dangling WHERE false
-UNION ALL SELECT 'reference', 'nation', 'region', 'n_regionkey', count(n_regionkey),
-  count(*) FILTER (n_regionkey = 3) FROM nation
+@query("""SELECT 'reference' AS kind, 'nation' AS source, 'region' AS target, 'n_regionkey' AS attribute, count(n_regionkey) AS used,
+  count(*) FILTER (n_regionkey = 3) AS dangling FROM nation
 UNION ALL SELECT 'reference', 'customer', 'nation', 'c_nationkey', count(c_nationkey), 0
   FROM customer WHERE c_acctbal >= 0
 UNION ALL SELECT 'reference', 'orders', 'customer', 'o_custkey', count(o_custkey),
@@ -140,7 +138,7 @@ def dup_nested_ids(t: Tables) -> DataFrame:
     schema = record(talks=rows_of(record(
         id=INTEGER, roles=rows_of(record(turn=INTEGER, id=STRING, conv_id=INTEGER)))))
     found = C.check_duplicate_ids({"talks": talks.withColumnRenamed("conv_id", "id")}, schema)
-    return found.select("path", F.regexp_extract("message", "duplicate id '([^']*)'", 1).alias("id"))
+    return found.select("path", F.regexp_extract("message", "^'([^']*)'", 1).alias("id"))
 
 
 # ── Schema rules ─────────────────────────────────────────────────────
@@ -326,3 +324,76 @@ def catalog_attributes(t: Tables) -> DataFrame:
     counted = reduce(DataFrame.unionByName, [present(n, k) for n, k in types.items()])
     return attributes.join(counted, ["entity", "attribute"]).select(
         "entity", "attribute", "type", "required", "present")
+
+
+TALKS = record(talks=rows_of(record(id=INTEGER, turns=rows_of(record(turn=INTEGER, role=STRING)))),
+               orders=STAR["properties"]["orders"], customer=STAR["properties"]["customer"])
+LINEAGE = {"mine": {"from": "talks"}, "both": {"from": "mine", "join": {
+    "to": "orders", "on": {"left": "id", "right": "o_orderkey"}}}}
+
+
+@query("""SELECT 'composition' AS kind, 'talks' AS source, 'talks.turns' AS target, count(*) AS n FROM conversations
+UNION ALL SELECT 'reference', 'orders', 'customer', count(*) FROM orders
+UNION ALL SELECT 'lineage', 'mine', 'talks', count(DISTINCT conv_id) FROM conversations
+UNION ALL SELECT 'lineage', 'both', 'mine', count(DISTINCT conv_id) FROM conversations
+UNION ALL SELECT 'lineage', 'both', 'orders', count(*) FROM orders""")
+def entity_edges(t: Tables) -> DataFrame:
+    """Composition, reference and lineage edges, each with the rows that run along it."""
+    edges = K.edges(K.catalog(t.spark, K.schema_types(TALKS, with_builtin=False))[K.ENTITIES], LINEAGE)
+    talks = t.conversations.agg(F.count_distinct("conv_id").alias("n"))
+    counts = [(("talks", "talks.turns"), t.conversations.agg(F.count(F.lit(1)).alias("n"))),
+              (("orders", "customer"), t.orders.agg(F.count("o_custkey").alias("n"))),
+              (("mine", "talks"), talks), (("both", "mine"), talks),
+              (("both", "orders"), t.orders.agg(F.count(F.lit(1)).alias("n")))]
+    rows = reduce(DataFrame.unionByName, [
+        c.select(F.lit(a).alias("source"), F.lit(b).alias("target"), "n") for (a, b), c in counts])
+    return edges.filter("kind <> 'reference' or source = 'orders'").join(
+        rows, ["source", "target"]).select("kind", "source", "target", "n")
+
+
+@query("""SELECT id, builtin, n FROM (SELECT 'region' AS id, false AS builtin, count(*) AS n FROM region
+UNION ALL SELECT 'nation', false, count(*) FROM nation UNION ALL SELECT 'customer', false, count(*) FROM customer
+UNION ALL SELECT 'orders', false, count(*) FROM orders UNION ALL SELECT 'labels', false, count(*) FROM labels
+UNION ALL SELECT 'documents', false, count(*) FROM documents)""")
+def builtin_views(t: Tables) -> DataFrame:
+    """The entities the built-in view of definitions lists, with their rows."""
+    types = K.schema_types(STAR, with_builtin=False)
+    defs = K.builtin_views(K.catalog(t.spark, types))["__entity_defs"]
+    sizes = reduce(DataFrame.unionByName, [
+        getattr(t, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("id"), "n") for n in types])
+    return finish(defs).join(sizes, "id").select("id", "builtin", "n")
+
+
+@query("""SELECT 'closed' AS gate, 'error' AS severity, count(*) AS n FROM lineitem
+WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'open', 'warning', count(*) FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""")
+def export_gate(t: Tables) -> DataFrame:
+    """Errors close the gate of an export, warnings alone do not; the run log says so."""
+    ids = t.lineitem.select(F.col("l_orderkey").alias("id"))
+    doubles = C.check_duplicate_ids({"lines": ids}, record(lines=rows_of(record(id=INTEGER))))
+    linked = record(orders=rows_of(record(o_custkey=ref("customer", "c_custkey"))),
+                    customer=STAR["properties"]["customer"])
+    loose = C.check_references({"orders": t.orders.select("o_custkey"),
+                                "customer": t.customer.filter("c_acctbal >= 0")}, linked).filter("entity = 'orders'")
+    log = f"{t.scratch()}/log"
+    for name, found in (("closed", doubles), ("open", loose)):
+        C.run_stages(t.spark, [(name, lambda f=found: f)], log)
+    states = F.when(F.col("status") == "ng", "closed").otherwise("open").alias("gate")
+    found = doubles.withColumn("stage", F.lit("closed")).unionByName(loose.withColumn("stage", F.lit("open")))
+    return t.spark.read.parquet(log).select("stage", states).join(
+        found.groupBy("stage", "severity").agg(F.count(F.lit(1)).alias("n")), "stage").select("gate", "severity", "n")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS value, doc_id % 3 <> 0 AS found FROM documents""")
+def whole_numbers(t: Tables) -> DataFrame:
+    """Only whole numbers in range are integers; others are absent, and findings."""
+    kinds = F.array(F.col("doc_id").cast("string"), F.concat("doc_id", F.lit(".5")), F.lit("1" + "0" * 23))
+    body = F.concat(F.lit('{"rows":{"'), "doc_id", F.lit('":{"n":'), F.get(kinds, (F.col("doc_id") % 3).cast("int")), F.lit("}}}"))
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.array(F.col("doc_id").cast("string")).alias("parts"),
+                               body.alias("text"), F.lit(None).cast("string").alias("problem"))
+    schema = record(rows={"type": "object", "additionalProperties": record(n=INTEGER)})
+    rows = finish(read_entities(files, schema)["rows"])
+    loose = C.text_violations(files, schema).select(F.col("record").alias("id")).distinct().withColumn("f", F.lit(True))
+    return rows.join(loose, "id", "left").select(
+        F.col("id").cast("bigint").alias("doc_id"), F.col("n").alias("value"), F.coalesce("f", F.lit(False)).alias("found"))

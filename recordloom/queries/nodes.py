@@ -136,7 +136,7 @@ def subtree(t: Tables) -> DataFrame:
 @query("""SELECT turn AS id, role, '/talks/' || conv_id || '/turns/' || turn AS _address FROM conversations""")
 def nested_entity_rows(t: Tables) -> DataFrame:
     turns = t.conversations.select("conv_id", F.col("turn").alias("id"), "role")
-    talks = V.finish(V.grouped(V.source(turns, ["id"]), "conv_id", "turns", segments=True))
+    talks = V.finish(V.grouped(V.source(turns, ["id"]), "conv_id", "turns"))
     talks = talks.select(F.col("conv_id").alias("id"), "turns")
     return N.entity_rows("talks", talks, ["turns"]).select("id", "role", "_address")
 
@@ -162,12 +162,35 @@ def markdown_escapes(t: Tables) -> DataFrame:
         F.md5(X.md_cell(F.col("text"))).alias("cell"), link.alias("link"))
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html'
-  WHEN 2 THEN 'application/x-tar' WHEN 3 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type
-FROM pages""")
+@query("""SELECT page_id, CASE WHEN ends_with(lower(url), '.html') OR ends_with(lower(url), '.htm') THEN 'text/html'
+  WHEN ends_with(lower(url), '.png') THEN 'image/png' WHEN ends_with(lower(url), '.pdf') THEN 'application/pdf'
+  ELSE 'application/octet-stream' END AS mime_type FROM pages""")
 def media_types(t: Tables) -> DataFrame:
-    """The media type of a file by its name."""
-    endings = F.array(*[F.lit(e) for e in (".png", ".HTML", ".tar.gz", ".pdf", ".unknown")])
-    ending = F.get(endings, (F.col("page_id") % 5).cast("int"))
-    path = F.concat(F.lit("files/"), F.col("page_id").cast("string"), ending)
-    return t.pages.select("page_id", mime_type(path).alias("mime_type"))
+    """The media type of a page by its address."""
+    return t.pages.select("page_id", mime_type(F.col("url")).alias("mime_type"))
+
+
+@query("""SELECT '# parts of size ' || size AS line, 0 AS part FROM (SELECT 99 AS size)
+UNION ALL SELECT '', 1 UNION ALL SELECT '*(no records)*', 2 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > 99)""")
+def record_table_of_nothing(t: Tables) -> DataFrame:
+    """The table of an entity without rows."""
+    rows = t.part.filter("p_size > 99").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return N.record_table("parts of size 99", rows).select("part", "line")
+
+
+@query(r"""SELECT doc_id, md5('`' || replace(text, '`', '') || '`') AS code,
+  md5('```' || lang || chr(10) || replace(text, '`', '') || chr(10) || '```') AS fence,
+  coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, '') AS shown,
+  'https://example.org/' || doc_id || '?q=%20%28' || lang || '%29' AS url,
+  md5('a' || chr(10) || '  ' || source || chr(10) || chr(10) || 'b') AS dedented FROM documents
+WHERE NOT starts_with(text, ' ') AND NOT ends_with(text, ' ') AND NOT ends_with(text, chr(10)) AND text <> ''""")
+def markdown_fences(t: Tables) -> DataFrame:
+    """Code spans, fences, addresses, absent values, and common indentation taken away."""
+    docs = t.documents.filter("text not like ' %' and text not like '% ' and text not like '%\n' and text <> ''")
+    plain = F.replace("text", F.lit("`"), F.lit(""))
+    block = F.concat(F.lit("  a\n    "), "source", F.lit("\n \n  b"))
+    url = F.concat(F.lit("https://example.org/"), "doc_id", F.lit("?q= ("), "lang", F.lit(")"))
+    return docs.select(
+        "doc_id", F.md5(X.md_code(plain)).alias("code"), F.md5(X.md_fence(plain, F.col("lang"))).alias("fence"),
+        X.shown(F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("shown"), X.url_encode(url).alias("url"),
+        F.md5(X.dedent(block)).alias("dedented"))

@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from recordloom.operators import views as V
 from recordloom.queries.checks import INTEGER, NUMBER, STRING, record
 from recordloom.queries.registry import Tables, query
-from recordloom.queries.views import PIECE, PIECES_SQL, list_ends, keep
+from recordloom.queries.views import LISTS_SQL, list_ends, keep
 from recordloom.sources import sinks
-from recordloom.sources.tree import read_entities, record_files
+from recordloom.sources.tree import (
+    prose_problems, prose_rows, read_blobs, read_entities, read_prose, record_files, scan_tree,
+)
 from recordloom.streaming import incremental as I
 
 #: Customers per written file.
@@ -33,7 +35,7 @@ def _customer_files(t: Tables) -> str:
     files = rows.groupBy("file").agg(body.alias("body"))
     root = t.scratch()
     sinks.write_page_files(files.select(
-        F.lit("tree").alias("edition"), F.lit(0).alias("segment"), "body",
+        F.lit("tree").alias("edition"), F.lit(0).alias("part"), "body",
         F.concat(F.lit("people/c"), F.col("file").cast("string"), F.lit(".json")).alias("page_path"),
     ), root)
     return root
@@ -68,10 +70,10 @@ def namespace_rows(t: Tables) -> DataFrame:
         {"nation": t.nation, "priority": t.orders.select("o_orderkey", status)})
 
 
-@query("""SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status FROM orders WHERE o_totalprice > 100000""")
+@query("""SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status FROM orders""")
 def export_and_read(t: Tables) -> DataFrame:
     """A namespace exported all or nothing, then read back."""
-    rows = t.orders.filter("o_totalprice > 100000").select(
+    rows = t.orders.select(
         "o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"))
     out = f"{t.scratch()}/export"
     sinks.export_namespace({"orders": V.source(rows, ["o_orderkey"])}, out)
@@ -120,17 +122,19 @@ def stream_view(t: Tables) -> DataFrame:
     return _drain(live, t.scratch())
 
 
-@query(PIECES_SQL.format(key="o_orderstatus", size=PIECE, rows="SELECT o_orderstatus, o_orderkey AS id FROM orders"))
+@query(LISTS_SQL.format(key="o_custkey", rows="SELECT o_custkey, o_orderkey AS id FROM orders"))
 def stream_grouped(t: Tables) -> DataFrame:
-    """Ordered lists over a stream, computed again from the rows so far."""
+    """Ordered lists over a stream of several batches; each reads only the slots
+    of the keys it has rows for."""
     out = t.scratch()
-    write = lambda view: view.write.mode("overwrite").parquet(f"{out}/view")
-    orders = V.source(_stream(t, "orders"), ["o_orderkey"])
+    t.orders.withColumn("third", F.col("o_custkey") % 3).write.partitionBy("third").parquet(f"{out}/in")
+    stream = t.spark.readStream.schema(t.orders.schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True).parquet(f"{out}/in")
     I.recompute_view(
-        orders, f"{out}/table", {}, {"from": "orders", "grouped": {"by": "o_orderstatus"}}, write,
-        f"{out}/state", segments=True, segment_rows=PIECE,
+        V.source(stream, ["o_orderkey"]), f"{out}/table", {}, {"from": "orders", "grouped": {"by": "o_custkey"}},
+        f"{out}/view", f"{out}/state", slots=16,
     ).awaitTermination()
-    return list_ends(t.spark.read.parquet(f"{out}/view"), "o_orderstatus", "orders", "o_orderkey")
+    return list_ends(t.spark.read.parquet(f"{out}/view"), "o_custkey", "orders", "o_orderkey")
 
 
 @query("""SELECT 'rich' AS view, count(*) AS n FROM customer WHERE c_acctbal > 5000
@@ -148,3 +152,99 @@ def incremental_refresh(t: Tables) -> DataFrame:
         F.lit(name).alias("view"), "n").write.mode("append").parquet(out)
     I.refresh({"orders": t.orders, "customer": t.customer}, specs, ["customer"], write)
     return t.spark.read.parquet(out)
+
+
+TREE = record(people={"type": "object", "additionalProperties": record(name=STRING, nation=INTEGER)},
+              about=record(last=STRING, count=INTEGER))
+
+
+def _odd_tree(t: Tables) -> str:
+    """Customers by segment as record files, one of them broken; a single record
+    in two of them; prose and other files, empty ones and ones named with _."""
+    entry = F.struct(F.col("c_custkey").cast("string").alias("k"),
+                     F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("v"))
+    rows = t.customer.groupBy(F.concat("c_mktsegment", (F.col("c_custkey") % 20).cast("string")).alias("file")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("people"))
+    records = rows.select(
+        F.concat(F.lit("in/"), "file", F.lit(".json")).alias("page_path"), F.to_json(F.struct("people")).alias("body"))
+    number = t.region.select(
+        F.concat(F.lit("in/about"), "r_regionkey", F.lit(".json")).alias("page_path"),
+        F.concat(F.lit('{"about":{"last":"'), "r_name", F.lit('","count":'), "r_regionkey", F.lit("}}")).alias("body"))
+    broken = t.nation.select(F.concat(F.lit("in/broken"), "n_nationkey", F.lit(".json")).alias("page_path"),
+                             F.lit('{"people":{').alias("body"))
+    prose = t.documents.select(
+        F.concat(F.lit("_drafts/"), "lang", F.lit("/d"), "doc_id", F.lit(".MD")).alias("page_path"),
+        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("body"))
+    blobs = t.supplier.select(F.concat(F.lit("files/_s"), "s_suppkey", F.lit(".png")).alias("page_path"),
+                              F.lit("").alias("body"))
+    every = records.union(number).union(broken).union(prose).union(blobs)
+    root = f"{t.scratch()}/tree"
+    sinks.write_page_files(every.select(F.lit("all").alias("edition"), "page_path", F.lit(0).alias("part"), "body"), root)
+    return f"{root}/all"
+
+
+@query("""SELECT 'people' AS name, count(*) AS n, sum(c_custkey) AS total FROM customer
+UNION ALL SELECT 'about', 1, max(r_regionkey) FROM region
+UNION ALL SELECT 'findings', count(*), 0 FROM nation""")
+def stream_of_odd_files(t: Tables) -> DataFrame:
+    """Files taken in over several batches: a broken one is a finding and costs
+    no row of another, and a single record is merged over all batches."""
+    root, out = _odd_tree(t), t.scratch()
+    files = I.stream_record_files(t.spark, f"{root}/in", max_files=40)
+    tables = {n: f"{out}/{n}" for n in ("people", "about")}
+    I.ingest(files, TREE, tables, f"{out}/state", f"{out}/findings").awaitTermination()
+    count = lambda frame, name, total: frame.agg(
+        F.count(F.lit(1)).alias("n"), total.cast("bigint").alias("total")).select(F.lit(name).alias("name"), "n", "total")
+    return count(t.spark.read.parquet(tables["people"]), "people", F.sum(F.col("id").cast("bigint"))).union(
+        count(t.spark.read.parquet(tables["about"]), "about", F.max("count"))).union(
+        count(t.spark.read.parquet(f"{out}/findings"), "findings", F.lit(0)))
+
+
+@query("""SELECT 'prose' AS kind, '_drafts/' || lang || '/d' || doc_id AS id, 'text/markdown' AS mime_type,
+  md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE nfc_normalize(text) END) AS body FROM documents
+UNION ALL SELECT 'blob', 'files/_s' || s_suppkey || '.png', 'image/png', NULL FROM supplier""")
+def prose_and_blob_scan(t: Tables) -> DataFrame:
+    """Prose and other files, with empty ones and names that start with _."""
+    root = _odd_tree(t)
+    prose = read_prose(t.spark, root).select(
+        F.lit("prose").alias("kind"), "id", "mime_type", F.md5("content").alias("body"))
+    blobs = read_blobs(t.spark, root).select(
+        F.lit("blob").alias("kind"), "id", "mime_type", F.lit(None).cast("string").alias("body"))
+    return prose.union(blobs)
+
+
+@query("""SELECT 'd' || doc_id || '.bin' AS path, doc_id % 3 = 0 AS damaged,
+  md5(CASE WHEN doc_id % 3 = 0 THEN chr(65533) || source ELSE source END) AS body FROM documents""")
+def invalid_bytes(t: Tables) -> DataFrame:
+    """A byte that is no UTF-8 is a finding; the rest of its text stays."""
+    bytes_ = F.encode("source", "UTF-8")
+    files = t.documents.select(
+        F.concat(F.lit("d"), "doc_id", F.lit(".bin")).alias("path"), F.array(F.lit("d")).alias("parts"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FF")), bytes_)).otherwise(bytes_).alias("content"))
+    bad = prose_problems(files).select("path", F.lit(True).alias("bad"))
+    rows = prose_rows(files).select(F.concat("id", F.lit(".bin")).alias("path"), F.md5("content").alias("body"))
+    return rows.join(bad, "path", "left").select("path", F.coalesce("bad", F.lit(False)).alias("damaged"), "body")
+
+
+@query("""SELECT 'p' || p_partkey || '.txt' AS path, md5(p_name || CASE WHEN p_partkey % 4 = 1 THEN '!' ELSE '' END) AS body
+FROM part WHERE p_partkey % 4 <> 0""")
+def mirrored_files(t: Tables) -> DataFrame:
+    """A mirror brought up to date: a fourth of the files deleted, a fourth changed,
+    a fourth new."""
+    def put(rule: str, out: str) -> None:
+        body = F.expr(f"concat(p_name, if({'p_partkey % 4 = 1' if out == 'after' else 'false'}, '!', ''))")
+        rows = t.part.filter(rule).select(
+            F.lit(out).alias("edition"), F.concat(F.lit("p"), "p_partkey", F.lit(".txt")).alias("page_path"),
+            F.lit(0).alias("part"), body.alias("body"))
+        sinks.write_page_files(rows, f"{root}/{out}")
+
+    root = t.scratch()
+    put("p_partkey % 4 <> 2", "before")
+    put("p_partkey % 4 <> 0", "after")
+    old, new, mirror = f"{root}/before/before", f"{root}/after/after", f"{root}/mirror"
+    states = [sinks.stored(scan_tree(t.spark, d, content=True).select(
+        "path", F.md5("content").alias("hash")), f"{root}/{n}") for n, d in (("s0", old), ("s1", new))]
+    nothing = states[0].limit(0)
+    sinks.copy_files(I.changes(nothing, states[0], compare=["hash"]), old, mirror)
+    sinks.copy_files(I.changes(states[0], states[1], compare=["hash"]), new, mirror)
+    return scan_tree(t.spark, mirror, content=True).select("path", F.md5("content").alias("body"))

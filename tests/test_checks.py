@@ -180,7 +180,7 @@ def test_references(spark):
         ("albums.artist", "q", "warning"), ("albums.artist", "r", "warning"),
         ("artists.home.label", "x", "warning"), ("artists.members.of", "x", "warning"),
     ]
-    assert "'zz' has no match in artists.id" in got[-1]["message"] + got[0]["message"]
+    assert "'zz', which no artists has as its id" in got[-1]["message"] + got[0]["message"]
     flat = rows(C.check_references(frames, SCHEMA, inside_structs=False))
     assert len(flat) == 3
     empty = {"albums": frames["albums"], "artists": frames["artists"].filter("false")}
@@ -198,9 +198,9 @@ def test_duplicate_ids(spark):
     ), SCHEMA)
     got = rows(C.check_duplicate_ids(frames, SCHEMA))
     assert sorted(r["message"] for r in got) == [
-        "duplicate id '1' in albums", "duplicate id '1' in albums",
-        "duplicate id 'm' in artists/x/members", "duplicate id 'm' in artists/x/members",
-        "duplicate id 'x' in artists", "duplicate id 'x' in artists",
+        "'1' is the id of several rows of albums", "'1' is the id of several rows of albums",
+        "'m' is the id of several rows of artists/x/members", "'m' is the id of several rows of artists/x/members",
+        "'x' is the id of several rows of artists", "'x' is the id of several rows of artists",
     ]
 
 

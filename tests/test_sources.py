@@ -55,10 +55,18 @@ def test_scan(spark, tree):
     assert "content" not in scan_tree(spark, tree).columns
 
 
-def test_a_large_walk_is_handed_on(spark, tree, monkeypatch):
+def test_the_walk_finds_the_same_however_it_is_spread(spark, tree, monkeypatch):
     whole = sorted(r["path"] for r in rows(scan_tree(spark, tree)))
-    monkeypatch.setattr(tree_module, "WALK_ENTRIES", 1)
-    assert sorted(r["path"] for r in rows(scan_tree(spark, tree))) == whole
+    for levels in (0, 1, 9):
+        monkeypatch.setattr(tree_module, "SPREAD_LEVELS", levels)
+        assert sorted(r["path"] for r in rows(scan_tree(spark, tree))) == whole
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    put(str(tmp_path), **{"a.md": b"caf\xc3\xa9 \xff!", "b.md": "fine"})
+    files = scan_tree(spark, str(tmp_path), "prose", content=True)
+    assert {r["id"]: r["content"] for r in rows(tree_module.prose_rows(files))} == {"a": "café \ufffd!", "b": "fine"}
+    assert [r["path"] for r in rows(tree_module.prose_problems(files))] == ["a.md"]
 
 
 def test_read_tree(spark, tree):
@@ -141,15 +149,19 @@ def test_page_files(spark, tmp_path):
     pages = spark.createDataFrame(
         [("web", "index.md", 1, "two\n"), ("web", "index.md", 0, "één\n"),
          ("web", "a/b.md", 0, "x\n"), ("pdf", "index.md", 0, "p\n")],
-        "edition string, page_path string, segment bigint, body string",
+        "edition string, page_path string, part bigint, body string",
     )
     out = str(tmp_path / "pages")
     sinks.write_page_files(pages, out)
     assert open(f"{out}/web/index.md", encoding="utf-8").read() == "één\ntwo\n"
     assert open(f"{out}/web/a/b.md").read() == "x\n"
-    sinks.write_page_files(pages, str(tmp_path / "cut"), pieces_per_file=1)
-    cut = tmp_path / "cut" / "web"
-    assert cut.joinpath("index.md").read_text(encoding="utf-8") == "één\n"
-    assert cut.joinpath("index.1.md").read_text() == "two\n"
+    # A later run replaces the earlier one; a name like index.1.md is like any other.
+    later = pages.filter("page_path = 'index.md'").withColumn("page_path", F.lit("index.1.md"))
+    sinks.write_page_files(later, out)
+    assert sorted(os.listdir(tmp_path)) == ["pages"] and sorted(os.listdir(f"{out}/web")) == ["index.1.md"]
+    broken = pages.withColumn("body", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        sinks.write_page_files(broken, out)
+    assert open(f"{out}/web/index.1.md", encoding="utf-8").read() == "één\ntwo\n"
     sinks.write_page_table(pages, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).filter("edition = 'pdf'").count() == 1
