@@ -306,8 +306,11 @@ def resolve_refs(refs: DataFrame, address: Column, nodes: DataFrame) -> DataFram
     known = nodes.groupBy(F.col("address").alias("__address")).agg(
         F.min("label").alias("__label")
     )
-    joined = refs.withColumn("address", address).join(
-        known, F.col("address") == F.col("__address"), "left"
+    # References never stated get keys of their own, that no address has: they do
+    # not meet in one task.
+    spread = F.coalesce(F.col("address"), F.monotonically_increasing_id().cast("string"))
+    joined = refs.withColumn("address", address).withColumn("__key", spread).join(
+        known, F.col("__key") == F.col("__address"), "left"
     )
     state = (
         F.when(F.col("address").isNull(), "none")
@@ -316,7 +319,7 @@ def resolve_refs(refs: DataFrame, address: Column, nodes: DataFrame) -> DataFram
     )
     label = F.coalesce(F.col("__label"), F.col("address"))
     return joined.withColumn("state", state).withColumn("label", label).drop(
-        "__address", "__label"
+        "__address", "__label", "__key"
     )
 
 
