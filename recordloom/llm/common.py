@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,25 +83,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def blocked_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], member: list[str], block_rows: int, by: str,
+    left: DataFrame, right: DataFrame, keys: list[str], member: list[str], block: int, by: str, weight: str = "1",
 ) -> DataFrame:
     """Pairs of blocks that cover every left-right pair within a key.
 
-    Each key's rows are dealt by a hash of ``by`` into blocks of about
-    ``block_rows``, and every left block meets every right block in a row of its
+    Each key's rows are dealt by a hash of ``by`` into blocks with a ``weight`` (an
+    SQL expression; rows by default) of about ``block``, and every left block meets every right block in a row of its
     own with the array columns ``left`` and ``right`` (structs of ``member``). A
     key that very many rows share thus becomes many rows, on many tasks; no row
     holds more than two blocks.
     """
     tally = lambda frame, name: frame.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        F.ceil(F.sum(F.expr(weight)) / block).cast("int").alias(name))
     sizes = stage(tally(left, "lefts").join(tally(right, "rights"), keys), "blocks")
 
     def side(frame: DataFrame, own: str, other: str) -> DataFrame:
-        block = F.pmod(F.xxhash64(by, F.lit("block")), F.col(f"{own}s")).cast("int")
-        return frame.join(sizes, keys).withColumn(f"{own}_block", block).groupBy(
+        place = F.pmod(F.xxhash64(by, F.lit("block")), F.col(f"{own}s")).cast("int")
+        return frame.join(sizes, keys).withColumn(f"{own}_block", place).groupBy(
             *keys, f"{own}_block", f"{other}s").agg(F.collect_list(F.struct(*member)).alias(own)).withColumn(
             f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop(f"{other}s")
 
     at = [*keys, "left_block", "right_block"]
     return side(left, "left", "right").join(side(right, "right", "left"), at).select("left", "right")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its part) that join what the links between
+    ``a`` and ``b`` join; never more than there are nodes."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a):]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]

@@ -9,7 +9,9 @@ on their full shingle sets.
 What is asked for are groups, so a bucket's pairs are not all written out: first
 every member is compared with one centre of its bucket; what the verified links
 do not yet join to the bucket's largest group is then compared with all others
-of the bucket, block by block, so no link between different texts is lost.
+of the bucket, block by block, so no link between different texts is lost. The
+blocks carry the full sets, and only a spanning forest of verified links leaves
+a task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocked_pairs, components, picked, stage, whole_text
+from recordloom.llm.common import blocked_pairs, components, forest, picked, stage, whole_text
 
 U64 = np.uint64
 
@@ -35,7 +37,8 @@ U64 = np.uint64
 class Settings:
     """``percent``: similarity to link at, in hundredths. ``batch`` hashes are
     compared at a time. Bands of ``band`` hashes, as many as leave a pair just at
-    the threshold undiscovered with probability ``undiscovered`` at most."""
+    the threshold undiscovered with probability ``undiscovered`` at most. Blocks
+    of a bucket hold about ``block_shingles`` shingles."""
 
     words: int = 5
     percent: int = 80
@@ -43,7 +46,7 @@ class Settings:
     batch: int = 16
     undiscovered: float = 1e-6
     miss: float = 1e-6
-    block_rows: int = 2048
+    block_shingles: int = 500_000
     seed: int = 11
 
     @property
@@ -133,7 +136,7 @@ def shingle_sets(documents: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingles(t, settings.words, known).view(np.int64) for t in part.column("text").to_pylist()]
+                sets = [np.sort(shingles(t, settings.words, known).view(np.int64)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
 
@@ -143,15 +146,15 @@ def shingle_sets(documents: DataFrame, settings: Settings) -> DataFrame:
 # ── Candidates ───────────────────────────────────────────────────────
 
 
-def survivors(left: np.ndarray, right: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+def survivors(left: np.ndarray, right: np.ndarray, settings: Settings) -> np.ndarray:
     """Row numbers of the pairs, given by row of ``left`` and of ``right``, that no
-    batch of signature comparisons rules out, and their matches."""
+    batch of signature comparisons rules out."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
     for k, least in enumerate(settings.least_matches()):
         at = slice(k * settings.batch, (k + 1) * settings.batch)
         matches[alive] += (left[alive, at] == right[alive, at]).sum(1)
         alive = alive[matches[alive] >= least]
-    return alive, matches[alive]
+    return alive
 
 
 def _signatures(column: pa.Array, settings: Settings) -> np.ndarray:
@@ -163,7 +166,7 @@ def pruned(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, _ = survivors(
+            keep = survivors(
                 _signatures(batch.column("sig_a"), settings), _signatures(batch.column("sig_b"), settings), settings)
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
@@ -183,32 +186,35 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return both.withColumn("common", common).filter(F.col("common") * 100 >= union * settings.percent).select("a", "b")
 
 
-def rest_pairs(members: DataFrame, settings: Settings, best_only: bool) -> DataFrame:
-    """Candidate pairs of different groups within a bucket that were not compared
+def rest_links(members: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different groups within a bucket that were not compared
     with its centre: whoever is outside the bucket's largest group, with all
-    others; with ``best_only`` each with its most promising partner of a block."""
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    others. A pair is compared in the first bucket it shares, and of a block's
+    links only a spanning forest is returned."""
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
     mixed = stage(
-        sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
-                                 F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"))
+        sizes.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"),
+                                 F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("total"))
         .filter("labels > 1 and total > 2").select("key", "main"), "mixed")
-    here = members.join(mixed, "key").filter("node <> center")
+    here = stage(members.join(mixed, "key").filter("node <> center"), "here")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values for c in ("left", "right"))
-                yield from _across(x, y, settings, best_only)
+                yield _across(*(batch.column(c)[k].values for c in ("left", "right")), settings)
 
-    outside = here.filter("label <> main")
-    member = ["node", "label", "main", "n", "sig"]
-    blocks = blocked_pairs(outside, here, ["key"], member, settings.block_rows, "node")
-    return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
+    member = ["node", "label", "main", "band", "n", "sig", "members"]
+    blocks = blocked_pairs(
+        here.filter("label <> main"), here, ["key"], member, settings.block_shingles, "node", weight="n")
+    return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings, best_only: bool) -> Iterator[pa.RecordBatch]:
+def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings) -> pa.RecordBatch:
     node, label, n = ([s.field(c).to_numpy() for s in (x, y)] for c in ("node", "label", "n"))
-    main, sigs = y.field("main").to_numpy(), [_signatures(s.field("sig"), settings) for s in (x, y)]
+    main, band = y.field("main").to_numpy(), int(y.field("band")[0].as_py())
+    sigs = [_signatures(s.field("sig"), settings) for s in (x, y)]
+    sets = [_arrays(s.field("members")) for s in (x, y)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(1, 200_000 // max(1, len(node[1])))
     for at in range(0, len(node[0]), step):
         part = slice(at, at + step)
@@ -216,17 +222,51 @@ def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings, best_only:
         allowed = (label[0][part, None] != label[1][None]) & (
             100 * np.minimum(*size) >= settings.percent * np.maximum(*size))
         # Two outsiders meet twice; once is enough.
-        allowed &= (label[1] == main)[None] | (node[0][part, None] < node[1][None])
+        allowed &= (label[1] != main)[None] <= (node[0][part, None] < node[1][None])
         i, j = np.nonzero(allowed)
-        keep, matches = survivors(sigs[0][part][i], sigs[1][j], settings)
+        i += at
+        keep = survivors(sigs[0][i], sigs[1][j], settings)
         i, j = i[keep], j[keep]
-        if best_only and len(i):
-            order = np.lexsort((-matches, i))
-            first = order[np.unique(i[order], return_index=True)[1]]
-            i, j = i[first], j[first]
-        a, b = node[0][part][i], node[1][j]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        same = (sigs[0][i] == sigs[1][j]).reshape(-1, settings.bands, settings.band).all(2)
+        keep = same.argmax(1) == band
+        i, j = i[keep], j[keep]
+        for k in np.unique(i):
+            others = j[i == k]
+            near = _similar(sets[0][k], [sets[1][o] for o in others], settings.percent)
+            found.append((np.full(near.sum(), node[0][k]), node[1][others[near]]))
+    a, b = (np.concatenate([f[s] for f in found]) if found else np.empty(0, np.int64) for s in (0, 1))
+    a, b = forest(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have the Jaccard similarity with the one; sets are sorted."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    common = np.add.reduceat(one[at] == flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+    return 100 * common >= percent * (len(one) + sizes - common)
+
+
+def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups after more links: only groups that a link joins are touched."""
+    def label(name: str) -> DataFrame:
+        return groups.select(F.col("node").alias(name), F.col("component").alias(f"group_{name}"))
+
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
+        "a", "b", F.coalesce("group_a", "a").alias("x"), F.coalesce("group_b", "b").alias("y"))
+    between = stage(between, "between")
+    merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    merged = stage(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "merged")
+    single = between.select("a").union(between.select("b")).distinct().withColumnRenamed("a", "node").join(
+        groups, "node", "left_anti").withColumn("component", F.col("node"))
+    return groups.unionByName(single).join(merged, "component", "left").select(
+        "node", F.coalesce("new", "component").alias("component"))
 
 
 # ── Job ──────────────────────────────────────────────────────────────
@@ -257,7 +297,7 @@ def near_duplicates(
     width = 4 * settings.band
     band_keys = F.array(*[
         F.xxhash64(F.lit(k), F.substring("sig", width * k + 1, width)) for k in range(settings.bands)])
-    banded = classes.select("node", F.explode(band_keys).alias("key"))
+    banded = classes.select("node", F.posexplode(band_keys).alias("band", "key"))
     centres = stage(
         banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("center"),
                                   F.count(F.lit(1)).alias("size")).filter("size > 1"), "centres")
@@ -266,20 +306,14 @@ def near_duplicates(
     sets = stage(shingle_sets(
         rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), settings), "sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stage(verified(stage(pruned(stage(pairs, "pairs"), classes, settings), "pruned"), sets, settings),
-                     "links")
-
     a, b = F.least("node", "center"), F.greatest("node", "center")
-    links = linked(members.filter("node <> center").select(a.alias("a"), b.alias("b")).distinct())
+    stars = stage(members.filter("node <> center").select(a.alias("a"), b.alias("b")).distinct(), "stars")
+    links = stage(verified(stage(pruned(stars, classes, settings), "pruned"), sets, settings), "links")
     groups = stage(components(links), "groups")
-    signed_members = members.filter("size > 2").join(classes.select("node", "n", "sig"), "node")
-    for best_only in (True, False):
-        labelled = signed_members.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        labelled = stage(labelled.drop("component", "size"), "labelled")
-        more = linked(rest_pairs(labelled, settings, best_only))
-        links = links.union(more)
-        groups = stage(components(links), "groups")
+    labelled = members.filter("size > 2").join(groups, "node", "left").select(
+        "node", "band", "key", "center", F.coalesce("component", "node").alias("label"))
+    full = labelled.join(classes.select("node", "n", "sig"), "node").join(sets, "node")
+    groups = stage(regrouped(groups, stage(rest_links(full, settings), "rest")), "groups")
     joined = classes.select("set_key", "node").join(groups, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
     # The same id under several texts joins their groups.

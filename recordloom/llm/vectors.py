@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocked_pairs, components, picked, stage
+from recordloom.llm.common import blocked_pairs, components, forest, picked, stage
 
 # ── Cells ────────────────────────────────────────────────────────────
 
@@ -95,26 +95,6 @@ def seats(points: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.n
 # ── Blocks ───────────────────────────────────────────────────────────
 
 
-def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its part) that join what the links join."""
-    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    rows, cols = at[: len(left)], at[len(left):]
-    x, y = np.nonzero(links)
-    a, b = rows[x], cols[y]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(names)))
-    return names[moved], names[label[moved]]
-
-
 def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Each input row is a pair of blocks."""
     for batch in batches:
@@ -132,7 +112,8 @@ def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             links &= ids["left"][:, None] != ids["right"][None, :]
             counts = links @ weight["right"]
             some = np.flatnonzero(counts)
-            node, root = forest(links, ids["left"], ids["right"])
+            x, y = np.nonzero(links)
+            node, root = forest(ids["left"][x], ids["right"][y])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([ids["left"][some], node])),
                  pa.array(np.concatenate([counts[some], np.zeros(len(node), np.int64)])),

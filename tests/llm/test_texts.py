@@ -100,7 +100,7 @@ def test_near_duplicates(table, words, percent):
             texts[100 * group + 50 + k] = " ".join(chain)
     texts |= {900: "a B", 901: "A b", 902: None, 903: " ", 904: "a", 905: texts[0].upper(), 906: "word " * 30_000}
     got = near_dedup.near_duplicates(
-        clashing(table(*texts.items())), near_dedup.Settings(words=words, percent=percent, block_rows=16)).collect()
+        clashing(table(*texts.items())), near_dedup.Settings(words=words, percent=percent, block_shingles=2000)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, words, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
