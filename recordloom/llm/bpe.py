@@ -16,17 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked, stage, whole_text
+from recordloom.llm.common import picked, sliced, stage, whole_text
 from recordloom.llm.tokens import encoder, token_bytes
 
-#: Rows handled at once inside a task.
-ROWS = 256
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
 
 
 # ── Joining two encoded parts ────────────────────────────────────────
@@ -107,7 +99,7 @@ def join_encoded(
 def _encoding(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = encoder(path, "byte"), token_bytes(path) if decoded else []
-        for batch in _slices(batches):
+        for batch in sliced(batches):
             ids = [own.encode(t) for t in batch.column("text").to_pylist()]
             out = {name: batch.column(name) for name in batch.schema.names if name != "text"}
             out["ids"] = pa.array(ids, pa.binary())
@@ -129,7 +121,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        for batch in _slices(batches):
+        for batch in sliced(batches):
             texts = [None if x is None else _decode(table, x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])

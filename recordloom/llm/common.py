@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,14 @@ def components(edges: DataFrame) -> DataFrame:
         star.select("v", "v").distinct())
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows``, so a task holds the Python
+    objects of few rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocked_pairs(
     left: DataFrame, right: DataFrame, keys: list[str], member: list[str], block: int, by: str, weight: str = "1",
 ) -> DataFrame:

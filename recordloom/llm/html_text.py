@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked
+from recordloom.llm.common import picked, sliced
 
 # ── The page's tree ──────────────────────────────────────────────────
 
@@ -261,13 +261,11 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [extract(page) for page in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
-                     pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for batch in sliced(batches):
+            texts = [extract(page) for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                 pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = picked(pages, page_id=page_id, url=url, html=html)
     return rows.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(

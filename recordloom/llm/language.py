@@ -21,14 +21,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import picked, stage, whole_text
 
+#: Bytes of text that a task scores at once.
+AT_ONCE = 250_000
 #: No language: text without a letter.
 UNDETERMINED = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
@@ -203,6 +205,9 @@ def model_from(table: pa.Table, order: int) -> Model:
             tail = before.find(keys & np.uint64((1 << (8 * (w - 1))) - 1))
             own = np.where(np.isnan(own), gone + before.bits[tail], own)
         levels.append(Level.of(keys, own, out))
+    for level in levels:  # every worker holds them
+        level.bits, level.escape = level.bits.astype(np.float32), level.escape.astype(np.float32)
+    levels[-1].escape = levels[-1].escape[:0]  # the longest strings are no contexts
     return Model(langs, levels)
 
 
@@ -231,17 +236,14 @@ def judgement(spark: SparkSession, model: Model, text: Column) -> Column:
     """``lang_pred, score, bits_per_byte`` of a text column, as a struct; see :func:`predict`."""
     frozen: Broadcast[Model] = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        parts, at, texts = [], 0, texts.tolist()
-        while at < len(texts):  # about a million characters at once, a long text alone
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
-                size += len(texts[end])
-                end += 1
-            parts.append(_judged(frozen.value, texts[at:end]))
+    @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        sizes, parts, at = pc.binary_length(texts).to_numpy(zero_copy_only=False), [], 0
+        while at < len(sizes):  # about so many bytes at once, a long text alone
+            end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), AT_ONCE, "right")))
+            parts.append(_judged(frozen.value, texts.slice(at, end - at).to_pylist()))
             at = end
-        return pd.concat(parts, ignore_index=True) if parts else _judged(frozen.value, [])
+        return pa.concat_arrays(parts) if parts else _judged(frozen.value, [])
 
     return judge(whole_text(text))
 
@@ -259,7 +261,7 @@ def predict(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     return rows.withColumn("j", judgement(rows.sparkSession, model, F.col("text"))).select("doc_id", "j.*")
 
 
-def _judged(model: Model, texts: list[str]) -> pd.DataFrame:
+def _judged(model: Model, texts: list[str]) -> pa.StructArray:
     lettered = [bool(model.languages) and _lettered(t) for t in texts]
     coded = [t.encode() for t, good in zip(texts, lettered, strict=True) if good]
     pred, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -274,7 +276,8 @@ def _judged(model: Model, texts: list[str]) -> pd.DataFrame:
         rate[rows] = least / sizes
         for k, row in enumerate(rows):
             pred[row] = model.languages[best[k]]
-    return pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
+    columns = [pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=np.isnan(rate))]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
 
 
 def held_out(doc_id: Column | str) -> Column:

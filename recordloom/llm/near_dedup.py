@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocked_pairs, components, forest, picked, stage, whole_text
+from recordloom.llm.common import blocked_pairs, components, forest, picked, sliced, stage, whole_text
 
 U64 = np.uint64
 
@@ -87,7 +87,7 @@ def shingles(text: str, words: int, known: Words) -> np.ndarray:
     parts = text.encode().lower().split()
     if not parts:
         return np.empty(0, U64)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     each = np.fromiter(map(known.__getitem__, parts), U64, len(parts))
     width = min(words, len(parts))
@@ -118,7 +118,7 @@ def signature(hashes: np.ndarray, settings: Settings) -> bytes:
 def signed(documents: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t, settings.words, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -133,12 +133,11 @@ def signed(documents: DataFrame, settings: Settings) -> DataFrame:
 def shingle_sets(documents: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [np.sort(shingles(t, settings.words, known).view(np.int64)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
+        for batch in sliced(batches, 64):
+            texts = batch.column("text").to_pylist()
+            sets = [np.sort(shingles(t, settings.words, known).view(np.int64)) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
 
     return documents.mapInArrow(run, "node bigint, members array<bigint>")
 

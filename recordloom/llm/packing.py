@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked, stage, whole_text
+from recordloom.llm.common import picked, sliced, stage, whole_text
 from recordloom.llm.tokens import encoder
 
 
@@ -114,18 +114,17 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, most = encoder(path, "word"), np.array([end_id], "<u4").tobytes(), 4 * tokens
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows: list[tuple] = []
-                for name, value in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    ids = own.encode(value) + end
-                    for piece, start in enumerate(range(0, len(ids), most)):
-                        own_ids = ids[start: start + most]
-                        length = len(own_ids) // 4
-                        number = seen[length] = seen.get(length, -1) + 1
-                        rows.append((name, piece, start // 4, length, zlib.crc32(own_ids), own_ids, part, number))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        for batch in sliced(batches):
+            rows: list[tuple] = []
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = own.encode(value) + end
+                for piece, start in enumerate(range(0, len(ids), most)):
+                    own_ids = ids[start: start + most]
+                    length = len(own_ids) // 4
+                    number = seen[length] = seen.get(length, -1) + 1
+                    rows.append((name, piece, start // 4, length, zlib.crc32(own_ids), own_ids, part, number))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     fields = [f.split() for f in PIECE.split(", ")]
     names = [n for n, _ in fields]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked, spare, stage, whole_text
+from recordloom.llm.common import picked, sliced, spare, stage, whole_text
 
 #: In the order in which kinds are listed at equal starts.
 KINDS = ("email", "ip", "card", "phone")
@@ -172,7 +172,7 @@ def _seen(text: str, known: list[tuple[int, int, int]]) -> list[dict]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         spans, seen = [], []
         for text in batch.column("text").to_pylist():
             known = fixed_spans(text)

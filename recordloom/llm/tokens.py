@@ -31,7 +31,7 @@ CUTS = {
 #: Marks the end of a word in the ranks; no UTF-8 text has this byte.
 WORD_END = b"\xff"
 #: Remembered pre-tokens of a worker; beyond that it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 class Pieces(dict):
