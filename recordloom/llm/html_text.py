@@ -3,10 +3,11 @@
 Every node of the page's tree has a density: its characters per tag, raised
 where little of it is link text and lowered where much is,
 
-    C/T * log(C/L * T/K, base ln(C/(C-L) * L + B/A * C + e))
+    C/T * log(C/L * T/K, base ln(max(1, C/(C-L) * L + B/A * C) + e))
 
 with C characters, T tags, L link characters and K link tags of the node (1 at
-least), B and A the link characters and characters of the whole body. A node's
+least), B and A the link characters and characters of the whole body, with its
+navigation. The 1 keeps the density of nodes without links finite. A node's
 density sum adds up its children's densities. The node with the largest sum
 holds the main text; the smallest density on its way up to the body is the
 threshold that any block of it has to reach when it is told from boilerplate.
@@ -158,6 +159,31 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _link_share(root: Node) -> float:
+    """Share of link text in the characters of the whole page, asides included."""
+    chars = links = 0
+    todo = [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                size = len("".join(child.split()))
+                chars += size
+                links += size * linked
+            elif child.tag not in RAW:
+                todo.append((child, linked or child.tag == "a"))
+    return links / max(1, chars)
+
+
+def _density(chars: int, tags: int, links: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    inner = chars / max(1, links) * (tags / max(1, link_tags))
+    base = math.log(max(1.0, chars / max(1, chars - links) * links + share * chars) + math.e)
+    return chars / tags * math.log(inner, base) if inner > 1 else 0.0
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in densities and density sums; returns the nodes, parents first."""
     nodes = _in_order(root)
@@ -172,13 +198,9 @@ def measure(root: Node) -> list[Node]:
                 node.link_tags += child.link_tags + (child.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
-    share = root.link_chars / max(1, root.chars)
+    share = _link_share(root)
     for node in nodes:
-        c, t, links = node.chars, max(1, node.tags), node.link_chars
-        if c:
-            base = math.log(c / max(1, c - links) * links + share * c + math.e)
-            inner = c / max(1, links) * (t / max(1, node.link_tags))
-            node.density = c / t * math.log(inner, base) if inner > 1 and base > 1 else 0.0
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(
             c.density for c in node.children if isinstance(c, Node) and not c.aside and c.tag not in INLINE)

@@ -49,6 +49,20 @@ def test_density_follows_its_formula():
     assert div.total == first.density + second.density
 
 
+@pytest.mark.parametrize("nav", ["", "<nav><a href=x>Home</a> <a href=y>News</a></nav>"])
+def test_density_decides_without_links_or_telling_names(nav):
+    page = f"<body>{nav}<div><div>Buy our socks</div><div><p>{P}</p><p>{P}</p><p>{P}</p></div><div>Only now</div></div>"
+    assert html_text.extract(page) == f"{P} {P} {P}"
+    root = html_text.parse(page)
+    assert all(n.density > 0 for n in html_text.measure(root) if n.chars > 1)
+
+
+def test_link_share_is_that_of_the_whole_page():
+    root = html_text.parse("<nav><a>abcd</a></nav><p>abcd efgh</p>")
+    html_text.measure(root)
+    assert np.isclose(root.children[1].density, 8 * np.log(8) / np.log(np.log(np.e + 4 / 12 * 8)))
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", f"<article><p>{P}</p></article>"), (1, "u", None), (None, None, ""), (2, "v", "<p>" + "é " * 60_000)]
     got = html_text.extract_pages(clashing(spark.createDataFrame(rows, PAGES))).collect()
