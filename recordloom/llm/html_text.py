@@ -8,9 +8,10 @@ where little of it is link text and lowered where much is,
 with C characters, T tags, L link characters and K link tags of the node (1 at
 least), B and A the link characters and characters of the whole body, with its
 navigation. The 1 keeps the density of nodes without links finite. A node's
-density sum adds up its children's densities. The node with the largest sum
-holds the main text; the smallest density on its way up to the body is the
-threshold that any block of it has to reach when it is told from boilerplate.
+density sum adds up its children's densities, its text outside of blocks counting
+as a child. The node with the largest sum holds the main text; the smallest
+density on its way up to the body is the threshold. In every other branch that
+reaches it, the node with the largest sum holds main text as well.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ SIBLINGS = {
     "thead": ("tbody thead tfoot tr td th", {"table"}), "tbody": ("tbody thead tfoot tr td th", {"table"}),
     "tfoot": ("tbody thead tfoot tr td th", {"table"}), "option": ("option", {"select"}),
 }
+#: Elements that are part of a text, not all of it; elements that are part of those.
+PARTS = frozenset("section p h1 h2 h3 h4 h5 h6 hgroup ul ol dl table blockquote pre figure details".split())
+ITEMS = frozenset("li dt dd tr thead tbody tfoot caption figcaption summary".split())
 #: Elements, roles and name parts that say what a region is for.
 ASIDE = frozenset(
     "nav footer aside form script style noscript iframe template button select textarea input head menu dialog object"
@@ -64,12 +68,13 @@ NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?
 class Node:
     """An element: children are nodes and strings in page order."""
 
-    __slots__ = ("tag", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "peak")
 
     def __init__(self, tag: str, aside: bool = False):
         self.tag, self.aside, self.children = tag, aside, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.own = 0.0
+        self.peak: Node | None = None
 
 
 def _is_aside(tag: str, attributes: str, inside: set[str]) -> bool:
@@ -185,7 +190,9 @@ def _density(chars: int, tags: int, links: int, link_tags: int, share: float) ->
 
 
 def measure(root: Node) -> list[Node]:
-    """Fill in densities and density sums; returns the nodes, parents first."""
+    """Fill in densities, density sums and the node of the largest sum in each
+    subtree (``peak``; none without a block that holds text); returns the nodes,
+    parents first."""
     nodes = _in_order(root)
     for node in reversed(nodes):
         for child in node.children:
@@ -201,38 +208,84 @@ def measure(root: Node) -> list[Node]:
     share = _link_share(root)
     for node in nodes:
         node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
-    for node in nodes:
-        node.total = sum(
-            c.density for c in node.children if isinstance(c, Node) and not c.aside and c.tag not in INLINE)
+    for node in reversed(nodes):
+        within = [c for c in node.children if isinstance(c, Node) and not c.aside and c.tag not in RAW]
+        # What stands in the node itself, outside its blocks, is a block of its own.
+        loose = [c for c in within if c.tag in INLINE or c.tag in VOID]
+        chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        node.own = _density(
+            chars + sum(c.chars for c in loose), sum(c.tags + 1 for c in loose), sum(c.link_chars for c in loose),
+            sum(c.link_tags + (c.tag == "a") for c in loose), share)
+        node.total = sum(c.density for c in within if c.tag not in INLINE) + (node.own if node.tag not in INLINE else 0.0)
+        peaks = [c.peak for c in within if c.peak is not None]
+        if node.chars and (peaks or node.tag not in INLINE):
+            node.peak = max([node, *peaks], key=lambda n: n.total)
     return nodes
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node with the largest density sum (the outermost, then first of
-    equals) and the least density on its way up to the body."""
+def main_nodes(root: Node) -> tuple[set[int], set[int], float]:
+    """The ids of the nodes that hold the main text, those of all nodes above
+    them, and the least density on the way from the first one up to the body.
+
+    The first is the node with the largest density sum (the outermost, then first
+    of equals). The others are the nodes with the largest density sum in every
+    other branch that reaches the threshold.
+    """
     nodes = measure(root)
     parents = {id(c): n for n in nodes for c in n.children if isinstance(c, Node)}
-    best = max(nodes, key=lambda n: n.total) if nodes else root
-    # An article that the largest node lies in, or that lies in it with most of
-    # its text, is the article as a whole.
-    node = best
+    taken: set[int] = set()
+    above: set[int] = set()
+
+    def take(node: Node) -> None:
+        taken.add(id(node))
+        while id(node) in parents and id(parents[id(node)]) not in above:
+            node = parents[id(node)]
+            above.add(id(node))
+
+    best = node = max(nodes, key=lambda n: n.total)
+    # An item is part of its list, and a row of its table.
+    while best.tag in ITEMS and id(best) in parents:
+        best = parents[id(best)]
+    # An article that the largest node lies in is the article as a whole.
     while id(node) in parents:
         node = parents[id(node)]
         if node.tag == "article":
             best = node
-    inner = [n for n in nodes if n.tag == "article" and 2 * n.chars > best.chars]
-    if best.tag != "article" and len(inner) == 1:
-        best = inner[0]
-    threshold, node = best.density, best
+    if best is root:
+        # The body as a whole says nothing; the markup may.
+        for tag in ("main", "article"):
+            if some := [n for n in nodes if n.tag == tag and n.chars]:
+                best = max(some, key=lambda n: n.chars)
+                break
+    take(best)
+    # Parts of a text stay together: those beside a section, list, table or quotation.
+    if best.tag in PARTS and id(best) in parents:
+        for node in parents[id(best)].children:
+            if isinstance(node, Node) and not node.aside and node.tag in PARTS and 2 * node.link_chars <= node.chars:
+                take(node)
+    least, node = best, best
     while id(node) in parents:
         node = parents[id(node)]
-        threshold = min(threshold, node.density) if node.chars else threshold
-    return best, threshold
+        least = node if node.chars and node.density < least.density else least
+    per_tag = least.chars / max(1, least.tags)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in taken:
+            continue
+        if id(node) not in above:
+            # Without links the log tells size only, so the characters per tag decide.
+            if node.density < least.density and (node.link_chars or node.chars / max(1, node.tags) < per_tag):
+                continue
+            take(node.peak)
+        todo += [c for c in node.children if isinstance(c, Node) and not c.aside and c.peak is not None]
+    return taken, above, least.density
 
 
-def blocks(node: Node, threshold: float) -> list[str]:
-    """The texts of a node's blocks in page order. Left out are asides, and
-    blocks under the threshold that are mostly links."""
+def blocks(root: Node, taken: set[int], above: set[int], threshold: float) -> list[str]:
+    """The texts of the blocks of all taken nodes in page order. Left out are
+    asides, and blocks under the threshold that are mostly links. What stands
+    beside taken nodes outside any block stays if it reaches the threshold."""
     out: list[str] = []
     line: list[str] = []
 
@@ -242,23 +295,33 @@ def blocks(node: Node, threshold: float) -> list[str]:
         if text:
             out.append(text)
 
-    todo: list = [node]
+    todo: list = [(root, False)]
     while todo:
-        at = todo.pop()
+        at, keep = todo.pop()
         if at is None:
             end()
         elif isinstance(at, str):
-            line.append(at)
+            if keep:
+                line.append(at)
         elif at.tag == "br":
             line.append(" ")
-        elif at is node or not (at.aside or at.tag in RAW):
+        elif not (at.aside or at.tag in RAW):
             block = at.tag not in INLINE and at.tag not in VOID
-            if block and at is not node and at.density < threshold and 2 * at.link_chars > at.chars:
+            inside = id(at) in taken
+            if not inside and id(at) in above:
+                if block:
+                    end()
+                    todo.append((None, False))
+                loose = at.own >= threshold if block else keep
+                todo += reversed([(c, loose and (isinstance(c, str) or c.tag in INLINE)) for c in at.children])
+                continue
+            if not inside and not keep or (
+                    block and not inside and at.density < threshold and 2 * at.link_chars > at.chars):
                 continue
             if block:
                 end()
-                todo.append(None)
-            todo += reversed(at.children)
+                todo.append((None, False))
+            todo += reversed([(c, True) for c in at.children])
     end()
     return out
 
@@ -268,7 +331,8 @@ def extract(page: str | None) -> str:
     joined by one space."""
     if not page:
         return ""
-    return " ".join(blocks(*main_node(parse(page))))
+    root = parse(page)
+    return " ".join(blocks(root, *main_nodes(root)))
 
 
 # ── Job ──────────────────────────────────────────────────────────────

@@ -63,6 +63,31 @@ def test_link_share_is_that_of_the_whole_page():
     assert np.isclose(root.children[1].density, 8 * np.log(8) / np.log(np.log(np.e + 4 / 12 * 8)))
 
 
+S = "A short one of a few words."
+
+
+@pytest.mark.parametrize("page, want", [
+    # Two sections, of long and of short paragraphs.
+    (f"<main><section><h2>A</h2>{f'<p>{P} {P}</p>' * 5}</section><section><h2>B</h2>{f'<p>{P}</p>' * 5}</section></main>",
+     " ".join(["A", *[f"{P} {P}"] * 5, "B", *[P] * 5])),
+    (f"<div><section>{f'<p>{P}</p>' * 5}</section><section><p>{S}</p></section><div>Buy it</div></div>",
+     " ".join([*[P] * 5, S])),
+    # Sections that are plain containers.
+    (f"<div><div>Buy it</div><div>{f'<p>{P}</p>' * 2}</div><div>{f'<p>{P}</p>' * 5}</div></div>", " ".join([P] * 7)),
+    # A list, a table and a quotation beside fewer paragraphs.
+    (f"<div><h1>T</h1><p>{P}</p><ul>{f'<li>{P}</li>' * 9}</ul><p>{S}</p></div>", " ".join(["T", P, *[P] * 9, S])),
+    (f"<div><p>{P}</p><table>{f'<tr><td>{P}</td></tr>' * 9}</table><p>{S}</p></div>", " ".join([P, *[P] * 9, S])),
+    (f"<div><p>{S}</p><blockquote>{f'<p>{P}</p>' * 9}</blockquote></div>", " ".join([S, *[P] * 9])),
+    # Further articles, an intro, and text outside any block.
+    (f"<main><p>{P}</p><article>{f'<p>{P}</p>' * 6}</article><article>{f'<p>{P}</p>' * 3}</article></main>",
+     " ".join([P] * 10)),
+    (f"<body>{P} <b>{P}</b> {P}<div>{f'<p>{P}</p>' * 5}</div></body>", " ".join([P] * 8)),
+    (f"<body><div>Buy it</div><article><p>{P}</p></article></body>", P),
+])
+def test_other_branches_that_reach_the_threshold(page, want):
+    assert html_text.extract(page) == want
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", f"<article><p>{P}</p></article>"), (1, "u", None), (None, None, ""), (2, "v", "<p>" + "é " * 60_000)]
     got = html_text.extract_pages(clashing(spark.createDataFrame(rows, PAGES))).collect()
