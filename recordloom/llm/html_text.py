@@ -48,21 +48,30 @@ SIBLINGS = {
 #: Elements that are part of a text, not all of it; elements that are part of those.
 PARTS = frozenset("section p h1 h2 h3 h4 h5 h6 hgroup ul ol dl table blockquote pre figure details".split())
 ITEMS = frozenset("li dt dd tr thead tbody tfoot caption figcaption summary".split())
-#: Elements, roles and name parts that say what a region is for.
+#: Elements and roles that say what a region is for.
 ASIDE = frozenset(
     "nav footer aside form script style noscript iframe template button select textarea input head menu dialog object"
     " svg canvas video audio".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot"
-    r"|header|masthead|cookies?|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|related"
-    r"|recommend\w*|comments?|commentlist|disqus|respond|replies|login|search|pagination|pager|widget\w*|toolbar"
-    r"|copyright|legal)(?=$|[\s_-]|\d)", re.I)
+#: Part of a class of any region, or of an id outside the article.
+STRONG = re.compile(
+    r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|sidebar\w*|newsletter|subscri\w*|comments|commentlist"
+    r"|disqus|pagination|pager|widget\w*|cookies?[-_](?:notice|consent|banner|bar|policy|popup|message))(?=$|[-_]|\d)", re.I)
+#: Whole class in the article; whole class or id outside of it.
+WHOLE = re.compile(r"(?:social|share|sharing|related|comments?|nav|navbar|navigation|menu|toolbar|popup)(?:[-_](?:bar|box"
+                   r"|list|links|menu|items?|posts|buttons|container|wrapper|area|block))?\d*", re.I)
+#: Whole class or id outside the article. In it, headings, notices and the like are called the same.
+OUTSIDE = re.compile(
+    r"(?:(?:site|top|global)[-_])?(?:header|masthead|banner)\d*|(?:(?:site|page|main|top|bottom|global|left|right)[-_])?"
+    r"(?:footer|foot|nav\w*|menu\w*|side|search|login|cookies?|consent|notices?|alert|modal|recommend\w*|respond|replies"
+    r"|copyright|legal)(?:[-_](?:bar|box|list|links|menu|form|items?|container|wrapper|area|block|notice))?\d*", re.I)
+#: What a name never takes away: text inside a line, headings, paragraphs and the article itself.
+NAMELESS = INLINE | frozenset("html body article main h1 h2 h3 h4 h5 h6 hgroup p blockquote pre".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)"
     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
-NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 
 
 class Node:
@@ -83,13 +92,20 @@ def _is_aside(tag: str, attributes: str, inside: set[str]) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, *values in NAMED.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), entities.unescape("".join(values)))
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    if found.get("role", "").strip().lower() in ROLES:
+        return True
+    if tag in NAMELESS:
+        return False
+    classes, ids = found.get("class", "").split(), found.get("id", "").split()
+    if "article" in inside or "main" in inside:
+        # An id in the article is often that of its heading: only a whole one tells.
+        return any(STRONG.search(c) or WHOLE.fullmatch(c) for c in classes) or any(STRONG.fullmatch(i) for i in ids)
+    return any(STRONG.search(x) or WHOLE.fullmatch(x) or OUTSIDE.fullmatch(x) for x in classes + ids)
 
 
 def parse(text: str) -> Node:

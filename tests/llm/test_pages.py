@@ -88,6 +88,27 @@ def test_other_branches_that_reach_the_threshold(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize("part, text", [
+    ('<h2 id="related-work">Related</h2>', "Related"), ('<h2 id="legal-basis">Law</h2>', "Law"),
+    ('<div class="entry-header"><h1>Title</h1></div>', "Title"), ('<div class="side-by-side">Both</div>', "Both"),
+    ('<p id="navy">Blue</p>', "Blue"), ('a <span class="search-term">word</span> here', "a word here"),
+    ('<a title="the hidden valley" href=x>Valley</a> road', "Valley road"),
+    ("<p title='a class=ad b'>Text</p>", "Text"), ('<section id="comments-on-law">Law</section>', "Law"),
+    ('<div class="notice">Mind the gap</div>', "Mind the gap"), ('<div class="header"><h1>T</h1></div>', "T"),
+    ('<div class="box ad-slot">no</div>', ""), ('<div class=sidebar>no</div>', ""), ("<div class='share'>no</div>", ""),
+    ('<section id="comments">no</section>', ""), ('<p title="x" hidden>no</p>', ""), ('<div aria-hidden=TRUE>no</div>', ""),
+])
+def test_names_take_away_regions_only(part, text):
+    assert html_text.extract(f"<article><p>{P}</p>{part}<p>{P}</p></article>") == " ".join(f"{P} {text} {P}".split())
+
+
+@pytest.mark.parametrize("name", ["footer", "site-header", "main-nav", "legal", "search-form", "cookie-notice", "ads"])
+def test_names_outside_the_article(name):
+    page = f"<div><p>{P}</p><p>{P}</p></div>"
+    assert html_text.extract(f"<body>{page}<div class='x {name}'>{P} {P}</div></body>") == f"{P} {P}"
+    assert html_text.extract(f"<body>{page}<div id='{name}'>{P} {P}</div></body>") == f"{P} {P}"
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", f"<article><p>{P}</p></article>"), (1, "u", None), (None, None, ""), (2, "v", "<p>" + "é " * 60_000)]
     got = html_text.extract_pages(clashing(spark.createDataFrame(rows, PAGES))).collect()
