@@ -364,17 +364,19 @@ JOIN (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY k) ON o_orde
 JOIN (SELECT o_orderstatus AS k2, o_orderkey AS orderkey FROM orders WHERE o_totalprice > 400000)
   ON o_orderstatus = k2 AND o_orderkey % 1000 = orderkey % 1000""")
 def join_grouped_hot_keys(t: Tables) -> DataFrame:
-    """A view joins a grouped view whose keys hold very many rows each, and
-    another that keeps the items of its lists as rows."""
-    orders = V.source(t.orders.withColumn("slot", F.col("o_orderkey") % 1000), ["o_orderkey"])
-    out = run_views({"orders": orders}, {
-        "sizes": {"from": "orders", "grouped": {"by": "o_orderstatus", "as": "all"}},
+    """A view joins the counts of a grouped view whose keys hold very many rows
+    each, and another that keeps the items of its lists as rows; no list is built."""
+    place = F.struct("o_orderstatus", (F.col("o_orderkey") % 1000).alias("slot"))
+    orders = V.source(t.orders.withColumn("place", F.to_json(place)), ["o_orderkey"])
+    items = view({"orders": orders}, {"from": "orders", "grouped": {"by": "o_orderstatus", "as": "item", "flat": True}})
+    sizes = items.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    out = run_views({"orders": orders, "sizes": sizes}, {
         "big": {"from": "orders", "where": {"o_totalprice": {"gt": 400000}},
-                "grouped": {"by": "slot", "as": "item", "flat": True}},
+                "grouped": {"by": "place", "as": "item", "flat": True}},
         "joined": {"from": "orders", "join": [
             {"to": "sizes", "on": {"left": "o_orderstatus", "right": "o_orderstatus"}, "as": "s", "flatten": True},
-            {"to": "big", "on": {"left": "slot", "right": "slot"}, "as": "b", "flatten": True}]},
-    })["joined"].filter("b.item.o_orderstatus = o_orderstatus")
+            {"to": "big", "on": {"left": "place", "right": "place"}, "as": "b", "flatten": True}]},
+    })["joined"]
     return out.select(
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
-        F.size("s.all").cast("bigint").alias("n"), F.col("b.item.o_orderkey").alias("orderkey"))
+        F.col("s.n").alias("n"), F.col("b.item.o_orderkey").alias("orderkey"))
