@@ -1,8 +1,8 @@
 """Personal data: fixed forms, and bootstrapped contexts for what they miss.
 
 Texts are scanned once. Validated matches of the fixed forms are the seeds. The
-words around a seed are its lexical patterns; other tokens with digits or an @
-are candidates with patterns of their own. In the graph of patterns and
+words around a seed are its lexical patterns; other tokens with digits or an @,
+and runs of digit groups, are candidates with patterns of their own. In the graph of patterns and
 instances Spark scores, in turns, patterns by the share of their instances that
 are known and instances by the patterns they were seen in. What stands in a
 pattern of high confidence, and looks like its kind, is personal data too.
@@ -129,10 +129,38 @@ def patterns(text: str, start: int, end: int) -> list[int]:
     return [_number(f"2\t{second}\t{before}"), _number(f"1\t{before}\t{_word_after(text, end)}")]
 
 
+#: Groups of digits with spaces, brackets, dots or hyphens between them, as far as they go.
+_RUN = re.compile(r"(?<!\w)\(?[0-9]++(?:[\x20\u00a0().-]{1,3}+[0-9]++)+(?!\w)")
+
+
+def _free(known: list[tuple[int, int, int]], start: int, end: int) -> bool:
+    return not any(s < end for s, _, e in known if e > start)
+
+
+def runs(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``(start, end)`` of the identifiers of 7 to 19 digits that are written in
+    groups with white space, outside all known spans."""
+    out, taken = [], 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        # A bracket that opens before the run and closes behind it is not its own.
+        if text[start] == "(" and ")" not in m[0]:
+            start += 1
+        while taken < len(known) and known[taken][2] <= start:
+            taken += 1
+        if 7 <= len(_digits(m[0])) <= 19 and (" " in m[0] or "\u00a0" in m[0]) and _free(
+                known[taken: taken + 4], start, end):
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool]]:
-    """``(start, end, with an @)`` of other tokens that could be identifiers: six
-    characters or more with an @ or three digits, outside all known spans."""
-    done, taken = 0, 0
+    """``(start, end, with an @)`` of what else could be an identifier, outside all
+    known spans: runs of digit groups, and other tokens of six characters or more
+    with an @ or three digits."""
+    whole = runs(text, known)
+    yield from ((s, e, False) for s, e in whole)
+    done, taken, run = 0, 0, 0
     for hit in _HINT.finditer(text):
         if hit.start() < done:
             continue
@@ -149,7 +177,11 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[i
         while taken < len(known) and known[taken][2] <= start:
             taken += 1
         token = text[start:end]
-        if any(s < end for s, _, e in known[taken: taken + 4] if e > start):
+        while run < len(whole) and whole[run][1] <= start:
+            run += 1
+        # A token that reaches out of a run stays a candidate of its own.
+        inside = run < len(whole) and whole[run][0] <= start and end <= whole[run][1]
+        if inside or not _free(known[taken: taken + 4], start, end):
             continue
         if len(token) >= 6 and ("@" in token or len(_digits(token)) >= 3):
             yield start, end, "@" in token

@@ -339,6 +339,28 @@ def test_fixed_forms():
         pii.fixed_spans(t)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call 020 7946 0958 today", ["020 7946 0958"]), ("call (415) 555-1234, now", ["(415) 555-1234"]),
+    ("(020 7946 0958)", ["020 7946 0958"]), ("call 020.7946 0958.", ["020.7946 0958"]), ("id AB123456", ["AB123456"]),
+    ("call +44 20 7946 0958", []), ("in 12 34 56", []), ("x020 7946 0958", ["7946 0958"]), ("call 555-1234", ["555-1234"]),
+    ("555-12345678901 " * 2, ["555-12345678901"] * 2), ("at 02079 460958x", ["460958x"]),
+])
+def test_candidates(text, want):
+    assert [text[s:e] for s, e, _ in pii.candidates(text, pii.fixed_spans(text))] == want
+    for long in ("1 " * 100_000, "1 2-" * 50_000, "(1) " * 50_000, "1   " * 50_000):
+        list(pii.candidates(long, pii.fixed_spans(long)))
+
+
+def test_contexts_disclose_spaced_national_numbers(table):
+    texts = {k: f"Please call us under +44 20 7946 0{k} before noon." for k in range(100, 140)}
+    texts |= {1: "Please call us under 020 7946 0958 before noon.", 2: "Please call us under (415) 555-1234 before noon.",
+              3: "Parts 1234 5678 90 of the list."}
+    docs = table(*texts.items())
+    clean = {r.doc_id: r.text for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}
+    assert clean[1] == clean[2] == clean[100] == "Please call us under [PHONE] before noon."
+    assert clean[3] == texts[3]
+
+
 def test_contexts_disclose_what_the_forms_miss(table):
     rng = random.Random(11)
     seed = lambda: f"{rng.choice('abcdef')}{rng.randrange(10**6)}@mail.example.org"
