@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import exact_dedup, language, near_dedup, packing, pii
-from recordloom.llm.common import shared_folder, spare, stage
+from recordloom.llm.common import shared_folder, spare, stage, whole_text
 from recordloom.llm.tokens import tokenizer_path
 from recordloom.session import ship_package
 
@@ -30,13 +30,27 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each text."""
+    """Keep the document with the smallest id of each text, and one row of it: rows
+    that repeat id and text are copies too. Of those that differ in white space, the
+    text that sorts first stays."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "index"), buckets)
-    copies = stage(index.add(docs).filter("not kept").select(
-        F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")), "copies")
-    same = docs["doc_id"].eqNullSafe(copies["id"]) & (exact_dedup.text_digest(docs["text"]) == copies["digest"])
-    return docs.join(copies, same, "left_anti")
+    judged = index.add(docs).groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n"))
+    marks = stage(judged.filter("not kept or n > 1").select(
+        F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), "kept"), "copies")
+    digest = exact_dedup.text_digest(docs["text"])
+    same = lambda other: docs["doc_id"].eqNullSafe(other["id"]) & (digest == other["digest"])
+    rest = docs.join(marks, same(marks), "left_anti")
+    repeated = marks.filter("kept")
+    if repeated.isEmpty():
+        return rest
+    # The key is one struct, so the join has not dealt the rows out by it: each
+    # task has chosen its row before a group comes together.
+    key, row = spare(docs, "key_of_row"), spare(docs, "row_of_key")
+    chosen = docs.join(repeated, same(repeated), "left_semi").groupBy(
+        F.struct(docs["doc_id"], digest.alias("digest")).alias(key)).agg(
+        F.min_by(F.struct(*[docs[c] for c in docs.columns]), whole_text(docs["text"])).alias(row))
+    return rest.unionByName(chosen.select(f"{row}.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

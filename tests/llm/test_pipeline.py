@@ -26,6 +26,24 @@ def test_each_stage_takes_effect(spark, table):
     assert {r.sequence_id for r in seen["packing"].collect()} == {0}
 
 
+def test_repeated_rows_are_packed_once(spark, table):
+    base = " ".join(WORDS * 3)
+    other = "every single word of this second text is unlike those of the first one in the table"
+    docs = clashing(table(
+        *[(4, base, "en")] * 5, (4, base.replace(" ", "  "), "en"), (8, base, "en"), (8, base, "en"),
+        (12, other, "en"), (4, other + " but longer", "en")).repartition(3))
+    got = C.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [
+        (4, other + " but longer"), (4, base.replace(" ", "  ")), (12, other)]
+    unnamed = table((None, base, "en"), (None, base, "en"), (None, None, None), (None, "", None))
+    assert C.drop_copies(spark, unnamed, "").count() == 2
+    docs = clashing(table(*[(4, base, "en")] * 5, (12, other, "en")))
+    for name, function in C.STAGES:
+        docs = stage(function(spark, docs, ""), name)
+        assert name == "language" or sorted(r.doc_id for r in docs.collect()) == [4, 12]
+
+
 def test_stages_take_empty_tables(spark, table):
     docs = table()
     for name, function in C.STAGES:
