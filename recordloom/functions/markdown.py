@@ -1,10 +1,11 @@
 """Headings and inline links of Markdown texts, as column expressions.
 
-A text is cut at its marks by one pattern; what stands between two marks is the
-gap before the second. Code fences, code spans, comments, tags and escapes are
-marks too, so nothing inside them is taken for a heading or a link. Putting gaps
-and marks together again gives the text back, so a rewrite touches each
-character once.
+A text is cut into tokens by one pattern, in one pass: links, and between them
+runs of all else, of which code fences, code spans, comments, tags and escapes are
+parts, so nothing inside them is taken for a link. A run of plain characters is
+one step of the pattern, and what only a line can begin with is looked for only
+after a line break. Putting the tokens together again gives the text back.
+Headings are found in the same way by a pattern of their own.
 
 Covered: ATX headings, also inside quotes and list items; a heading of one line
 underlined by ``=`` or ``-``; backtick and tilde fences; indented code after a
@@ -38,7 +39,7 @@ _UNDERLINED = (
 _HEADINGS = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|{_ATX}|{_UNDERLINED}"
 _OUTLINE = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|(?md:^ {{0,3}}#{{1,6}}+(?=[ \\t\\r]|$))"
 
-_INDENTED = r"(?md:(?<=\n[ \t]{0,9}\n|\A)(?: {4}|\t)[^\n]*+(?:\n(?: {4}|\t)[^\n]*+)*+)"
+_INDENTED = r"(?: {4}|\t)[^\n]*+(?:\n(?: {4}|\t)[^\n]*+)*+"
 _CODE = r"(`++)(?:[^`\n]++|\n(?![ \t]*+\n)|(?!{0}(?!`))`++)*+{0}(?!`)"
 _ESCAPE = r"\\[!-/:-@\[-`{-~]"
 _TAG = r"</?[A-Za-z][^<>\n]*+>"
@@ -47,9 +48,14 @@ _TEXT = (
     r"|!\[[^\[\]\n]*+\]\([^()\n]*+\)|!|\[[^\[\]\n]*+\](?!\())*+"
 )
 _LINK = rf"!?\[{_TEXT}\]\((?:[^\s()\\<>&]++|&(?![#A-Za-z0-9]++;)|\([^\s()\\<>]*+\))*+\)"
-_LINKS = (
-    f"{_FENCE}|{_INDENTED}|{_COMMENT}|{_ESCAPE}|" + _CODE.replace("{0}", r"\2") + f"|`++|{_TAG}|{_LINK}"
+# What is no link: a plain run; a fence or, after a blank line, indented code, where
+# a line begins; a comment, an escape, a code span, a tag; or one character.
+_OTHER = (
+    rf"(?:\n|\A){_FENCE}|(?:(?:\n|\A)[ \t]*+\n|\A){_INDENTED}|[^\n!\[<\\`]++|{_COMMENT}|{_ESCAPE}|"
+    + _CODE.replace("{0}", r"\2") + rf"|`++|{_TAG}|[\n<\\]"
 )
+# The start of a text begins a line too; there code needs no blank line before it.
+_LINKS = rf"(?:{_OTHER})++|{_LINK}|[!\[]"
 
 
 def cut(text: Column, pattern: str) -> Column:
@@ -59,10 +65,9 @@ def cut(text: Column, pattern: str) -> Column:
     return F.zip_with(F.split(text, pattern, -1), marks, lambda g, m: F.struct(g.alias("gap"), m.alias("mark")))
 
 
-def joined(cuts: Column, new: Callable[[Column, Column], Column]) -> Column:
-    """The text of the cuts with each mark replaced by ``new(mark, its number)``."""
-    return F.array_join(
-        F.transform(cuts, lambda c, i: F.concat(c["gap"], F.coalesce(new(c["mark"], i), F.lit("")))), "")
+def joined(tokens: Column, new: Callable[[Column, Column], Column]) -> Column:
+    """The text of the tokens with each replaced by ``new(token, its number)``."""
+    return F.array_join(F.transform(tokens, new), "")
 
 
 # ── Headings ─────────────────────────────────────────────────────────
@@ -128,7 +133,8 @@ def shifted(text: Column, levels: int) -> Column:
         more = F.repeat(F.lit("#"), F.least(F.lit(levels), 6 - F.length(run)))
         return F.when(run != "", F.concat(mark, more)).otherwise(mark)
 
-    return joined(cut(text, _OUTLINE), deeper)
+    return joined(cut(text, _OUTLINE), lambda c, i: F.concat(
+        c["gap"], F.coalesce(deeper(c["mark"], i), F.lit(""))))
 
 
 # ── Links ────────────────────────────────────────────────────────────
@@ -137,12 +143,13 @@ _TARGET = r"\(((?:[^\s()]++|\([^\s()]*+\))*+)\)\z"
 
 
 def link_cuts(text: Column) -> Column:
-    """The text cut at its links, and at what hides them."""
-    return cut(text, _LINKS)
+    """The text as an array of tokens: links, and what stands between them."""
+    return F.regexp_extract_all(text, F.lit(_LINKS), F.lit(0))
 
 
-def is_link(mark: Column) -> Column:
-    return mark.startswith("[") | mark.startswith("![")
+def is_link(token: Column) -> Column:
+    """A bracket or an exclamation mark that begins no link is a token by itself."""
+    return (token.startswith("[") | token.startswith("![")) & (F.length(token) > 1)
 
 
 def target(mark: Column) -> Column:
@@ -157,9 +164,14 @@ def with_target(mark: Column, new: Column) -> Column:
 
 
 def links(text: Column) -> Column:
-    """Array of ``(at, dest, kind)``: the number of the mark, its target, and
+    """Array of ``(at, dest, kind)``: the number of the token, its target, and
     whether it is a link or an image."""
-    each = F.transform(link_cuts(text), lambda c, i: F.struct(
-        i.alias("at"), target(c["mark"]).alias("dest"),
-        F.when(c["mark"].startswith("!"), "image").otherwise("link").alias("kind")))
+    return links_of(link_cuts(text))
+
+
+def links_of(tokens: Column) -> Column:
+    """:func:`links` from the tokens."""
+    each = F.transform(tokens, lambda t, i: F.struct(
+        i.alias("at"), target(t).alias("dest"),
+        F.when(t.startswith("!"), "image").otherwise("link").alias("kind")))
     return F.filter(each, lambda x: x["dest"].isNotNull())

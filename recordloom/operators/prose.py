@@ -143,17 +143,18 @@ def broken_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 # ── Rewriting (T7) ───────────────────────────────────────────────────
 
 
-def interpret_prose(docs: DataFrame) -> DataFrame:
+def parse_prose(docs: DataFrame) -> DataFrame:
     """Documents with ``title``, ``headings``, ``order_key`` and ``depth``, and
-    relative links in ``node:`` form. Content that is not Markdown gets its
-    place in the reading order only."""
+    ``tokens`` in place of ``content``: the text cut at its links, relative ones in
+    ``node:`` form. Each text is read once for its links and once for its
+    headings; store the result where several steps go on from it. Content that is
+    not Markdown gets its place in the reading order only."""
     content, markdown_row = column("content"), column("mime_type") == "text/markdown"
     found = F.when(markdown_row, heading_array(content)).otherwise(heading_array(F.lit("")))
     parsed = docs.withColumn("__h", found)
-    rewritten = markdown.joined(
-        markdown.link_cuts(content),
-        lambda mark, _: F.when(markdown.is_link(mark), markdown.with_target(
-            mark, link_target(column("id"), markdown.target(mark)))).otherwise(mark))
+    rewritten = F.transform(markdown.link_cuts(content), lambda token: F.when(
+        markdown.is_link(token), markdown.with_target(
+            token, link_target(column("id"), markdown.target(token)))).otherwise(token))
     title = first_title(F.col("__h"))
     if "title" in docs.columns:
         title = F.coalesce(column("title"), title)
@@ -163,6 +164,7 @@ def interpret_prose(docs: DataFrame) -> DataFrame:
     hidden = [column(ORD)] if ORD in docs.columns else []
     rest = [n for n in visible(docs.schema)
             if n not in ("id", "title", "order_key", "depth", "headings", "mime_type", "content")]
+    whole = F.when(content.isNotNull(), F.array(content))
     return parsed.select(
         "id",
         title.alias("title"),
@@ -170,22 +172,33 @@ def interpret_prose(docs: DataFrame) -> DataFrame:
         depth(column("id")).alias("depth"),
         headings.alias("headings"),
         "mime_type",
-        F.when(markdown_row & may_have_links(content), rewritten).otherwise(content).alias("content"),
+        F.when(markdown_row & may_have_links(content), rewritten).otherwise(whole).alias("tokens"),
         *[column(n) for n in rest],
         *hidden,
     )
 
 
+def interpret_prose(docs: DataFrame) -> DataFrame:
+    """:func:`parse_prose` with the rewritten text as ``content``."""
+    parsed = parse_prose(docs)
+    content = F.array_join("tokens", "").alias("content")
+    return parsed.select(*[content if n == "tokens" else column(n) for n in parsed.columns])
+
+
 def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
-    """Documents (``id``, ``content`` with ``node:`` links) for one edition:
-    each link as a path from the document's page to the target's, broken ones
-    cut to a bare ``[text]``. ``pages`` is the output of
-    :func:`.nodes.assign_pages`."""
+    """Documents (``id``, and ``tokens`` or ``content``, with ``node:`` links) for
+    one edition, with ``content``: each link as a path from the document's page to
+    the target's, broken ones cut to a bare ``[text]``. ``pages`` is the output of
+    :func:`.nodes.assign_pages`. The documents are read twice, for their links and
+    to put the new targets in: give the stored table of :func:`parse_prose`, so
+    that no text is looked through again."""
     mine = pages.filter(F.col("edition") == edition).select(
         "address", "origin", "segment", "page_path", F.col("fragment").alias("landing")
     )
-    some = docs.filter(may_have_links(column("content")))
-    marks = some.select("id", F.explode(markdown.links(column("content"))).alias("l"))
+    if "tokens" not in docs.columns:
+        text = column("content")
+        docs = docs.withColumn("tokens", F.when(may_have_links(text), markdown.link_cuts(text)).otherwise(F.array(text)))
+    marks = docs.select("id", F.explode(markdown.links_of(F.col("tokens"))).alias("l"))
     address = F.regexp_extract("l.dest", "^node:(.*)$", 1)
     inner = marks.filter(F.col("l.dest").startswith("node:")).select(
         "id", F.col("l.at").alias("at"), address.alias("address"),
@@ -204,14 +217,24 @@ def relink(docs: DataFrame, pages: DataFrame, edition: str) -> DataFrame:
     targets = found.select("id", F.struct("at", url.alias("to")).alias("s")).groupBy(
         F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("s")).alias("__to"))
     joined = docs.join(targets, F.col("id") == F.col("__id"), "left")
-    # Other links keep their text, so only node links are rewritten.
-    place = lambda i: F.array_position(F.col("__to.at"), i).cast("int") - 1
-    body = markdown.joined(
-        markdown.link_cuts(column("content")),
-        lambda mark, i: F.when(place(i) >= 0, markdown.with_target(
-            mark, F.get(F.col("__to.to"), place(i)))).otherwise(mark))
-    content = F.when(F.col("__to").isNotNull(), body).otherwise(column("content"))
-    return joined.withColumn("content", content).drop("__to", "__id")
+    content = F.when(F.col("__to").isNotNull(), _spliced(F.col("tokens"), F.col("__to"))).otherwise(
+        F.array_join("tokens", ""))
+    kept = [n for n in docs.columns if n not in ("tokens", "content")]
+    return joined.select(*[column(n) for n in kept], content.alias("content"))
+
+
+def _spliced(tokens: Column, new: Column) -> Column:
+    """The text with the tokens at ``new.at`` (ascending) pointing to ``new.to``;
+    what stands between two of them is copied as one slice, so the work grows with
+    the text and not with texts times links."""
+
+    def piece(k: Column) -> Column:
+        start = F.coalesce(F.get(new, k - 1)["at"] + 1, F.lit(0))
+        end = F.coalesce(F.get(new, k)["at"], F.size(tokens))
+        mark = F.when(k < F.size(new), markdown.with_target(F.get(tokens, end), F.get(new, k)["to"]))
+        return F.concat(F.array_join(F.slice(tokens, start + 1, end - start), ""), F.coalesce(mark, F.lit("")))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(new)), piece), "")
 
 
 # ── Nesting and assembly (T8, T9) ────────────────────────────────────

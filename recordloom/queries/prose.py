@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import nodes as N
 from recordloom.operators import prose as P
 from recordloom.queries.registry import Tables, query
-from recordloom.sources.sinks import stored, write_page_files
+from recordloom.sources.sinks import publish_pages, published, stored
 
 
 def corpus(t: Tables) -> DataFrame:
@@ -88,7 +88,8 @@ def link_targets(t: Tables) -> DataFrame:
 
 def _nodes(t: Tables, docs: DataFrame) -> DataFrame:
     """The address table, from ids and headings alone, worked out once."""
-    heads = docs.select("id", "mime_type", P.heading_array(F.col("content")).alias("headings"))
+    found = F.col("headings") if "headings" in docs.columns else P.heading_array(F.col("content"))
+    heads = docs.select("id", "mime_type", found.alias("headings"))
     return stored(N.node_index({"prose": heads, "blob": pictures(t)}), f"{t.scratch()}/nodes")
 
 
@@ -123,10 +124,11 @@ def interpreted_prose(t: Tables) -> DataFrame:
   || ' [own](#doc) [web](http://example.org/' || doc_id || ')' || chr(10)) AS content FROM {_DOCS} d""")
 def relinked_prose(t: Tables) -> DataFrame:
     """Links rewritten to paths between pages; broken ones cut."""
-    docs = corpus(t)
-    nodes = _nodes(t, docs)
-    prose = P.interpret_prose(docs).withColumn("content", F.regexp_replace(
-        "content", r"(\]\(node:/prose/docs/[a-z]*/d)(\d+)#doc\)", r"$1$2#doc-$2)"))
+    # The heading of the next document is '#doc-<number>'.
+    docs = corpus(t).withColumn("content", F.regexp_replace(
+        "content", r"\(d([0-9]+)\.md#doc\)", r"(d$1.md#doc-$1)"))
+    prose = stored(P.parse_prose(docs), f"{t.scratch()}/prose")
+    nodes = _nodes(t, prose)
     pages = N.assign_pages(nodes, {"web": ["prose.item"]})
     return P.relink(prose, pages, "web").select("id", F.md5("content").alias("content"))
 
@@ -170,8 +172,9 @@ def page_files(t: Tables) -> DataFrame:
     out = f"{t.scratch()}/site"
     earlier = t.region.select(F.lit("web").alias("edition"), F.concat("r_name", F.lit(".md")).alias("page_path"),
                               F.lit(0).alias("part"), F.col("r_name").alias("body"))
-    write_page_files(earlier, out)
-    write_page_files(_parts(t), out)
-    files = t.spark.read.text(out, wholetext=True, recursiveFileLookup=True)
-    place = F.substring_index(F.col("_metadata.file_path"), "/site/", -1)
+    publish_pages(earlier, out)
+    publish_pages(_parts(t), out)
+    run = published(out)
+    files = t.spark.read.text(run, wholetext=True, recursiveFileLookup=True)
+    place = F.substring_index(F.col("_metadata.file_path"), run.rsplit("/", 1)[1] + "/", -1)
     return files.select(place.alias("path"), F.md5("value").alias("body"))
