@@ -243,8 +243,8 @@ def mirrored_files(t: Tables) -> DataFrame:
     put("p_partkey % 4 <> 0", "after")
     old, new, mirror = f"{root}/before/before", f"{root}/after/after", f"{root}/mirror"
     states = [sinks.stored(scan_tree(t.spark, d, content=True).select(
-        "path", F.md5("content").alias("hash")), f"{root}/{n}") for n, d in (("s0", old), ("s1", new))]
+        "path", "size", F.md5("content").alias("hash")), f"{root}/{n}") for n, d in (("s0", old), ("s1", new))]
     nothing = states[0].limit(0)
-    sinks.copy_files(I.changes(nothing, states[0], compare=["hash"]), old, mirror)
-    sinks.copy_files(I.changes(states[0], states[1], compare=["hash"]), new, mirror)
+    sinks.copy_files(I.changes(nothing, states[0], compare=["hash"], carry=["size"]), old, mirror)
+    sinks.copy_files(I.changes(states[0], states[1], compare=["hash"], carry=["size"]), new, mirror)
     return scan_tree(t.spark, mirror, content=True).select("path", F.md5("content").alias("body"))
