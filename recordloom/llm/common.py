@@ -26,7 +26,16 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     nothing is computed twice and a lost executor costs only its own tasks."""
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    staged = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables once whatever was made of them is staged itself."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def picked(frame: DataFrame, **columns: str) -> DataFrame:
@@ -73,9 +82,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(
             both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
             "large")
+        unstage(lows)
         lows = stage(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(lows, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = stage(small.union(lows).distinct(), "edges")
+        before, star = star, stage(small.union(lows).distinct(), "edges")
+        unstage(before, large, lows)
         now = fingerprint(star, "u", "v")
         if now == seen:
             break

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocked_pairs, components, forest, picked, sliced, stage, whole_text
+from recordloom.llm.common import blocked_pairs, components, forest, picked, sliced, stage, unstage, whole_text
 
 U64 = np.uint64
 
@@ -38,7 +38,8 @@ class Settings:
     """``percent``: similarity to link at, in hundredths. ``batch`` hashes are
     compared at a time. Bands of ``band`` hashes, as many as leave a pair just at
     the threshold undiscovered with probability ``undiscovered`` at most. Blocks
-    of a bucket hold about ``block_shingles`` shingles."""
+    of a bucket hold about ``block_members`` signatures or ``block_shingles``
+    shingles."""
 
     words: int = 5
     percent: int = 80
@@ -46,6 +47,7 @@ class Settings:
     batch: int = 16
     undiscovered: float = 1e-6
     miss: float = 1e-6
+    block_members: int = 2000
     block_shingles: int = 500_000
     seed: int = 11
 
@@ -185,35 +187,62 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return both.withColumn("common", common).filter(F.col("common") * 100 >= union * settings.percent).select("a", "b")
 
 
-def rest_links(members: DataFrame, settings: Settings) -> DataFrame:
+def rest_links(members: DataFrame, compared: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between different groups within a bucket that were not compared
     with its centre: whoever is outside the bucket's largest group, with all
     others. A pair is compared in the first bucket it shares, and of a block's
-    links only a spanning forest is returned."""
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
+    links only a spanning forest is returned. Signatures and sets are joined to the
+    members of buckets with several groups alone."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    sizes = members.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("band").alias("band"), mark("a").alias("x"), mark("b").alias("y"))
+    buckets = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels"),
+        F.sum("rows").alias("total"), F.min("band").alias("band"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # Of buckets with the same members the first one has all their pairs.
     mixed = stage(
-        sizes.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"),
-                                 F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("total"))
-        .filter("labels > 1 and total > 2").select("key", "main"), "mixed")
-    here = stage(members.join(mixed, "key").filter("node <> center"), "here")
+        buckets.filter("labels > 1 and total > 2").groupBy("total", "x", "y").agg(
+            F.min_by(F.struct("key", "main"), F.struct("band", "key")).alias("first")).select("first.*"), "mixed")
+    open_members = stage(
+        members.join(mixed, "key").filter("node <> center").join(compared, "node"), "open")
+    member = ["key", "node", "label", "main", "band", "n", "sig"]
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values for c in ("left", "right"))
+                nodes = [np.empty(0, np.int64)]
+                for i, j in _near_pairs(x, y, settings):
+                    nodes += [np.unique(x.field("node").to_numpy()[i]), np.unique(y.field("node").to_numpy()[j])]
+                found = np.unique(np.concatenate(nodes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), x.field("key")[0].as_py())), pa.array(found)], names=["key", "node"])
+
+    # By signatures alone first: only members with a partner left carry their sets.
+    outside = F.col("label") != F.col("main")
+    left = stage(blocked_pairs(
+        open_members.filter(outside), open_members, ["key"], member, settings.block_members, "node").mapInArrow(
+        hopeful, "key bigint, node bigint").distinct(), "hopeful")
+    here = stage(open_members.join(left, ["key", "node"]).join(sets, "node"), "here")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield _across(*(batch.column(c)[k].values for c in ("left", "right")), settings)
 
-    member = ["node", "label", "main", "band", "n", "sig", "members"]
     blocks = blocked_pairs(
-        here.filter("label <> main"), here, ["key"], member, settings.block_shingles, "node", weight="n")
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+        here.filter(outside), here, ["key"], [*member, "members"], settings.block_shingles, "node", weight="n")
+    found = stage(blocks.mapInArrow(run, "a bigint, b bigint"), "rest")
+    unstage(open_members, left, here)
+    return found
 
 
-def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings) -> pa.RecordBatch:
+def _near_pairs(x: pa.StructArray, y: pa.StructArray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of different groups that no batch of signatures rules
+    out, in the first bucket they share."""
     node, label, n = ([s.field(c).to_numpy() for s in (x, y)] for c in ("node", "label", "n"))
     main, band = y.field("main").to_numpy(), int(y.field("band")[0].as_py())
     sigs = [_signatures(s.field("sig"), settings) for s in (x, y)]
-    sets = [_arrays(s.field("members")) for s in (x, y)]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(1, 200_000 // max(1, len(node[1])))
     for at in range(0, len(node[0]), step):
         part = slice(at, at + step)
@@ -228,7 +257,14 @@ def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings) -> pa.Reco
         i, j = i[keep], j[keep]
         same = (sigs[0][i] == sigs[1][j]).reshape(-1, settings.bands, settings.band).all(2)
         keep = same.argmax(1) == band
-        i, j = i[keep], j[keep]
+        yield i[keep], j[keep]
+
+
+def _across(x: pa.StructArray, y: pa.StructArray, settings: Settings) -> pa.RecordBatch:
+    node = [s.field("node").to_numpy() for s in (x, y)]
+    sets = [_arrays(s.field("members")) for s in (x, y)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in _near_pairs(x, y, settings):
         for k in np.unique(i):
             others = j[i == k]
             near = _similar(sets[0][k], [sets[1][o] for o in others], settings.percent)
@@ -305,14 +341,20 @@ def near_duplicates(
     sets = stage(shingle_sets(
         rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), settings), "sets")
 
+    # Only what shares a bucket is compared; all others stay out of the joins.
+    compared = stage(classes.join(nodes, "node", "left_semi").select("node", "n", "sig"), "compared")
     a, b = F.least("node", "center"), F.greatest("node", "center")
     stars = stage(members.filter("node <> center").select(a.alias("a"), b.alias("b")).distinct(), "stars")
-    links = stage(verified(stage(pruned(stars, classes, settings), "pruned"), sets, settings), "links")
+    candidates = stage(pruned(stars, compared, settings), "pruned")
+    unstage(stars, nodes)
+    links = stage(verified(candidates, sets, settings), "links")
+    unstage(candidates)
     groups = stage(components(links), "groups")
-    labelled = members.filter("size > 2").join(groups, "node", "left").select(
-        "node", "band", "key", "center", F.coalesce("component", "node").alias("label"))
-    full = labelled.join(classes.select("node", "n", "sig"), "node").join(sets, "node")
-    groups = stage(regrouped(groups, stage(rest_links(full, settings), "rest")), "groups")
+    labelled = stage(members.filter("size > 2").join(groups, "node", "left").select(
+        "node", "band", "key", "center", F.coalesce("component", "node").alias("label")), "labelled")
+    unstage(members)
+    groups = stage(regrouped(groups, rest_links(labelled, compared, sets, settings)), "groups")
+    unstage(labelled, sets, compared)
     joined = classes.select("set_key", "node").join(groups, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
     # The same id under several texts joins their groups.
