@@ -12,6 +12,10 @@ density sum adds up its children's densities, its text outside of blocks countin
 as a child. The node with the largest sum holds the main text; the smallest
 density on its way up to the body is the threshold. In every other branch that
 reaches it, the node with the largest sum holds main text as well.
+
+Before that only elements, roles and hidden regions are taken away. What classes
+and ids are called is a hint that counts against a minor part of a text: a name
+that is on most of an article, or around it, says nothing on that page.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Part of a class of any region, or of an id outside the article.
 STRONG = re.compile(
     r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|sidebar\w*|newsletter|subscri\w*|comments|commentlist"
-    r"|disqus|pagination|pager|widget\w*|cookies?[-_](?:notice|consent|banner|bar|policy|popup|message))(?=$|[-_]|\d)", re.I)
+    r"|reader-(?:comments|responses|replies|opinions)|disqus|pagination|pager|widget\w*|cookies?[-_](?:notice|consent|banner|bar|policy|popup|message))(?=$|[-_]|\d)", re.I)
 #: Whole class in the article; whole class or id outside of it.
 WHOLE = re.compile(r"(?:social|share|sharing|related|comments?|nav|navbar|navigation|menu|toolbar|popup)(?:[-_](?:bar|box"
                    r"|list|links|menu|items?|posts|buttons|container|wrapper|area|block))?\d*", re.I)
@@ -77,35 +81,77 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     """An element: children are nodes and strings in page order."""
 
-    __slots__ = ("tag", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "peak")
+    __slots__ = ("tag", "children", "aside", "names", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "peak")
 
     def __init__(self, tag: str, aside: bool = False):
         self.tag, self.aside, self.children = tag, aside, []
+        self.names: tuple[str, ...] = ()
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = self.own = 0.0
         self.peak: Node | None = None
 
 
-def _is_aside(tag: str, attributes: str, inside: set[str]) -> bool:
-    """Whether the markup itself says that a region is not part of the article."""
+def _judged(tag: str, attributes: str, inside: set[str]) -> tuple[bool, tuple[str, ...]]:
+    """Whether an element, its role or being hidden says that a region is not part
+    of the article, and the names it has that hint at that."""
     if tag in ASIDE or tag == "header" and "article" not in inside and "main" not in inside:
-        return True
+        return True, ()
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, ()
     found: dict[str, str] = {}
     for name, *values in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), entities.unescape("".join(values)))
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
-        return True
+        return True, ()
     if found.get("role", "").strip().lower() in ROLES:
-        return True
+        return True, ()
     if tag in NAMELESS:
-        return False
+        return False, ()
     classes, ids = found.get("class", "").split(), found.get("id", "").split()
     if "article" in inside or "main" in inside:
         # An id in the article is often that of its heading: only a whole one tells.
-        return any(STRONG.search(c) or WHOLE.fullmatch(c) for c in classes) or any(STRONG.fullmatch(i) for i in ids)
-    return any(STRONG.search(x) or WHOLE.fullmatch(x) or OUTSIDE.fullmatch(x) for x in classes + ids)
+        tries = [(STRONG.search, classes), (WHOLE.fullmatch, classes), (STRONG.fullmatch, ids)]
+    else:
+        tries = [(test, classes + ids) for test in (STRONG.search, WHOLE.fullmatch, OUTSIDE.fullmatch)]
+    hits = [m[0].strip("-_").lower() for test, words in tries for m in map(test, words) if m]
+    return False, tuple(dict.fromkeys(hits))
+
+
+def settle_names(root: Node) -> None:
+    """Make asides of the named regions that are a minor part of a text.
+
+    A text is an article or main element, or else the page. A name counts there
+    unless the regions called so hold more than half of its characters; beside an
+    article, a name that is not around it always counts. A region around an
+    article is never taken away.
+    """
+    order: list[tuple[Node, Node, Node | None]] = []  # node, its text, its parent
+    todo: list = [(root, root, None)]
+    while todo:
+        node, text, parent = todo.pop()
+        order.append((node, text, parent))
+        inner = node if node.tag in ("article", "main") else text
+        todo += [(c, inner, node) for c in node.children if isinstance(c, Node) and not c.aside and c.tag not in RAW]
+    size: dict[int, int] = {}
+    around: set[int] = set()  # nodes with an article below them
+    for node, _, parent in reversed(order):
+        size[id(node)] = size.get(id(node), 0) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        if parent is not None:
+            size[id(parent)] = size.get(id(parent), 0) + size[id(node)]
+            if size[id(node)] and (node.tag in ("article", "main") or id(node) in around):
+                around.add(id(parent))
+    held: dict[tuple[int, str], int] = {}
+    under: dict[int, frozenset[str]] = {}  # names of the regions a node lies in
+    for node, text, parent in order:
+        above = under[id(parent)] if parent is not None else frozenset()
+        for name in node.names:
+            if name not in above:
+                held[id(text), name] = held.get((id(text), name), 0) + size[id(node)]
+        under[id(node)] = above.union(node.names) if node.names else above
+    for node, text, _ in order:
+        if node.names and id(node) not in around:
+            elsewhere = text is root and id(root) in around
+            node.aside = any(elsewhere or 2 * held[id(text), n] <= size[id(text)] for n in node.names)
 
 
 def parse(text: str) -> Node:
@@ -153,7 +199,9 @@ def parse(text: str) -> Node:
             close_to(names.split(), stops)
         if tag == "a":
             close_to(("a",), ENDS_PARAGRAPH)
-        node = Node(tag, _is_aside(tag, m[3], {n.tag for n in stack}))
+        aside, names = _judged(tag, m[3], {n.tag for n in stack})
+        node = Node(tag, aside)
+        node.names = names
         stack[-1].children.append(node)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(text, at)
@@ -164,6 +212,7 @@ def parse(text: str) -> Node:
             at = closing.end()
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    settle_names(root)
     return root
 
 
@@ -299,9 +348,9 @@ def main_nodes(root: Node) -> tuple[set[int], set[int], float]:
 
 
 def blocks(root: Node, taken: set[int], above: set[int], threshold: float) -> list[str]:
-    """The texts of the blocks of all taken nodes in page order. Left out are
-    asides, and blocks under the threshold that are mostly links. What stands
-    beside taken nodes outside any block stays if it reaches the threshold."""
+    """The texts of the blocks of all taken nodes in page order, without asides.
+    What stands beside taken nodes outside any block stays if it reaches the
+    threshold."""
     out: list[str] = []
     line: list[str] = []
 
@@ -331,8 +380,7 @@ def blocks(root: Node, taken: set[int], above: set[int], threshold: float) -> li
                 loose = at.own >= threshold if block else keep
                 todo += reversed([(c, loose and (isinstance(c, str) or c.tag in INLINE)) for c in at.children])
                 continue
-            if not inside and not keep or (
-                    block and not inside and at.density < threshold and 2 * at.link_chars > at.chars):
+            if not inside and not keep:
                 continue
             if block:
                 end()
