@@ -15,6 +15,7 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import picked, shared_folder, stage
+from recordloom.llm.common import picked, shared_folder, sliced, stage
+from recordloom.sources.splits import dealt
 
 #: Fixed values of the format: the skippable frame that carries a dictionary,
 #: the frame that carries data, and the revisit profile.
@@ -57,28 +59,43 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def _address(page: int) -> str:
-    return f"<urn:page:{page}>"
-
-
-def page_record(row: dict) -> bytes:
+def page_record(row: dict, run: uuid.UUID, date: str) -> bytes:
     """The record of a judged page; a revisit holds no payload but tells the
-    digest and size of the whole one."""
+    digest and size of the whole one.
+
+    The record id follows from the run and the page's id where that is the id of
+    one row, so that a revisit can name it; else it is a random one. The page ids
+    themselves stand in fields of this writer (``Page-*``), which others skip.
+    """
+    page, target, url = row["page_id"], row["refers_to"], row["url"]
+    plain = page is not None and not row["many"]
     fields = {
-        "WARC-Record-ID": _address(row["page_id"]),
+        "WARC-Record-ID": _address(run, page) if plain else f"<{uuid.uuid4().urn}>",
+        "WARC-Date": date,
         "WARC-Payload-Digest": f"sha1:{row['payload_digest']}",
-        "WARC-Payload-Length": str(row["payload_bytes"]),
+        "Page-Payload-Length": str(row["payload_bytes"]),
     }
-    if row["url"] is not None:
-        # A header is one line: what would break it is written in percent form.
-        fields["WARC-Target-URI"] = row["url"].replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    if page is not None:
+        fields["Page-ID"] = str(page)
+    if url is not None:
+        # A header is one line: line breaks are written in percent form, and the url
+        # as it is beside it. Nothing else of a url is changed.
+        fields["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
+        if fields["WARC-Target-URI"] != url or url != url.strip():
+            fields["Page-URL-Base64"] = base64.b64encode(url.encode()).decode()
     fields["Content-Type"] = "application/http; msgtype=response"
-    if row["refers_to"] is None:
+    if target is None:
         return record_bytes("response", fields, HTTP + (row["payload"] or b""))
-    fields |= {"WARC-Refers-To": _address(row["refers_to"]), "WARC-Profile": PROFILE}
+    fields |= {"Page-Refers-To": str(target), "WARC-Profile": PROFILE}
+    if not row["target_many"]:
+        fields["WARC-Refers-To"] = _address(run, target)
     return record_bytes("revisit", fields, HTTP)
 
 
+def _address(run: uuid.UUID, page: int) -> str:
+    return f"<{uuid.uuid5(run, str(page)).urn}>"
+
+
 # ── Archives ─────────────────────────────────────────────────────────
 
 
@@ -169,7 +186,8 @@ def read_archive(address: str) -> Iterator[bytes]:
 
 
 def judged(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int) -> DataFrame:
-    """Pages with their payload and the page each one revisits, if any."""
+    """Pages with their payload, the page each one revisits, if any, and whether its
+    own id and that page's are ids of several rows."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = picked(pages, page_id=page_id, url=url, html=html).select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
@@ -178,9 +196,18 @@ def judged(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int
     shared = stage(
         digests.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(
             F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
-    # Only pages that revisit another one; both sides are stored, so AQE can split a common payload.
+    # Only pages that revisit another one, or share an id; all sides are stored, so AQE can split a common payload.
+    key = ["page_id", "sha", "size"]
     again = digests.join(shared, ["sha", "size"]).filter("page_id <> refers_to").distinct()
-    return rows.select("*", *key).join(stage(again, "again"), ["page_id", "sha", "size"], "left").drop("sha", "size")
+    many = stage(digests.filter("page_id is not null").groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("page_id"), "many")
+    own = digests.join(many, "page_id", "left_semi").distinct().withColumn("many", F.lit(True))
+    target = many.select(F.col("page_id").alias("refers_to"), F.lit(True).alias("target_many"))
+    marks = stage(again.join(target, "refers_to", "left").join(own, key, "full"), "again")
+    none = F.lit(False)
+    return rows.select("*", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("size")).join(
+        marks, key, "left").select("page_id", "url", "payload", "refers_to", F.coalesce("many", none).alias("many"),
+                                   F.coalesce("target_many", none).alias("target_many"))
 
 
 def write_archives(
@@ -194,14 +221,18 @@ def write_archives(
     The payload is the html in UTF-8, null counting as empty. Of pages with equal
     payloads of at least ``least_bytes``, the one with the largest id is the
     response and the others revisit it; a page without an id is always a
-    response. Rows that repeat id and payload are all written, alike.
-    An empty table writes no archive. Other columns are not looked at.
+    response. Rows that repeat id and payload are all written, each under a record
+    id of its own. A very long payload is one record in memory. An empty table
+    writes no archive. Other columns are not looked at.
     """
     address = folder or shared_folder(pages.sparkSession, "archives")
     system, root = _filesystem(address)
     system.create_dir(root, recursive=True)
     scheme = address.partition("://")[0] if "://" in address else "file"
 
+    run = uuid.uuid4()
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
 
@@ -212,12 +243,12 @@ def write_archives(
                 "path": [place], "records": pa.array([archive.records], pa.int64()),
                 "bytes": pa.array([archive.size], pa.int64())})
 
-        for batch in batches:
+        for batch in sliced(batches, 32):
             for row in batch.to_pylist():
                 body = row["payload"] or b""
                 row |= {"payload_digest": base32_sha1(body), "payload_bytes": len(body)}
                 archive = archive or Archive(address, dictionary_bytes, sample_bytes, level)
-                archive.add(page_record(row))
+                archive.add(page_record(row, run, date))
                 if archive.size >= archive_bytes:
                     yield done()
                     archive = None
@@ -255,24 +286,23 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         fields.append(("payload", pa.binary()))
         ddl += ", payload binary"
     schema = pa.schema(fields)
-    return manifest.select("path").repartition("path").mapInArrow(read, ddl)
+    return dealt(manifest.select("path", "bytes"), "bytes").mapInArrow(read, ddl)
 
 
-def _page(address: str | None) -> int | None:
-    number = (address or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number not in ("", "None") else None
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
 def _row(data: bytes, with_payload: bool) -> dict:
     fields, block = parse_record(data)
-    url = fields.get("WARC-Target-URI")
+    exact = fields.get("Page-URL-Base64")
     row = {
-        "page_id": _page(fields["WARC-Record-ID"]),
-        "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-        "payload_bytes": int(fields["WARC-Payload-Length"]),
+        "page_id": _number(fields.get("Page-ID")),
+        "url": fields.get("WARC-Target-URI") if exact is None else base64.b64decode(exact).decode(),
+        "payload_bytes": int(fields["Page-Payload-Length"]),
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "record_type": fields["WARC-Type"],
-        "refers_to": _page(fields.get("WARC-Refers-To")),
+        "refers_to": _number(fields.get("Page-Refers-To")),
     }
     if row["record_type"] == "response":
         payload = block.partition(b"\r\n\r\n")[2]
