@@ -11,7 +11,8 @@ there, so no link is lost and none is counted twice.
 Cells are cut into blocks of a fixed number of rows, and a task multiplies two
 blocks; a cell that a third of all vectors share becomes many tasks. Of a
 product only counts and a spanning forest of the links leave the task, not the
-pairs. Equal vectors are one class with a weight.
+pairs. Equal vectors of a label are one class with a weight and a number of its
+own; ids come in again only with the result.
 """
 
 from __future__ import annotations
@@ -49,31 +50,35 @@ def spherical_kmeans(points: np.ndarray, cells: int, rounds: int, seed: int = 7)
     return centroids
 
 
-def fit_cells(unit: DataFrame, cell_rows: int, most_cells: int, sample_rows: int, rounds: int) -> dict:
-    """label -> centroids, for the labels of more than ``cell_rows`` vectors.
+def fit_cells(unit: DataFrame, cell_rows: int | None, most_cells: int, sample_rows: int, rounds: int) -> dict:
+    """label -> centroids, for the labels of several cells: one for ``cell_rows``
+    vectors, or half as many as the square root of the label's vectors.
 
     Fitted per label, as Spark groups, on at most ``sample_rows`` vectors of each
-    label drawn by a hash. There are at most ``most_cells`` centroids altogether,
-    the bound of what is sent to all tasks; beyond it cells grow, not their number.
+    label drawn by a hash. There are about ``most_cells`` centroids at most
+    altogether, the bound of what is sent to all tasks; beyond it cells grow, not
+    their number.
     """
-    sizes = unit.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell_rows)
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    rows = F.col("rows")
+    wanted = rows / cell_rows if cell_rows else F.sqrt(rows) / 2
+    sizes = unit.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).withColumn("wanted", wanted).filter("wanted > 1")
+    total = sizes.agg(F.sum("wanted")).first()[0] or 0
     if not total:
         return {}
-    room = max(cell_rows, total / most_cells)
-    sizes = sizes.withColumn("cells", F.ceil(F.col("rows") / room).cast("int")).filter("cells > 1")
-    draw = F.pmod(F.xxhash64("class_id", F.lit("cells")), F.lit(1 << 30))
+    sizes = sizes.withColumn("cells", F.ceil(F.col("wanted") * min(1.0, most_cells / total)).cast("int")).filter(
+        "cells > 1").drop("wanted")
+    draw = F.pmod(F.xxhash64("key", F.lit("cells")), F.lit(1 << 30))
     share = (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.3 * sample_rows) / F.col("rows"))).cast("bigint")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "class_id"]).head(sample_rows)
+        rows = rows.sort_values(["draw", "key"]).head(sample_rows)
         points = np.stack(rows["unit"].map(np.asarray)).astype(float)
         found = spherical_kmeans(points, int(rows["cells"].iloc[0]), rounds)
         return pd.DataFrame({"label": rows["label"].iloc[0], "cell": np.arange(len(found)), "centroid": list(found)})
 
     drawn = unit.join(sizes, "label").withColumn("draw", draw).filter(F.col("draw") < share)
     # At most sample_rows of a label get so far; its group is bounded.
-    found = drawn.select("label", "class_id", "unit", "cells", "draw").groupBy("label").applyInPandas(
+    found = drawn.select("label", "key", "unit", "cells", "draw").groupBy("label").applyInPandas(
         fit, "label bigint, cell int, centroid array<double>")
     out: dict[int, list] = {}
     for row in found.orderBy("label", "cell").collect():
@@ -104,7 +109,7 @@ def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             unit = {}
             for side in ("left", "right"):
                 block = row.column(side)[0].values
-                ids[side] = block.field("class_id").to_numpy()
+                ids[side] = block.field("node").to_numpy()
                 weight[side] = block.field("n").to_numpy()
                 flat = block.field("unit").flatten().to_numpy()
                 unit[side] = flat.reshape(len(ids[side]), -1)
@@ -118,12 +123,12 @@ def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
                 [pa.array(np.concatenate([ids["left"][some], node])),
                  pa.array(np.concatenate([counts[some], np.zeros(len(node), np.int64)])),
                  pa.array(np.concatenate([np.full(len(some), -1), root]), mask=np.arange(len(some) + len(node)) < len(some))],
-                names=["class_id", "links", "root"])
+                names=["node", "links", "root"])
 
 
 def link_vectors(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
-    threshold: float = 0.98, cell_rows: int = 4096, most_cells: int = 4096, sample_rows: int = 20_000,
+    threshold: float = 0.98, cell_rows: int | None = None, most_cells: int = 4096, sample_rows: int = 20_000,
     rounds: int = 8, block_rows: int = 1024,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: how many other vectors of the same
@@ -133,9 +138,10 @@ def link_vectors(
 
     A vector that is null or zero, holds null or non-finite components, or has no
     label is linked with nothing, and so is one of another length than its
-    partner. Repeated rows are vectors of their own: equal vectors are linked with each
-    other. Rows without an id get no component and are not counted. An empty
-    table gives no rows. Other columns are not looked at.
+    partner. Every row is a vector of its own, also where an id repeats, under the
+    same label or another: equal vectors are linked with each other, and rows are
+    never joined by their id alone. Rows without an id get no component and are not
+    counted. An empty table gives no rows. Other columns are not looked at.
     """
     rows = picked(vectors, vec_id=vec_id, embedding=embedding, label=label).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"),
@@ -158,7 +164,7 @@ def link_vectors(
     unit = classes.withColumn("peak", peak).withColumn("s", scaled).withColumn("norm", norm).select(
         "label", "key", "class_id", "n", F.transform("s", lambda x: x / F.col("norm")).alias("unit"),
         F.size("v").alias("width"))
-    unit = stage(unit, "units")
+    unit = stage(unit.withColumn("node", F.monotonically_increasing_id()), "units")
     # Vectors of another length are told apart like labels are.
     named = unit.withColumn("label", F.xxhash64("label", "width"))
     centroids = vectors.sparkSession.sparkContext.broadcast(
@@ -177,26 +183,27 @@ def link_vectors(
                     for k, flags in zip(mine, table, strict=True):
                         guests[k] = np.flatnonzero(flags).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("label", "class_id", "n", "unit")]
+                [batch.column(c) for c in ("label", "node", "n", "unit")]
                 + [pa.array(home), pa.array(guests, pa.list_(pa.int32()))],
-                names=["label", "class_id", "n", "unit", "home", "guests"])
+                names=["label", "node", "n", "unit", "home", "guests"])
 
-    seated = stage(named.select("label", "class_id", "n", "unit").mapInArrow(
-        place, "label bigint, class_id bigint, n bigint, unit array<double>, home int, guests array<int>"), "seats")
+    seated = stage(named.select("label", "node", "n", "unit").mapInArrow(
+        place, "label bigint, node bigint, n bigint, unit array<double>, home int, guests array<int>"), "seats")
     present = seated.select(
-        "label", "class_id", "n", "unit", "home", F.explode(F.concat(F.array("home"), "guests")).alias("cell"))
-    member = ["class_id", "n", "unit"]
+        "label", "node", "n", "unit", "home", F.explode(F.concat(F.array("home"), "guests")).alias("cell"))
+    member = ["node", "n", "unit"]
     pairs = blocked_pairs(
-        present.filter("home = cell"), present, ["label", "cell"], member, block_rows, "class_id")
+        present.filter("home = cell"), present, ["label", "cell"], member, block_rows, "node")
     found = stage(pairs.mapInArrow(
-        lambda b: _products(b, threshold), "class_id bigint, links bigint, root bigint"), "links")
-    counted = found.filter("root is null").groupBy("class_id").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("root is not null").select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    classes = stage(
-        unit.select("label", "key", "class_id", "n").join(counted, "class_id", "left")
-        .join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "class_id").alias("component_id")), "classes")
+        lambda b: _products(b, threshold), "node bigint, links bigint, root bigint"), "links")
+    counted = found.filter("root is null").groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    grouped = stage(
+        unit.select("label", "key", "node", "class_id", "n").join(counted, "node", "left").join(joined, "node", "left")
+        .select("label", "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                F.coalesce("component", "node").alias("component")), "grouped")
+    lowest = stage(grouped.groupBy("component").agg(F.min("class_id").alias("component_id")), "lowest")
+    classes = stage(grouped.join(lowest, "component").select("label", "key", "n_links", "component_id"), "classes")
     alone = keyed.filter("key is null").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linkable.select("vec_id", "label", "key").join(classes, ["label", "key"]).select(

@@ -222,3 +222,165 @@ def test_components(spark):
             low[a] = low[b] = min(low[a], low[b])
     assert got == {k: v for k, v in low.items() if any(k in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ── 5: names, links, and the formula ─────────────────────────────────
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div class="no-sidebar"><article><p>{P}</p><p>{P}</p></article></div>', f"{P} {P}"),
+    (f'<div class="content-sidebar-wrap"><main><p>{P}</p></main><div class=sidebar>{P} {P} {P}</div></div>', P),
+    (f'<article>{f"<div class=elementor-widget><p>{P}</p></div>" * 3}<div class=sidebar>no</div></article>', f"{P} {P} {P}"),
+    (f'<div class="elementor-widget elementor-widget-text-editor"><p>{P}</p><p>{P}</p></div>', f"{P} {P}"),
+    (f'<div class="menu"><p>{P}</p><p>{P}</p></div><div>Buy it</div>', f"{P} {P}"),
+    (f'<div class="search"><p>{P}</p></div>', P),
+    (f"<article><p>{P}</p><ul>{''.join(f'<li><a href=r{n}>Reference number {n}</a></li>' for n in range(5))}</ul></article>",
+     " ".join([P, *(f"Reference number {n}" for n in range(5))])),
+    (f'<article><p>{P}</p></article><div class="reader-responses"><p>{P}</p><p>{P}</p></div>', P),
+    (f'<article><p>{P}</p></article><section id="comments">{f"<p>{P}</p>" * 9}</section>', P),
+])
+def test_a_name_on_most_of_a_text_says_nothing(page, want):
+    assert html_text.extract(page) == want
+
+
+def slow_measure(node, share):
+    """(characters, tags, link characters, link tags) of a subtree by recursion,
+    with densities and sums by node."""
+    out = {}
+
+    def visible(n):
+        return [c for c in n.children if isinstance(c, str) or not c.aside and c.tag not in html_text.RAW]
+
+    def text(n):
+        return "".join("".join(c.split()) if isinstance(c, str) else text(c) for c in visible(n))
+
+    def nodes(n):
+        return [c for c in visible(n) if not isinstance(c, str)]
+
+    def below(n):
+        return [d for c in nodes(n) for d in (c, *below(c))]
+
+    def link_text(n):
+        return text(n) if n.tag == "a" else "".join(link_text(c) for c in nodes(n))
+
+    def density(c, t, l, k):
+        if not c:
+            return 0.0
+        inner = (c / max(l, 1)) * (max(t, 1) / max(k, 1))
+        base = np.log(max(1.0, c / max(1, c - l) * l + share * c) + np.e)
+        return c / max(t, 1) * np.log(inner) / np.log(base) if inner > 1 else 0.0
+
+    def visit(n):
+        d = density(len(text(n)), len(below(n)), len(link_text(n)), sum(x.tag == "a" for x in below(n)))
+        loose = [c for c in nodes(n) if c.tag in html_text.INLINE]
+        own = density(
+            sum(len("".join(c.split())) for c in visible(n) if isinstance(c, str)) + sum(len(text(c)) for c in loose),
+            sum(1 + len(below(c)) for c in loose), sum(len(link_text(c)) for c in loose),
+            sum(x.tag == "a" for c in loose for x in (c, *below(c))))
+        total = sum(visit(c) for c in nodes(n) if c.tag not in html_text.INLINE)
+        for c in nodes(n):
+            if c.tag in html_text.INLINE:
+                visit(c)
+        out[id(n)] = (d, total + (own if n.tag not in html_text.INLINE else 0.0))
+        return d
+
+    visit(node)
+    return out
+
+
+def random_page(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if kind < 0.35 or depth > 4:
+            parts.append("<p>" + " ".join(rng.choice(["word", "longer", "a"]) for _ in range(rng.randrange(1, 30))) + "</p>")
+        elif kind < 0.5:
+            parts.append("<a href=x>link text</a> ")
+        elif kind < 0.6:
+            parts.append("loose <b>bold</b> text ")
+        else:
+            parts.append(f"<div>{random_page(rng, depth + 1)}</div>")
+    return "".join(parts)
+
+
+def test_the_formula_by_recursion():
+    rng = random.Random(4)
+    for _ in range(60):
+        page = f"<body>{random_page(rng)}</body>"
+        root = html_text.parse(page)
+        nodes = html_text.measure(root)
+        want = slow_measure(root, html_text._link_share(root))
+        for n in nodes:
+            assert np.isclose(n.density, want[id(n)][0]) and np.isclose(n.total, want[id(n)][1])
+        best = max(want.values(), key=lambda v: v[1])[1]
+        assert np.isclose(max(n.total for n in nodes), best)
+        assert html_text.extract(page)
+
+
+# ── 6: the format ────────────────────────────────────────────────────
+
+
+def test_records_are_valid_and_urls_are_kept(spark):
+    import re
+
+    urls = ["https://a/b%20c", "https://a/b?x=1&y=%25", "line\nbreak", " padded ", None]
+    rows = [(k, u, f"<p>{'x' * 50}{k}</p>") for k, u in enumerate(urls)]
+    rows += [(10, "u", "same"), (11, "u", "same"), (12, "u", "same"), (12, "u", "same"), (None, "u", "same")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2))
+    got = warc.read_archives(manifest).collect()
+    assert {r.page_id: r.url for r in got if r.page_id is not None and r.page_id < 10} == dict(enumerate(urls))
+    ids = []
+    for path in [r.path for r in manifest.collect()]:
+        for data in warc.read_archive(path):
+            head, block = data.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(re.fullmatch(r"([A-Za-z0-9-]+): (.*)", line).groups() for line in lines)
+            assert version == "WARC/1.1" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            assert fields["WARC-Type"] in ("response", "revisit")
+            assert int(fields["Content-Length"]) == len(block) - 4 and block.endswith(b"\r\n\r\n")
+            assert block.startswith(b"HTTP/1.1 200 OK\r\n")
+            assert fields.get("WARC-Target-URI") != "https://a/b%2520c"
+            ids.append((fields["WARC-Record-ID"], fields.get("WARC-Refers-To")))
+    assert len({i for i, _ in ids}) == len(ids) == len(rows)
+    # The id of a row that is there twice names no single record.
+    assert all(to is None or to in {i for i, _ in ids} for _, to in ids)
+    assert sum(r.record_type == "revisit" for r in got) == 2 and {r.refers_to for r in got} == {None, 12}
+
+
+# ── 9: repeated ids ──────────────────────────────────────────────────
+
+
+def brute_rows(rows, threshold):
+    """Each row by its place: links, and the smallest id it is joined with."""
+    unit = [np.array(v, np.float32).astype(float) for _, v, _ in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    near = [{j for j in range(len(rows)) if j != i and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= threshold}
+            for i in range(len(rows))]
+    low = [r[0] for r in rows]
+    while True:
+        new = [min([low[i], *(low[j] for j in near[i])]) for i in range(len(rows))]
+        if new == low:
+            return sorted((r[0], len(n), c) for r, n, c in zip(rows, near, low))
+        low = new
+
+
+def test_ids_that_repeat_do_not_join_labels_or_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (2, a, 1), (1, a, 2), (3, a, 2), (4, a, 2), (7, a, 3), (7, [1.0, 0.01, 0.0], 3), (8, b, 3), (8, b, 3)]
+    rng = np.random.default_rng(3)
+    for label in (4, 5):
+        for c in range(6):
+            centre = rng.normal(size=3)
+            rows += [(int(rng.integers(100, 130)), (centre + 0.05 * rng.normal(size=3)).tolist(), label) for _ in range(12)]
+    for cells in (None, 10):
+        got = vectors.link_vectors(spark.createDataFrame(rows, VECTORS), cell_rows=cells).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_rows(rows, 0.98)
+
+
+def test_labels_of_the_tables_have_several_cells(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    unit = table.selectExpr("cast(label as bigint) as label", "unhex(hex(vec_id)) as key",
+                            "transform(embedding, x -> cast(x as double)) as unit")
+    found = vectors.fit_cells(unit, None, 4096, 20_000, 3)
+    assert len(found) == table.select("label").distinct().count() and min(map(len, found.values())) >= 3
