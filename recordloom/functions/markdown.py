@@ -7,12 +7,11 @@ one step of the pattern, and what only a line can begin with is looked for only
 after a line break. Putting the tokens together again gives the text back.
 Headings are found in the same way by a pattern of their own.
 
-Covered: ATX headings, also inside quotes and list items; a heading of one line
-underlined by ``=`` or ``-``; backtick and tilde fences; indented code after a
+Covered: ATX headings, also inside quotes and list items; a paragraph of any
+number of lines underlined by ``=`` or ``-``; backtick and tilde fences; indented code after a
 blank line; comments and tags; inline links and images ``[text](target)``
 without title. An image inside a link's text belongs to that text. Not covered:
-reference links, titles, targets in angle brackets or with escapes or entities,
-underlined headings of several lines.
+reference links, titles, targets in angle brackets or with escapes or entities.
 """
 
 from __future__ import annotations
@@ -32,11 +31,16 @@ _FENCE = rf"(?md:^{_INSIDE} {{0,3}}(`{{3,}}+(?![^\n]*`)|~{{3,}}+)[^\n]*+(?:\n(?!
 _COMMENT = r"<!--(?s:.*?)(?:-->|\z)"
 _BLOCK_TAG = r"(?md:^ {0,3}</?+[A-Za-z][A-Za-z0-9-]*+(?:[\s/>]|$)[^\n]*+(?:\n(?![ \t]*+$)[^\n]*+)*+)"
 _ATX = rf"(?md:^{_INSIDE} {{0,3}}#{{1,6}}+(?:[ \t\r][^\n]*+)?+$)"
-_UNDERLINED = (
-    r"(?md:^(?! {0,3}(?:#{1,6}+(?:[ \t]|$)|>|<|[-+*](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|[-*_][-*_ \t]*+$|=)| {4}|[ \t]*+$)"
-    r"[^\n]++\n {0,3}(?:=++|-++)[ \t\r]*+$)"
+# What ends a paragraph, or is none: headings, quotes, tags, lists, rules, blank lines.
+_NO_TEXT = (
+    r" {0,3}(?:#{1,6}+(?:[ \t\r]|$)|>|<|[-+*](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$)|[-*_][-*_ \t]*+$|=)|[ \t\r]*+$"
 )
-_HEADINGS = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|{_ATX}|{_UNDERLINED}"
+_UNDERLINE = r" {0,3}(?:=++|-++)[ \t\r]*+$"
+# A paragraph as a whole, so that long ones are read once; a heading if it is underlined.
+_PARAGRAPH = (
+    rf"(?md:^(?!{_NO_TEXT}| {{4}}|\t)[^\n]++(?:\n(?!{_NO_TEXT}| {{0,3}}(?:`{{3}}|~{{3}}))[^\n]++)*+(?:\n{_UNDERLINE})?+)"
+)
+_HEADINGS = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|{_ATX}|{_PARAGRAPH}"
 _OUTLINE = f"{_FENCE}|{_COMMENT}|{_BLOCK_TAG}|(?md:^ {{0,3}}#{{1,6}}+(?=[ \\t\\r]|$))"
 
 _INDENTED = r"(?: {4}|\t)[^\n]*+(?:\n(?: {4}|\t)[^\n]*+)*+"
@@ -91,10 +95,11 @@ def _heading(mark: Column) -> Column:
     hashes = F.regexp_extract(mark, rf"^{_INSIDE} {{0,3}}(#{{1,6}}+)(?:[ \t]|\r?\z)", 1)
     line = F.regexp_replace(mark, rf"^{_INSIDE} {{0,3}}#++[ \t]*+", "")
     atx = F.regexp_replace(line, r"(?:^|[ \t]++)#++[ \t\r]*+\z|[ \t\r]++\z", "")
-    under = F.trim(F.regexp_extract(mark, r"^([^\n]++)\n {0,3}(?:=++|-++)[ \t\r]*+\z", 1))
-    level = F.when(hashes != "", F.length(hashes)).when(
-        under != "", F.when(F.substring_index(mark, "\n", -1).contains("="), 1).otherwise(2))
-    title = F.when(hashes != "", F.regexp_replace(atx, r"[ \t]++\z", "")).otherwise(under)
+    last = F.substring_index(mark, "\n", -1)
+    under = mark.contains("\n") & last.rlike(_UNDERLINE) & ~mark.rlike(rf"^{_INSIDE} {{0,3}}(?:`{{3}}|~{{3}}|<)")
+    level = F.when(hashes != "", F.length(hashes)).when(under, F.when(last.contains("="), 1).otherwise(2))
+    title = F.when(hashes != "", F.regexp_replace(atx, r"[ \t]++\z", "")).when(
+        under, F.regexp_replace(F.regexp_replace(mark, r"\n[^\n]*+\z", ""), r"^\s++|\s++\z", ""))
     return F.struct(title.alias("title"), level.cast("bigint").alias("level"))
 
 

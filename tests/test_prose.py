@@ -39,6 +39,23 @@ def test_headings(spark):
         assert [(h.level, h.title, h.id) for h in r.h] == HEADINGS[r.i][1], HEADINGS[r.i][0][:80]
 
 
+UNDERLINED = [
+    ("Two\nlines\n===\n\ntext\n", [(1, "Two\nlines", "twolines")]),
+    ("  A\n  B  \nC\n---\nmore\n", [(2, "A\n  B  \nC", "a--b--c")]),
+    ("text\n\nT\n=\n", [(1, "T", "t")]),
+    ("text\n# A\nmore\n--\n", [(1, "A", "a"), (2, "more", "more")]),
+    ("```\n---", []), ("~~~\na\n---\n~~~\n", []), ("para\n```\nx\n```\n---\n", []),
+    ("a\n    b\n===\n", [(1, "a\n    b", "a----b")]), ("\n===\n", []), ("> q\n---\n", []),
+    ("line\n" * 30_000 + "\nT\n===", [(1, "T", "t")]),
+]
+
+
+def test_underlined_paragraphs(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(UNDERLINED)], "i int, t string")
+    for r in frame.select("i", M.headings(F.col("t")).alias("h")).collect():
+        assert [(h.level, h.title, h.id) for h in r.h] == UNDERLINED[r.i][1], UNDERLINED[r.i][0][:80]
+
+
 def test_slugs(spark):
     cases = [("Größe in cm", "größe-in-cm"), ("my_table 2", "my_table-2"), ("終わり。", "終わり"), ("Rev. 3.2", "rev-32"),
              ("④つ目Ⅳ号", "つ目ⅳ号"), ("one  two", "one--two"), ("this / that", "this--that"), ("ΝΕΟΣ", "νεοσ"), ("tab\there", "tabhere")]
