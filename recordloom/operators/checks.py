@@ -377,15 +377,65 @@ def check_references(
     return report(parts, next(iter(frames.values())).sparkSession)
 
 
-def _unnested(frame: DataFrame, ref: Reference) -> DataFrame:
+def _unnested(frame: DataFrame, ref: Reference, *carry: str) -> DataFrame:
     record = column("id") if "id" in frame.columns else F.lit(None)
-    rows = frame.select(record.cast("string").alias("__record"), *map(column, visible(frame.schema)))
+    fields = [n for n in visible(frame.schema) if n not in carry]
+    rows = frame.select(record.cast("string").alias("__record"), *map(column, fields), *carry)
     path = ref.path
     for step in ref.arrays:
-        rows = rows.select("__record", F.explode(resolve(rows, step).column).alias("__item"))
+        rows = rows.select("__record", F.explode(resolve(rows, step).column).alias("__item"), *carry)
         fields = rows.schema["__item"].dataType.names
-        rows = rows.select("__record", *[F.col("__item").getField(n).alias(n) for n in fields])
-    return rows.select("__record", resolve(rows, path).column.alias("__value"))
+        rows = rows.select("__record", *[F.col("__item").getField(n).alias(n) for n in fields], *carry)
+    return rows.select("__record", resolve(rows, path).column.alias("__value"), *carry)
+
+
+REFERENCE_KEY = ("target", "attribute", "kind", "value")
+
+
+def _comparable(value: Column, kind: T.DataType) -> list[Column]:
+    """A value as text, and its kind; values of different kinds are never equal.
+    Whole numbers look alike whatever their type."""
+    text = value.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(text)
+    return [F.lit(str(domain(kind))).alias("kind"), text.alias("value")]
+
+
+def reference_values(frames: Mapping[str, DataFrame], schema: Schema, *carry: str) -> DataFrame:
+    """``entity, record, field``, the :data:`REFERENCE_KEY` it refers to, and
+    ``carry``: a narrow row per occurrence of a declared reference with a value."""
+    parts = []
+    for ref in references(schema):
+        if ref.entity in frames:
+            rows = _unnested(frames[ref.entity], ref, *carry)
+            parts.append(rows.filter("__value is not null").select(
+                F.lit(ref.entity).alias("entity"), F.col("__record").alias("record"), F.lit(ref.field).alias("field"),
+                F.lit(ref.target).alias("target"), F.lit(ref.attribute).alias("attribute"),
+                *_comparable(F.col("__value"), rows.schema["__value"].dataType), *carry))
+    fields = ("entity", "record", "field", *REFERENCE_KEY)
+    return _narrow(parts, frames, fields, carry)
+
+
+def record_ids(frames: Mapping[str, DataFrame], schema: Schema, *carry: str) -> DataFrame:
+    """``target, attribute, kind, value`` and ``carry``: a narrow row per value that
+    references can be to, and per ``id``."""
+    wanted = {(ref.target, ref.attribute) for ref in references(schema)}
+    wanted |= {(n, "id") for n, f in frames.items() if "id" in f.columns}
+    parts = []
+    for name, attribute in sorted(wanted):
+        if name in frames:
+            field = resolve(frames[name], attribute)
+            parts.append(frames[name].filter(field.column.isNotNull()).select(
+                F.lit(name).alias("target"), F.lit(attribute).alias("attribute"),
+                *_comparable(field.column, field.data_type), *carry))
+    return _narrow(parts, frames, REFERENCE_KEY, carry)
+
+
+def _narrow(parts: list[DataFrame], frames, fields: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in (*fields, *carry)])
+    return next(iter(frames.values())).sparkSession.createDataFrame([], kind)
 
 
 # ── Duplicate ids (I3) ───────────────────────────────────────────────

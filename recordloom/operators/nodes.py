@@ -102,14 +102,21 @@ def _origin(kind: Column, origins: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, kind), kind)
 
 
-def _frame_nodes(name: str, frame: DataFrame, origins, single: bool) -> DataFrame:
+def element_nodes(frames: Mapping[str, DataFrame], *carry: str) -> DataFrame:
+    """The nodes of the rows of collections alone, with ``carry`` columns of the row
+    each one lies in. What the collections themselves are is in :func:`node_index`
+    of their empty frames."""
+    return reduce(DataFrame.unionByName, [_frame_nodes(n, f, {}, False, carry) for n, f in frames.items()])
+
+
+def _frame_nodes(name: str, frame: DataFrame, origins, single: bool, carry: Sequence[str] = ()) -> DataFrame:
     up, _, last = name.rpartition(".")
     lines = [_line(F.lit("/"), ROOT_TYPE)]
     here = _top(F.lit(last))
     if up:
         lines.append(_line(_top(F.lit(up)), up))
         here = F.concat(_top(F.lit(up)), here)
-    kind = T.StructType([f for f in frame.schema.fields if f.name != ORD])
+    kind = T.StructType([f for f in frame.schema.fields if f.name != ORD and f.name not in carry])
     if single:
         parent = _top(F.lit(up)) if up else F.lit("/")
         found = _record(column, kind, parent, F.lit(last), here, name, F.array(*lines), origins)
@@ -117,26 +124,26 @@ def _frame_nodes(name: str, frame: DataFrame, origins, single: bool) -> DataFram
         lines.append(_line(here, f"{name}.item[]"))
         frame = frame.filter(column("id").isNotNull())
         if not any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in kind.fields):
-            return _flat_nodes(frame, kind, here, f"{name}.item", lines, origins)
+            return _flat_nodes(frame, kind, here, f"{name}.item", lines, origins, carry)
         found = _element(column, kind, here, f"{name}.item", F.array(*lines), origins, None)
     else:
         # A row without an id, and all below it, has no address.
         found = F.array().cast(_NODES)
-    return frame.select(F.explode(found).alias("n")).select("n.*")
+    return frame.select(F.explode(found).alias("n"), *carry).select("n.*", *carry)
 
 
-def _flat_nodes(frame, kind, parent: Column, type_: str, above: list, origins) -> DataFrame:
+def _flat_nodes(frame, kind, parent: Column, type_: str, above: list, origins, carry) -> DataFrame:
     """Nodes of rows with nothing below them: plain columns, one node a row."""
     origin, names = origins.get(type_, type_), _label_names(kind)
     segment = column("id").cast("string")
     address = _below(parent, iri_escape(segment, "/" if origin in (PROSE, BLOB) else ""))
     labels = [column(n).cast("string").alias(f"__l{i}") for i, n in enumerate(names)]
-    rows = frame.select(address.alias("__a"), segment.alias("__s"), *labels)
+    rows = frame.select(address.alias("__a"), segment.alias("__s"), *labels, *carry)
     here = F.col("__a")
     label = F.coalesce(*[F.col(f"__l{i}") for i in range(len(names))], here)
     node = _node(here, parent, F.col("__s"), type_, origins, label,
                  F.lit("") if origin == BLOB else here, F.array(*above, _line(here, type_)))
-    return rows.select(node.alias("n")).select("n.*")
+    return rows.select(node.alias("n"), *carry).select("n.*", *carry)
 
 
 def _label_names(kind: T.StructType) -> list[str]:

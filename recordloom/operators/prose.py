@@ -64,11 +64,11 @@ def depth(doc_id: Column) -> Column:
 # ── Links (T4-T6) ────────────────────────────────────────────────────
 
 
-def link_table(docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
-    """``(key, ord, dest, kind)``, one row per inline link or image."""
+def link_table(docs: DataFrame, key: str = "id", content: str = "content", carry: Sequence[str] = ()) -> DataFrame:
+    """``(key, ord, dest, kind)`` and ``carry``, one row per inline link or image."""
     some = docs.filter(may_have_links(column(content)))
-    rows = some.select(column(key), F.posexplode(markdown.links(column(content))).alias("ord", "l"))
-    return rows.select(key, "ord", F.col("l.dest").alias("dest"), F.col("l.kind").alias("kind"))
+    rows = some.select(column(key), F.posexplode(markdown.links(column(content))).alias("ord", "l"), *carry)
+    return rows.select(key, "ord", F.col("l.dest").alias("dest"), F.col("l.kind").alias("kind"), *carry)
 
 
 def link_target(doc_id: Column, dest: Column) -> Column:

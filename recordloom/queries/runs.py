@@ -15,6 +15,8 @@ from recordloom.sources.tree import (
     prose_problems, prose_rows, read_blobs, read_entities, read_prose, record_files, scan_tree,
 )
 from recordloom.streaming import incremental as I
+from recordloom.streaming import keyed as K
+from recordloom.streaming.tracked import TrackedTree
 
 #: Customers per written file.
 FILE_ROWS = 500
@@ -124,17 +126,15 @@ def stream_view(t: Tables) -> DataFrame:
 
 @query(LISTS_SQL.format(key="o_custkey", rows="SELECT o_custkey, o_orderkey AS id FROM orders"))
 def stream_grouped(t: Tables) -> DataFrame:
-    """Ordered lists over a stream of several batches; each reads only the slots
-    of the keys it has rows for."""
+    """Ordered lists over a stream of several batches; each writes its own items
+    only, and parts are put together now and then."""
     out = t.scratch()
     t.orders.withColumn("third", F.col("o_custkey") % 3).write.partitionBy("third").parquet(f"{out}/in")
     stream = t.spark.readStream.schema(t.orders.schema).option("maxFilesPerTrigger", 1).option(
         "recursiveFileLookup", True).parquet(f"{out}/in")
-    I.recompute_view(
-        V.source(stream, ["o_orderkey"]), f"{out}/table", {}, {"from": "orders", "grouped": {"by": "o_custkey"}},
-        f"{out}/view", f"{out}/state", slots=16,
-    ).awaitTermination()
-    return list_ends(t.spark.read.parquet(f"{out}/view"), "o_custkey", "orders", "o_orderkey")
+    view = {"from": "orders", "grouped": {"by": "o_custkey"}}
+    K.keep_grouped(V.source(stream, ["o_orderkey"]), f"{out}/kept", {}, view, f"{out}/state", fan_in=3).awaitTermination()
+    return list_ends(K.grouped_lists(K.grouped_items(t.spark, f"{out}/kept"), view), "o_custkey", "orders", "o_orderkey")
 
 
 @query("""SELECT 'rich' AS view, count(*) AS n FROM customer WHERE c_acctbal > 5000
@@ -154,6 +154,35 @@ def incremental_refresh(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out)
 
 
+@query("""SELECT 'rich' AS view, CAST(c_custkey AS BIGINT) AS key, c_name AS detail FROM customer WHERE c_acctbal > 5000
+UNION ALL SELECT 'rich_orders', o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000
+UNION ALL SELECT 'urgent', o_orderkey, 'old' FROM orders WHERE o_orderpriority LIKE '1%'""")
+def refreshed_rows(t: Tables) -> DataFrame:
+    """The rows of all views after a change of the customers: two are rebuilt, the
+    third is as it was written before."""
+    out = t.scratch()
+    specs = {
+        "rich": {"from": "customer", "where": {"c_acctbal": {"gt": 5000}}},
+        "rich_orders": {"from": "orders", "join": {
+            "to": "rich", "on": {"left": "o_custkey", "right": "c_custkey"}, "as": "c", "flatten": True}},
+        "urgent": {"from": "orders", "where": {"o_orderpriority": {"startswith": "1"}}},
+    }
+    detail = {"rich": ("c_custkey", "c_name"), "rich_orders": ("o_orderkey", "c.c_name")}
+
+    def write(state: str):
+        def put(name: str, frame: DataFrame) -> None:
+            key, text = detail.get(name, ("o_orderkey", None))
+            shown = F.lit(state) if text is None else F.col(text)
+            frame.select(F.lit(name).alias("view"), F.col(key).cast("bigint").alias("key"), shown.alias("detail")).write.mode(
+                "overwrite").parquet(f"{out}/view={name}")
+        return put
+
+    earlier = t.customer.withColumn("c_acctbal", -F.col("c_acctbal"))
+    I.refresh({"orders": t.orders, "customer": earlier}, specs, ["customer", "orders"], write("old"))
+    I.refresh({"orders": t.orders, "customer": t.customer}, specs, ["customer"], write("new"))
+    return t.spark.read.parquet(*[f"{out}/view={n}" for n in specs])
+
+
 TREE = record(people={"type": "object", "additionalProperties": record(name=STRING, nation=INTEGER)},
               about=record(last=STRING, count=INTEGER))
 
@@ -248,3 +277,96 @@ def mirrored_files(t: Tables) -> DataFrame:
     sinks.copy_files(I.changes(nothing, states[0], compare=["hash"], carry=["size"]), old, mirror)
     sinks.copy_files(I.changes(states[0], states[1], compare=["hash"], carry=["size"]), new, mirror)
     return scan_tree(t.spark, mirror, content=True).select("path", F.md5("content").alias("body"))
+
+
+# ── A tree kept up with its files ────────────────────────────────────
+
+#: Orders per file, so the number of files grows with the table.
+ORDER_ROWS = 5000
+
+SHOP = record(
+    customers={"type": "array", "items": record(id=INTEGER, name=STRING, balance=NUMBER)},
+    orders={"type": "array", "items": record(
+        id=INTEGER, customer={"type": "integer", "x-ref": {"entity": "customers"}}, status=STRING)})
+
+
+def _put(t: Tables, root: str, name: str, rows: DataFrame, per_file: int, item: dict) -> None:
+    """Rows with an ``id`` as record files below ``root/name``; what was there goes."""
+    entries = rows.select(F.floor(F.col("id") / per_file).alias("file"), F.struct("id", *item).alias("e"))
+    body = F.to_json(F.struct(F.sort_array(F.collect_list("e")).alias(name.split("-")[0])))
+    files = entries.groupBy("file").agg(body.alias("body"))
+    sinks.write_page_files(files.select(
+        F.lit(name).alias("edition"), F.lit(0).alias("part"), "body",
+        F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".json")).alias("page_path")), f"{root}/{name}")
+
+
+def _three_runs(t: Tables) -> TrackedTree:
+    """Customers in four folders and orders in one, taken in three times: as they
+    are; with one folder edited; with one deleted and one new."""
+    root = f"{t.scratch()}/tree"
+    tree = TrackedTree(t.spark, root, SHOP, f"{t.scratch()}/kept")
+    customer = t.customer.select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    fields = ["name", "balance"]
+    for k in range(3):
+        _put(t, root, f"customers-{k}", customer.filter(F.col("id") % 4 == k), FILE_ROWS, fields)
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"),
+                             F.col("o_orderstatus").alias("status"))
+    _put(t, root, "orders-0", orders, ORDER_ROWS, ["customer", "status"])
+    tree.sync()
+    raised = customer.filter("id % 4 = 1").withColumn("balance", F.col("balance") + 1).withColumn(
+        "name", F.concat("name", F.lit("!")))
+    _put(t, root, "customers-1", raised, FILE_ROWS, fields)
+    tree.sync()
+    _put(t, root, "customers-2", customer.filter("false"), FILE_ROWS, fields)
+    _put(t, root, "customers-3", customer.filter("id % 4 = 3"), FILE_ROWS, fields)
+    tree.sync()
+    return tree
+
+
+@query("""SELECT 'customer' AS kind, CAST(c_custkey AS BIGINT) AS id, c_name || CASE WHEN c_custkey % 4 = 1 THEN '!' ELSE '' END
+  AS name, c_acctbal + CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS balance FROM customer WHERE c_custkey % 4 <> 2
+UNION ALL SELECT 'order', o_orderkey, o_orderstatus, NULL FROM orders""")
+def tracked_tree(t: Tables) -> DataFrame:
+    """Files added, edited and deleted over three runs; only what differs is read."""
+    frames = _three_runs(t).entities()
+    return frames["customers"].select(F.lit("customer").alias("kind"), "id", "name", "balance").union(
+        frames["orders"].select(F.lit("order"), "id", "status", F.lit(None).cast("double")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record, 'orders.customer' AS field, CAST(o_custkey AS VARCHAR) AS value
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 2)""")
+def tracked_references(t: Tables) -> DataFrame:
+    """Dangling references after the same runs: found when the ids went, dropped
+    when they came, with the orders read once."""
+    return _three_runs(t).dangling().select("record", "field", "value")
+
+
+@query("""SELECT 'record' AS kind, CAST(c_custkey AS VARCHAR) AS id, md5(c_name) AS body FROM customer
+UNION ALL SELECT 'prose', lang || '/d' || doc_id, md5(nfc_normalize(text)) FROM documents
+UNION ALL SELECT 'blob', 'files/s' || s_suppkey || '.png', NULL FROM supplier""")
+def tree_stream(t: Tables) -> DataFrame:
+    """One stream over a tree of JSON, YAML, Markdown and other files."""
+    root = f"{t.scratch()}/tree"
+    line = F.concat(F.lit("- {id: "), F.col("c_custkey").cast("string"), F.lit(', name: "'), "c_name", F.lit('"}'))
+    rows = t.customer.select(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"), line.alias("line"),
+                             F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("e"))
+    files = rows.groupBy("file").agg(F.collect_list("line").alias("lines"), F.collect_list("e").alias("customers"))
+    yaml = F.col("file") % 2 == 0
+    records = files.select(
+        F.concat(F.lit("c"), F.col("file").cast("string"), F.when(yaml, ".yml").otherwise(".json")).alias("page_path"),
+        F.when(yaml, F.concat(F.lit("customers:\n"), F.array_join("lines", "\n"))).otherwise(
+            F.to_json(F.struct("customers"))).alias("body"))
+    prose = t.documents.select(F.concat("lang", F.lit("/d"), "doc_id", F.lit(".md")).alias("page_path"),
+                               F.coalesce("text", F.lit("")).alias("body"))
+    blobs = t.supplier.select(F.concat(F.lit("files/s"), "s_suppkey", F.lit(".png")).alias("page_path"),
+                              F.col("s_name").alias("body"))
+    every = records.union(prose).union(blobs).select(F.lit("all").alias("edition"), F.lit(0).alias("part"), "page_path", "body")
+    sinks.write_page_files(every, root)
+    count = every.count()
+    tree = TrackedTree(t.spark, f"{root}/all", SHOP, f"{t.scratch()}/kept")
+    tree.stream(f"{t.scratch()}/state", max_files=count // 3 + 1).awaitTermination()
+    frames = tree.entities()
+    row = lambda kind, frame, body: frame.select(F.lit(kind).alias("kind"), F.col("id").cast("string"), body.alias("body"))
+    return row("record", frames["customers"], F.md5("name")).union(
+        row("prose", frames["prose"], F.md5("content"))).union(row("blob", frames["blob"], F.lit(None).cast("string")))
