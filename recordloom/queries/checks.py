@@ -397,3 +397,29 @@ def whole_numbers(t: Tables) -> DataFrame:
     loose = C.text_violations(files, schema).select(F.col("record").alias("id")).distinct().withColumn("f", F.lit(True))
     return rows.join(loose, "id", "left").select(
         F.col("id").cast("bigint").alias("doc_id"), F.col("n").alias("value"), F.coalesce("f", F.lit(False)).alias("found"))
+
+
+# ── Array rules ──────────────────────────────────────────────────────
+
+LISTS = record(lists=rows_of(record(
+    ["id"], id=INTEGER, words={"type": "array", "items": STRING, "minItems": 3, "maxItems": 40, "uniqueItems": True},
+    turns={"type": "array", "items": record(turn=INTEGER, role=STRING), "uniqueItems": True})))
+
+
+@query(r"""WITH lists AS (SELECT doc_id AS id, string_split(coalesce(text, ''), ' ') AS words FROM documents),
+talks AS (SELECT conv_id AS id, list({'turn': turn % 2, 'role': role}) AS turns FROM conversations GROUP BY conv_id)
+SELECT CAST(id AS VARCHAR) AS record, '/words' AS path, 'minItems' AS rule FROM lists WHERE len(words) < 3
+UNION ALL SELECT CAST(id AS VARCHAR), '/words', 'maxItems' FROM lists WHERE len(words) > 40
+UNION ALL SELECT CAST(id AS VARCHAR), '/words', 'uniqueItems' FROM lists WHERE len(list_distinct(words)) < len(words)
+UNION ALL SELECT CAST(id AS VARCHAR), '/turns', 'uniqueItems' FROM talks WHERE len(list_distinct(turns)) < len(turns)""")
+def schema_rules_arrays(t: Tables) -> DataFrame:
+    """Rules on the number of items and on items that are the same, for plain items
+    and for rows."""
+    words = t.documents.select(
+        F.col("doc_id").alias("id"), F.split(F.coalesce("text", F.lit("")), " ", -1).alias("words"),
+        F.lit(None).cast("array<struct<turn:bigint,role:string>>").alias("turns"))
+    talks = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.struct(
+        (F.col("turn") % 2).cast("bigint").alias("turn"), "role")).alias("turns")).select(
+        "id", F.lit(None).cast("array<string>").alias("words"), "turns")
+    found = C.schema_violations(words.unionByName(talks), "lists", LISTS["properties"]["lists"], F.col("id").cast("string"))
+    return found.select("record", "path", F.regexp_replace("source", "^schema-", "").alias("rule"))
