@@ -12,7 +12,7 @@ from recordloom.queries.registry import Tables, query
 from recordloom.queries.views import LISTS_SQL, list_ends, keep
 from recordloom.sources import sinks
 from recordloom.sources.tree import (
-    prose_problems, prose_rows, read_blobs, read_entities, read_prose, record_files, scan_tree,
+    prose_problems, prose_rows, read_blobs, read_entities, read_prose, record_files, scan_tree, single_items,
 )
 from recordloom.streaming import incremental as I
 from recordloom.streaming import keyed as K
@@ -61,6 +61,28 @@ def file_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{out}/table").select("id", "name", "nation", "balance")
 
 
+ROLL = record(roll=record(names={"type": "array", "items": STRING}, deep=record(keys={"type": "array", "items": INTEGER})))
+
+
+@query(f"""SELECT 'names' AS path, c_name AS item, 'f' || (c_custkey // {FILE_ROWS}) || '.json' AS file,
+  CAST(row_number() OVER (PARTITION BY c_custkey // {FILE_ROWS} ORDER BY c_custkey) - 1 AS INTEGER) AS pos FROM customer
+UNION ALL SELECT 'deep.keys', CAST(c_custkey AS VARCHAR), 'f' || (c_custkey // {FILE_ROWS}) || '.json',
+  CAST(row_number() OVER (PARTITION BY c_custkey // {FILE_ROWS} ORDER BY c_custkey) - 1 AS INTEGER) FROM customer""")
+def single_record_items(t: Tables) -> DataFrame:
+    """The arrays of one record that many files have pieces of, as ordered rows."""
+    rows = t.customer.select(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"), F.struct("c_custkey", "c_name").alias("e"))
+    pieces = rows.groupBy("file").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    deep = F.struct(F.col("e.c_custkey").alias("keys")).alias("deep")
+    files = pieces.select(
+        F.array(F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".json"))).alias("parts"),
+        F.to_json(F.struct(F.struct(F.col("e.c_name").alias("names"), deep).alias("roll"))).alias("text"))
+    found = single_items(read_entities(files, ROLL, merge=False)["roll"], ROLL["properties"]["roll"])
+    shown = lambda path: found[path].select(
+        F.lit(path).alias("path"), F.col("item").cast("string").alias("item"), F.col("__ord.parts")[0].alias("file"),
+        F.col("__ord.pos").alias("pos"))
+    return shown("names").union(shown("deep.keys"))
+
+
 @query("""SELECT 'nation' AS name, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name
   || '","n_regionkey":' || n_regionkey || '}' AS row FROM nation
 UNION ALL SELECT 'priority', '{"o_orderkey":' || o_orderkey
@@ -192,7 +214,8 @@ def _odd_tree(t: Tables) -> str:
     in two of them; prose and other files, empty ones and ones named with _."""
     entry = F.struct(F.col("c_custkey").cast("string").alias("k"),
                      F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("v"))
-    rows = t.customer.groupBy(F.concat("c_mktsegment", (F.col("c_custkey") % 20).cast("string")).alias("file")).agg(
+    part = F.floor(F.col("c_custkey") / FILE_ROWS).cast("string")
+    rows = t.customer.groupBy(F.concat("c_mktsegment", part).alias("file")).agg(
         F.map_from_entries(F.collect_list(entry)).alias("people"))
     records = rows.select(
         F.concat(F.lit("in/"), "file", F.lit(".json")).alias("page_path"), F.to_json(F.struct("people")).alias("body"))

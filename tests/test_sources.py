@@ -165,3 +165,25 @@ def test_page_files(spark, tmp_path):
     assert open(f"{out}/web/index.1.md", encoding="utf-8").read() == "één\ntwo\n"
     sinks.write_page_table(pages, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).filter("edition = 'pdf'").count() == 1
+
+
+def test_items_of_a_merged_record_stay_rows(spark):
+    from recordloom.sources.tree import merge_single, single_items
+    from tests.test_checks import STRING, obj
+
+    strings = {"type": "array", "items": STRING}
+    about = obj(notes=strings, deep=obj(more=strings), title=STRING)
+    kind = "parts array<string>, v struct<notes: array<string>, deep: struct<more: array<string>>, title: string>"
+    frame = spark.createDataFrame([
+        (["b"], (["3", None], None, "b")), (["a"], (["1", "2"], (["x"],), None)), (["c"], (None, ([],), "c")), (["d"], None)], kind)
+    found = {path: [r["item"] for r in f.orderBy("__ord").collect()] for path, f in single_items(frame, about).items()}
+    merged = merge_single(frame, about).collect()[0]
+    assert found == {"notes": ["1", "2", "3", None], "deep.more": ["x"]}
+    assert found == {"notes": merged.notes, "deep.more": merged.deep.more}
+    # A million items of many files: no task holds more than a few files' items.
+    many = spark.range(0, 2000, 1, 20).selectExpr(
+        "array(cast(id as string)) as parts", "named_struct('notes', transform(sequence(1, 500), x -> cast(x as string)),"
+        " 'deep', cast(null as struct<more: array<string>>), 'title', 't') as v")
+    rows_ = single_items(many, about)["notes"]
+    counts = [r[1] for r in rows_.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 1_000_000 and max(counts) == 50_000
