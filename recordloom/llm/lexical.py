@@ -65,7 +65,7 @@ class Index:
     """All documents by their terms, stored in the shared folder, with the number of
     documents that have terms and of all their terms."""
 
-    def __init__(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_terms: int = 2_000_000):
+    def __init__(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_terms: int = 1_000_000):
         rows = with_terms(picked(documents, id=doc_id, text=text)).filter("n > 0")
         self.table = stage(rows.withColumn("row", F.monotonically_increasing_id()), "index")
         totals = self.table.agg(
