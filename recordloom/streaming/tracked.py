@@ -16,6 +16,8 @@ that came or went; other findings of the last run stay as they are.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,30 +141,47 @@ class TrackedTree:
             path = nfc(F.col("path"))
             return files.select(F.col("path").alias(FILE), path.alias("path"), F.split(path, "/").alias("parts"), "content")
 
-        def write(table: str, rows: DataFrame) -> None:
-            if folded is not None:
+        def write(table: str, rows: DataFrame, derived: bool = False) -> None:
+            """A table of this run; what is ``derived`` comes from tables that have the
+            folded rows already."""
+            if folded is not None and not derived:
                 rows = rows.unionByName(self._live(table, folded, run - 1))
             rows = rows.withColumn("__run", F.lit(run))
             rows.write.mode("overwrite").parquet(self._at(run, table))
             self._kinds[table] = rows.schema
 
-        texts = stored(record_texts(named(RECORD), FILE), self._at(run, "texts"))
-        found = text_violations(texts, self.schema)
-        by_name = texts.select(FILE, F.col("path").alias("__name"))
-        write("findings", found.join(by_name, F.col("record") == F.col("__name")).select(*FIELDS, FILE))
-        write("records", decode_records(texts, self.schema, FILE))
-        write("prose", prose_rows(named(PROSE), FILE))
-        rows = entity_rows(self._rows_of(run, "records"), self.schema, merge=False, carry=(FILE,))
-        frames = {n: f for n, f in rows.items() if not is_single(entities(self.schema)[n])}
-        write("references", reference_values(frames, self.schema, FILE))
-        write("ids", record_ids(frames, self.schema, FILE))
-        prose = self._rows_of(run, "prose")
-        blobs = fresh.filter(F.col("kind") == BLOB).select(F.col("path").alias(FILE), nfc(F.col("path")).alias("path"))
-        documents = prose.select("id", "mime_type", heading_array(F.col("content")).alias("headings"), FILE)
+        def records() -> None:
+            texts = stored(record_texts(named(RECORD), FILE), self._at(run, "texts"))
+            by_name = texts.select(FILE, F.col("path").alias("__name"))
+
+            def findings() -> None:
+                found = text_violations(texts, self.schema)
+                write("findings", found.join(by_name, F.col("record") == F.col("__name")).select(*FIELDS, FILE))
+
+            def rows() -> None:
+                write("records", decode_records(texts, self.schema, FILE))
+                found = entity_rows(self._rows_of(run, "records"), self.schema, merge=False, carry=(FILE,))
+                frames.update({n: f for n, f in found.items() if not is_single(entities(self.schema)[n])})
+                _together(lambda: write("references", reference_values(frames, self.schema, FILE), True),
+                          lambda: write("ids", record_ids(frames, self.schema, FILE), True))
+
+            _together(findings, rows)
+            _delete(self.spark, self._at(run, "texts"))
+
+        def documents() -> None:
+            write("prose", prose_rows(named(PROSE), FILE))
+            write("links", node_links(link_table(self._rows_of(run, "prose"), carry=(FILE,))), True)
+
+        frames: dict[str, DataFrame] = {}
+        _together(records, documents)
+        prose = self._rows_of(run, "prose").select(
+            "id", "mime_type", heading_array(F.col("content")).alias("headings"), FILE)
+        named_files = fresh.select("path", "kind")
+        if folded is not None:
+            named_files = named_files.unionByName(folded.select("path", "kind"))
+        blobs = named_files.filter(F.col("kind") == BLOB).select(F.col("path").alias(FILE), nfc(F.col("path")).alias("path"))
         files = blob_rows(blobs.withColumn("parts", F.split("path", "/")), FILE)
-        write("nodes", element_nodes({**frames, PROSE: documents, BLOB: files}, FILE).select("address", "origin", FILE))
-        write("links", node_links(link_table(prose, carry=(FILE,))))
-        _delete(self.spark, self._at(run, "texts"))
+        write("nodes", element_nodes({**frames, PROSE: prose, BLOB: files}, FILE).select("address", "origin", FILE), True)
 
     def _read(self, run: int, table: str) -> DataFrame:
         """A table of one run; its schema is looked up in its files once."""
@@ -247,46 +266,52 @@ class TrackedTree:
             rows = self._read(run - 1, table)
             return rows.join(unchanged.select(F.col("path").alias(FILE)), FILE, "left_semi")
 
-        # References: those of changed files, and those to ids that came or went.
-        touched, ids = differs("ids", key), live("ids", now).select(key)
-        due = live("references", new_files)
-        if run > 1:
-            due = due.unionByName(live("references", unchanged).join(touched, key, "left_semi"))
-        dangling = due.join(ids, key, "left_anti")
-        if run > 1:
-            dangling = dangling.unionByName(earlier("dangling").join(touched, key, "left_anti"))
-        dangling.write.mode("overwrite").parquet(self._at(run, "dangling"))
-
-        # Ids: those of changed files are counted again, the others keep their count.
-        recount = live("ids", new_files).select(key)
-        if run > 1:
-            recount = recount.union(live("ids", old_files).select(key))
-        recount = stored(recount.distinct(), self._at(run, "recount"))
-        repeated = ids.join(recount, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        if run > 1:
-            kept = self._read(run - 1, "repeated")
-            repeated = repeated.unionByName(kept.join(recount, key, "left_anti"))
-        repeated.write.mode("overwrite").parquet(self._at(run, "repeated"))
-
-        # Links: the same, by the address or by that of the file it is in.
-        fixed = stored(self._fixed_nodes(now, run), self._at(run, "fixed"))
-        moved = differs("nodes", ["address"])
-        if run > 1:
-            was = self._read(run - 1, "fixed").select("address")
-            moved = moved.union(was.exceptAll(fixed.select("address"))).union(fixed.select("address").exceptAll(was)).distinct()
-        moved = stored(moved, self._at(run, "moved"))
-        base = moved.select(F.col("address").alias("base"))
-        due = live("links", new_files)
-        if run > 1:
-            others = live("links", unchanged)
-            due = due.unionByName(others.join(moved, "address", "left_semi")).unionByName(
-                others.join(moved, "address", "left_anti").join(base, "base", "left_semi"))
-        nodes = live("nodes", now).select("address", "origin").unionByName(fixed)
-        broken = broken_links(due, stored(nodes, self._at(run, "addresses")))
-        if run > 1:
-            broken = broken.unionByName(
-                earlier("broken").join(moved, "address", "left_anti").join(base, "base", "left_anti"))
-        broken.write.mode("overwrite").parquet(self._at(run, "broken"))
+        def references() -> None:
+            """Those of changed files, and those to ids that came or went."""
+            touched, ids = differs("ids", key), live("ids", now).select(key)
+            due = live("references", new_files)
+            if run > 1:
+                due = due.unionByName(live("references", unchanged).join(touched, key, "left_semi"))
+            dangling = due.join(ids, key, "left_anti")
+            if run > 1:
+                dangling = dangling.unionByName(earlier("dangling").join(touched, key, "left_anti"))
+            dangling.write.mode("overwrite").parquet(self._at(run, "dangling"))
+
+        def repeats() -> None:
+            """Ids of changed files are counted again, the others keep their count."""
+            recount = live("ids", new_files).select(key)
+            if run > 1:
+                recount = recount.union(live("ids", old_files).select(key))
+            recount = stored(recount.distinct(), self._at(run, "recount"))
+            repeated = live("ids", now).select(key).join(recount, key, "left_semi").groupBy(*key).agg(
+                F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+            if run > 1:
+                repeated = repeated.unionByName(self._read(run - 1, "repeated").join(recount, key, "left_anti"))
+            repeated.write.mode("overwrite").parquet(self._at(run, "repeated"))
+
+        def links() -> None:
+            """The same for links, by the address or by that of the file it is in."""
+            fixed = stored(self._fixed_nodes(now, run), self._at(run, "fixed"))
+            moved = differs("nodes", ["address"])
+            if run > 1:
+                was, is_ = self._read(run - 1, "fixed").select("address"), fixed.select("address")
+                moved = moved.union(was.exceptAll(is_)).union(is_.exceptAll(was)).distinct()
+            moved = stored(moved, self._at(run, "moved"))
+            base = moved.select(F.col("address").alias("base"))
+            due = live("links", new_files)
+            if run > 1:
+                others = live("links", unchanged)
+                due = due.unionByName(others.join(moved, "address", "left_semi")).unionByName(
+                    others.join(moved, "address", "left_anti").join(base, "base", "left_semi"))
+            nodes = live("nodes", now).select("address", "origin").unionByName(fixed)
+            broken = broken_links(due, stored(nodes, self._at(run, "addresses")))
+            if run > 1:
+                broken = broken.unionByName(
+                    earlier("broken").join(moved, "address", "left_anti").join(base, "base", "left_anti"))
+            broken.write.mode("overwrite").parquet(self._at(run, "broken"))
+
+        self._runs(run)
+        _together(references, repeats, links)
         for table in ("addresses", "moved", "recount", "ids.changed", "nodes.changed"):
             _delete(self.spark, self._at(run, table))
 
@@ -298,3 +323,10 @@ class TrackedTree:
         empty = self.spark.createDataFrame([], "id string")
         frames = {n: f if n in single else empty for n, f in rows.items()}
         return node_index({**frames, PROSE: empty, BLOB: empty}, single=single).select("address", "origin")
+
+
+def _together(*steps: Callable[[], None]) -> None:
+    """Run steps that do not wait for each other at the same time; their jobs are small."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(step) for step in steps]:
+            done.result()
