@@ -119,7 +119,9 @@ def _numbered(names: Column) -> Column:
 def headings(text: Column) -> Column:
     """Array of ``(id, title, level)``; a repeated id is numbered."""
     marks = F.regexp_extract_all(text, F.lit(_HEADINGS), F.lit(0))
-    found = F.filter(F.transform(marks, _heading), lambda h: h["level"].isNotNull())
+    # Most marks are paragraphs: only what can be a heading is taken apart.
+    some = F.filter(marks, lambda m: m.contains("#") | (m.contains("\n") & m.rlike(r"[=\-][ \t\r]*+\z")))
+    found = F.filter(F.transform(some, _heading), lambda h: h["level"].isNotNull())
 
     def named(all_: Column) -> Column:
         ids = _numbered(F.transform(all_, lambda h: slug(visible(h["title"]))))

@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 #: Settings that pay off at scale. AQE splits skewed join sides and coalesces
 #: small shuffle partitions; the larger object-aggregate threshold keeps
 #: ``collect_list`` in hash mode for more than the default 128 groups per task.
+#: Plans are put together from many small column expressions; noting the Python
+#: line of each, for error messages, would double the time that takes.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,6 +26,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
