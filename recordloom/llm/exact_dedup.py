@@ -50,8 +50,9 @@ class DigestIndex:
         ``group_size`` counts the batch's documents with that text.
 
         Null text is empty text. A null id never stays while its text has
-        another one; rows that repeat id and text get the same answer each. An
-        empty batch gives no rows. Other columns of the batch are not looked at.
+        another one; rows that repeat id and text get the same answer each. A very
+        long text is hashed where it is read and goes on as its digest. An empty
+        batch gives no rows. Other columns of the batch are not looked at.
         """
         rows = stage(
             picked(documents, doc_id=doc_id, text=text).select("doc_id", text_digest("text").alias("digest")),

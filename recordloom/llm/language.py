@@ -47,18 +47,22 @@ def codes(data: np.ndarray, width: int) -> np.ndarray:
 # ── Learning ─────────────────────────────────────────────────────────
 
 
-def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, spread by a hash of the id
-    whatever the table's order. Texts are whole. Only ids and languages are
-    counted to find the share to keep, so no language's rows meet in one task."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return labelled
+def sample(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """At most ``per_language`` rows of each of the ``most_languages`` languages that
+    have the most rows (of equals, the alphabetically first), spread by a hash of the
+    id whatever the table's order. Texts are whole. Only ids and languages are counted
+    to find the share to keep, so no language's rows meet in one task. Rows of one id
+    are drawn together; each language has at least its first ones. The texts decide
+    among those that the bound cuts, so the same table gives the same sample."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items()
-                           for x in (k, int((1 << 30) * min(1.0, 1.5 * per_language / n)) + 1)])
-    near = labelled.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
-    rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id)")
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least"))
+    langs = counted.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not langs:
+        return labelled
+    last = F.create_map(*[F.lit(x) for r in langs for x in (
+        r["lang"], max(r["least"], int((1 << 30) * min(1.0, 1.5 * per_language / r["n"]))))])
+    near = labelled.withColumn("draw", draw).filter(F.col("draw") <= F.try_element_at(last, F.col("lang")))
+    rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id, text)")
     return near.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank", "draw")
 
 
@@ -181,8 +185,8 @@ class Model:
 def model_from(table: pa.Table, order: int) -> Model:
     """Lay the languages' statistics side by side. What one language has not seen
     but another has costs it its escape and the shorter string."""
-    langs = sorted({*table.column("lang").to_pylist()})
-    lang = np.array([langs.index(x) for x in table.column("lang").to_pylist()], int)
+    langs = sorted(pc.unique(table.column("lang")).to_pylist())
+    lang = pc.index_in(table.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
     width, code = (table.column(c).to_numpy() for c in ("width", "code"))
     bits, escape = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("bits", "escape"))
     levels: list[Level] = []
@@ -213,13 +217,14 @@ def model_from(table: pa.Table, order: int) -> Model:
 
 def learn(
     labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    per_language: int = 300, order: int = 4,
+    per_language: int = 300, order: int = 4, most_languages: int = 64,
 ) -> Model:
     """Learn from rows with text and language; others are passed over. The sample
-    is bounded: ``per_language`` whole texts of each, so the tables, which every
-    task loads, do not grow with the corpus."""
+    is bounded: ``per_language`` whole texts of each, and the ``most_languages`` with
+    the most rows, so the tables, which every task loads, do not grow with the corpus
+    nor with odd values of the language column."""
     rows = picked(labelled, doc_id=doc_id, text=text, lang=lang).filter("lang is not null and text is not null")
-    table = statistics(stage(sample(rows, per_language), "labelled"), order).toArrow()
+    table = statistics(stage(sample(rows, per_language, most_languages), "labelled"), order).toArrow()
     return model_from(table, order)
 
 
