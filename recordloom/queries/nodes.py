@@ -178,19 +178,20 @@ def record_table_of_nothing(t: Tables) -> DataFrame:
     return N.record_table("parts of size 99", rows).select("part", "line")
 
 
-@query(r"""SELECT doc_id, md5('`' || replace(text, '`', '') || '`') AS code,
-  md5('```' || lang || chr(10) || replace(text, '`', '') || chr(10) || '```') AS fence,
+@query(r"""SELECT doc_id,
+  md5(CASE WHEN regexp_matches(plain, '[^\t-\r\x{85}\p{Z}]') THEN '`' || plain || '`' ELSE '` ' || plain || ' `' END) AS code,
+  md5('```' || coalesce(lang, '') || chr(10) || plain || CASE WHEN ends_with(plain, chr(10)) THEN '' ELSE chr(10) END || '```')
+    AS fence,
   coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, '') AS shown,
   'https://example.org/' || doc_id || '?q=%20%28' || lang || '%29' AS url,
-  md5('a' || chr(10) || '  ' || source || chr(10) || chr(10) || 'b') AS dedented FROM documents
-WHERE NOT starts_with(text, ' ') AND NOT ends_with(text, ' ') AND NOT ends_with(text, chr(10)) AND text <> ''""")
+  md5('a' || chr(10) || '  ' || source || chr(10) || chr(10) || 'b') AS dedented
+FROM (SELECT *, replace(text, '`', '') AS plain FROM documents)""")
 def markdown_fences(t: Tables) -> DataFrame:
     """Code spans, fences, addresses, absent values, and common indentation taken away."""
-    docs = t.documents.filter("text not like ' %' and text not like '% ' and text not like '%\n' and text <> ''")
     plain = F.replace("text", F.lit("`"), F.lit(""))
     block = F.concat(F.lit("  a\n    "), "source", F.lit("\n \n  b"))
     url = F.concat(F.lit("https://example.org/"), "doc_id", F.lit("?q= ("), "lang", F.lit(")"))
-    return docs.select(
+    return t.documents.select(
         "doc_id", F.md5(X.md_code(plain)).alias("code"), F.md5(X.md_fence(plain, F.col("lang"))).alias("fence"),
         X.shown(F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("shown"), X.url_encode(url).alias("url"),
         F.md5(X.dedent(block)).alias("dedented"))
