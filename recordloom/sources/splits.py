@@ -69,3 +69,21 @@ def dealt(
     offsets = spark.createDataFrame(rows, "__task int, __first bigint")
     number = F.floor((F.col("__first") + F.col("__split")) / together).cast("int")
     return packed.join(offsets, "__task").repartitionById(-(-first // together), number).select(*columns)
+
+
+def numbered(files: DataFrame, most: int) -> DataFrame | None:
+    """The rows of a stored table, a partition for each ``most`` of them and one for
+    the rest; nothing for an empty table. One number per task goes to the driver."""
+    spark = files.sparkSession
+    row = F.monotonically_increasing_id()
+    placed = files.withColumn("__task", F.shiftright(row, 33).cast("int")).withColumn("__row", row.bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = sorted(placed.groupBy("__task").count().collect())
+    first, rows = 0, []
+    for task, count in counts:
+        rows.append((task, first))
+        first += count
+    if not first:
+        return None
+    offsets = F.broadcast(spark.createDataFrame(rows, "__task int, __first bigint"))
+    number = F.floor((F.col("__first") + F.col("__row")) / most).cast("int")
+    return placed.join(offsets, "__task").repartitionById(-(-first // most), number).select(*files.columns)

@@ -15,7 +15,6 @@ that came or went; other findings of the last run stay as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -29,6 +28,7 @@ from recordloom.operators.nodes import element_nodes, node_index
 from recordloom.operators.prose import broken_links, heading_array, link_table, node_links
 from recordloom.sources.schema import Schema, checked, entities, is_single, with_content
 from recordloom.sources.sinks import _delete, _done_runs, _entries_of, _mark_done, stored
+from recordloom.sources.splits import numbered
 from recordloom.sources.tree import (
     BLOB, PROSE, RECORD, blob_rows, contents, decode_records, entity_rows, file_kind, listing, nfc, prose_rows,
     record_texts,
@@ -36,7 +36,8 @@ from recordloom.sources.tree import (
 from recordloom.streaming.incremental import changes
 
 FILE = "__file"
-SNAPSHOT = "path string, kind string, size bigint, mtime timestamp, run int"
+NAMES = "path string, kind string, size bigint, mtime timestamp"
+SNAPSHOT = f"{NAMES}, run int"
 #: Runs that may hold rows; with more, the smaller ones are written together.
 MOST_RUNS = 16
 
@@ -81,22 +82,27 @@ class TrackedTree:
         batch, then stop. Each batch is a run; one repeated after a failure replaces
         its own rows. A file stream reports no edits and no deletions, and leaves out
         names that begin with ``_``: :meth:`sync` sees all of these."""
-        names = (
-            self.spark.readStream.format("binaryFile")
-            .schema("path string, modificationTime timestamp, length bigint, content binary")
-            .option("recursiveFileLookup", True)
-            .option("maxFilesPerTrigger", max_files)
-            .load(self.root)
-        )
-        # No bytes are read here: of a batch's files only those with rows are opened.
-        base = self.root.removeprefix("file:").rstrip("/") + "/"
-        path = F.element_at(F.split("path", re.escape(base), 2), 2)
-        found = names.select(
-            path.alias("path"), F.lit("added").alias("change"), file_kind(path).alias("kind"),
-            F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        # What streams are lists of names, found by tasks: the driver holds no file
+        # statuses, and of a batch's files only those with rows are opened.
+        names = f"{checkpoint.rstrip('/')}.names"
+        self._list_new(names, max_files)
+        lists = self.spark.readStream.schema(NAMES).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(names)
+        found = lists.withColumn("change", F.lit("added"))
         return found.writeStream.foreachBatch(lambda batch, _: self._apply(batch) and None).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def _list_new(self, names: str, max_files: int) -> None:
+        """Add the files that no list below ``names`` has yet, in lists of ``max_files``."""
+        there = _entries_of(names)[1]
+        shown = ~F.col("path").rlike(r"(^|/)_[^/=]*(/|$)")
+        files = listing(self.spark, self.root).filter(shown).select("path", "kind", "size", "mtime")
+        if there:
+            files = files.join(self.spark.read.schema(NAMES).parquet(names).select("path"), "path", "left_anti")
+        draft = f"{names}.draft"
+        lists = numbered(stored(files, draft), max_files)
+        (files.limit(0) if lists is None else lists).write.mode("append").parquet(names)
+        _delete(self.spark, draft)
+
     def _apply(self, found: DataFrame) -> DataFrame:
         run = self.last + 1
         self._held.pop(run, None)

@@ -157,3 +157,21 @@ def test_only_changed_files_are_opened(spark, tmp_path, monkeypatch):
     put(root, **{"f3.json": record(albums=[{"id": "other"}])})
     tree.sync()
     assert opened == ["f3.json"]
+
+
+def test_a_stream_lists_no_file_by_its_own_path(spark, tmp_path, monkeypatch):
+    """A batch is a list of names found by tasks, of the stated length, and no path of
+    its own to the files' relation: Spark would look each of those up in a task."""
+    root, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    put(root, **{f"f{i}.md": "x" for i in range(10)}, **{"_hidden.md": "x", "d/g.png": ""})
+    batches = []
+    tree = TrackedTree(spark, root, SCHEMA, str(tmp_path / "kept"))
+    monkeypatch.setattr(tree, "_apply", lambda found: batches.append(
+        (found.count(), [f for f in found.inputFiles() if f.startswith(f"file://{root}/")])))
+    tree.stream(checkpoint, max_files=4).awaitTermination()
+    put(root, **{"later.md": "x"})
+    os.utime(f"{root}/later.md", (1, 1))
+    tree.stream(checkpoint, max_files=4).awaitTermination()
+    tree.stream(checkpoint, max_files=4).awaitTermination()
+    assert sorted(n for n, _ in batches if n) == [1, 3, 4, 4]
+    assert not any(paths for _, paths in batches)
