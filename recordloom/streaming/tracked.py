@@ -15,8 +15,6 @@ that came or went; other findings of the last run stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from recordloom.operators.checks import FIELDS, REFERENCE_KEY, record_ids, reference_values, text_violations
 from recordloom.operators.nodes import element_nodes, node_index
 from recordloom.operators.prose import broken_links, heading_array, link_table, node_links
+from recordloom.session import together
 from recordloom.sources.schema import Schema, checked, entities, is_single, with_content
 from recordloom.sources.sinks import _delete, _done_runs, _entries_of, _mark_done, stored
 from recordloom.sources.splits import numbered
@@ -168,10 +167,10 @@ class TrackedTree:
                 write("records", decode_records(texts, self.schema, FILE))
                 found = entity_rows(self._rows_of(run, "records"), self.schema, merge=False, carry=(FILE,))
                 frames.update({n: f for n, f in found.items() if not is_single(entities(self.schema)[n])})
-                _together(lambda: write("references", reference_values(frames, self.schema, FILE), True),
+                together(lambda: write("references", reference_values(frames, self.schema, FILE), True),
                           lambda: write("ids", record_ids(frames, self.schema, FILE), True))
 
-            _together(findings, rows)
+            together(findings, rows)
             _delete(self.spark, self._at(run, "texts"))
 
         def documents() -> None:
@@ -179,7 +178,7 @@ class TrackedTree:
             write("links", node_links(link_table(self._rows_of(run, "prose"), carry=(FILE,))), True)
 
         frames: dict[str, DataFrame] = {}
-        _together(records, documents)
+        together(records, documents)
         prose = self._rows_of(run, "prose").select(
             "id", "mime_type", heading_array(F.col("content")).alias("headings"), FILE)
         named_files = fresh.select("path", "kind")
@@ -317,7 +316,7 @@ class TrackedTree:
             broken.write.mode("overwrite").parquet(self._at(run, "broken"))
 
         self._runs(run)
-        _together(references, repeats, links)
+        together(references, repeats, links)
         for table in ("addresses", "moved", "recount", "ids.changed", "nodes.changed"):
             _delete(self.spark, self._at(run, table))
 
@@ -329,10 +328,3 @@ class TrackedTree:
         empty = self.spark.createDataFrame([], "id string")
         frames = {n: f if n in single else empty for n, f in rows.items()}
         return node_index({**frames, PROSE: empty, BLOB: empty}, single=single).select("address", "origin")
-
-
-def _together(*steps: Callable[[], None]) -> None:
-    """Run steps that do not wait for each other at the same time; their jobs are small."""
-    with ThreadPoolExecutor(len(steps)) as pool:
-        for done in [pool.submit(step) for step in steps]:
-            done.result()
