@@ -218,3 +218,12 @@ def test_gate_and_log(spark, tmp_path):
         ("read", "ok"), ("check", "ng"), ("write", "skipped"),
     ]
     assert ran == [] and spark.read.parquet(log).count() == 3
+
+
+def test_duplicate_ids_are_counted_and_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(C, "AT_ONCE", 4)
+    ids = spark.createDataFrame([(i,) for i in [None, None, 1, 2, 2, *[3] * 9, *[4] * 8]], "id bigint")
+    found = C.check_duplicate_ids({"albums": ids}, obj(albums={"type": "array", "items": obj(id={"type": "integer"})}))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r["record"]: r["count"] for r in found.groupBy("record").count().collect()}
+    assert counts == {"2": 2, "3": 9, "4": 8}
