@@ -187,3 +187,22 @@ def test_items_of_a_merged_record_stay_rows(spark):
     rows_ = single_items(many, about)["notes"]
     counts = [r[1] for r in rows_.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(counts) == 1_000_000 and max(counts) == 50_000
+
+
+def test_file_contents_leave_a_task_in_small_parts(spark, tmp_path):
+    import pyarrow as pa
+
+    from recordloom.sources import tree
+
+    size = tree._BATCH_BYTES
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(7)]})
+    alive = [size // 2, size // 2, 1, 3 * size, 1, 1, size // 3]
+    parts = list(tree._in_parts(batch, iter(alive), len_of=lambda n: n))
+    assert [part.column("path").to_pylist() for part, _ in parts] == [["0", "1"], ["2", "3"], ["4", "5", "6"]]
+    assert [n for _, made in parts for n in made] == alive
+    # Files are decoded row by row: pandas would hold a whole batch several times over.
+    put(str(tmp_path / "t"), **{"a.json": json.dumps({"x": "y"}), "b.yml": "x: [", "c.json": b"\xff"})
+    texts = tree.record_files(spark, str(tmp_path / "t"))
+    assert "record_text" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["path"]: (r["text"], r["problem"] is None) for r in texts.collect()}
+    assert found == {"a.json": ('{"x": "y"}', True), "b.yml": (None, False), "c.json": (None, False)}
