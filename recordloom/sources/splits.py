@@ -30,44 +30,56 @@ def dealt(
 ) -> DataFrame:
     """The rows of ``files``, a partition for each ``split_bytes`` of them. A row
     counts its ``size`` (null as 0) and ``open_bytes``; a larger one is a split of
-    its own. The narrow table is computed and stored once, below the checkpoint
-    folder; what goes to the driver is one number for each task that wrote it."""
+    its own. Where there are so many rows that all cores have splits enough without
+    it, opening counts a fourth or a sixteenth of that: a task costs as much as some
+    thousand small files. The narrow table is computed and stored once, below the
+    checkpoint folder; what goes to the driver is three numbers for each task that
+    wrote it."""
     spark = files.sparkSession
     columns = files.columns
-    weight = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0)) + open_bytes
+    weight = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0))
     weighed = files.withColumn("__bytes", weight.cast("bigint"))
+    opens = sorted({max(1, open_bytes >> shift) for shift in (0, 2, 4)})
+    names = [f"__split_{n}" for n in range(len(opens))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        split = filled = 0
+        at, filled = [0] * len(opens), [0] * len(opens)
         for batch in batches:
-            splits = []
-            for bytes_ in batch.column("__bytes").to_pylist():
-                if filled and filled + bytes_ > split_bytes:
-                    split, filled = split + 1, 0
-                filled += bytes_
-                splits.append(split)
+            sizes, splits = batch.column("__bytes").to_pylist(), []
+            for level, each in enumerate(opens):
+                split, held, found = at[level], filled[level], []
+                for bytes_ in sizes:
+                    if held and held + bytes_ + each > split_bytes:
+                        split, held = split + 1, 0
+                    held += bytes_ + each
+                    found.append(split)
+                at[level], filled[level] = split, held
+                splits.append(pa.array(found, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array([task] * batch.num_rows, pa.int32()),
-                 pa.array(splits, pa.int64())], names=[*columns, "__task", "__split"])
+                [*(batch.column(c) for c in columns), pa.array([task] * batch.num_rows, pa.int32()), *splits],
+                names=[*columns, "__task", *names])
 
     path = f"{ensure_checkpoint_dir(spark)}/splits-{uuid.uuid4().hex}"
     kind = T.StructType([
-        *files.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__split", T.LongType())])
+        *files.schema.fields, T.StructField("__task", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
     weighed.mapInArrow(pack, kind).write.parquet(path)
     packed = spark.read.schema(kind).parquet(path)
-    tasks = sorted(packed.groupBy("__task").agg(F.max("__split").alias("last")).collect())
+    tasks = sorted(packed.groupBy("__task").agg(*[F.max(n) for n in names]).collect())
     if not tasks:
         return packed.select(*columns)
+    enough = 2 * spark.sparkContext.defaultParallelism
+    totals = [sum(last[level] + 1 for _, *last in tasks) for level in range(len(opens))]
+    level = next((n for n, total in enumerate(totals) if total >= enough), len(opens) - 1)
     first, rows = 0, []
-    for task, last in tasks:
+    for task, *last in tasks:
         rows.append((task, first))
-        first += last + 1
+        first += last[level] + 1
     together = -(-first // MOST_SPLITS)
     offsets = spark.createDataFrame(rows, "__task int, __first bigint")
-    number = F.floor((F.col("__first") + F.col("__split")) / together).cast("int")
+    number = F.floor((F.col("__first") + F.col(names[level])) / together).cast("int")
     return packed.join(offsets, "__task").repartitionById(-(-first // together), number).select(*columns)
 
 

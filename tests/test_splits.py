@@ -85,3 +85,12 @@ def test_a_run_counts_when_it_is_whole(spark, tmp_path, monkeypatch):
     assert read() == "4" and open(f"{kept}/web/a.md").read() == "2"
     # This run, the one before, and their marks; nothing of failed or older runs.
     assert len(os.listdir(site)) == 4
+
+
+def test_very_many_small_files_are_not_as_many_tasks(spark):
+    files = spark.range(100_000, numPartitions=4).selectExpr("id", "if(id = 7, 700, 1) as size")
+    got = splits.dealt(files, split_bytes=64 * 256, open_bytes=64)
+    assert 8 <= got.rdd.getNumPartitions() <= 64  # 392 of 256 files each if every one counted 64
+    assert got.count() == 100_000 and got.select("id").distinct().count() == 100_000
+    few = splits.dealt(files.filter("id < 1024"), split_bytes=64 * 256, open_bytes=64)
+    assert few.rdd.getNumPartitions() >= 4
