@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
+from recordloom.operators import groups
 from recordloom.operators import views as V
 from recordloom.plans.bundle import ViewError, run_views
 from tests.conftest import rows
@@ -145,6 +146,18 @@ def test_one_list_per_key_at_any_size_and_the_same_rows_flat(spark):
     assert sorted((r["k"], r["item"]["o"]) for r in flat) == sorted((k, o) for o, k, _ in data)
 
 
+def test_counted_rows_repeated_are_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(groups, "REPEATS", 7)
+    data = [(["a", "b", None][i % 3], [None, "x"][i % 2]) for i in range(101)]
+    tally = groups.counted(spark.createDataFrame(data, "k string, `v.w` string"), ["k", "v.w"], "times")
+    assert tally.count() == 6
+    got = groups.repeated(tally, "times")
+    assert got.columns == ["k", "v.w"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, data))
+    odd = spark.createDataFrame([(1, None), (2, -3), (3, 0), (4, 1), (5, 7), (6, 8)], "k int, times int")
+    assert sorted(r["k"] for r in groups.repeated(odd, "times").collect()) == [4] + [5] * 7 + [6] * 8
+
+
 def test_attach_flat_is_a_row_per_item(artists, albums):
     got = out(V.attach(artists, albums, ("id", "artist"), "album", flat=True))
     assert [(r["id"], r.get("album", {}).get("id")) for r in got] == [
